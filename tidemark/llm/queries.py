@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, packing, quality_rules, zstd_quality
+from . import lang_id, line_dedup, packing, pieces, quality_rules, zstd_quality
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.report(table(spark, sf_dir, "documents"), public_tokenizers.path(pieces.MODEL))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
         "op8_packing": op8_packing,
+        "op9_pieces": op9_pieces,
         "op10_compression_quality": op10_compression_quality,
         "op2_line_dedup": op2_line_dedup,
         "op7_quality_rules": op7_quality_rules,
