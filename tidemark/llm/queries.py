@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, packing, pieces, quality_rules, zstd_quality
+from . import lang_id, line_dedup, packing, pieces, quality_rules, simhash, zstd_quality
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pieces": op9_pieces,
         "op10_compression_quality": op10_compression_quality,
         "op2_line_dedup": op2_line_dedup,
+        "op5_simhash": op5_simhash,
         "op7_quality_rules": op7_quality_rules,
     }
