@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, packing, pieces, quality_rules, simhash, zstd_quality
+from . import class_lm, lang_id, line_dedup, packing, pieces, quality_rules, simhash, zstd_quality
 from .common import table
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_class_lm": op1_class_lm,
         "op4_language_id": op4_language_id,
         "op8_packing": op8_packing,
         "op9_pieces": op9_pieces,
