@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, lang_id, line_dedup, packing, pieces, quality_rules, simhash, zstd_quality
+from . import class_lm, lang_id, line_dedup, packing, pieces, quality_rules, shingle_join, simhash, zstd_quality
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_compression_quality": op10_compression_quality,
         "op2_line_dedup": op2_line_dedup,
         "op5_simhash": op5_simhash,
+        "op6_shingle_join": op6_shingle_join,
         "op7_quality_rules": op7_quality_rules,
     }
