@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, lang_id, line_dedup, packing, pieces, quality_rules, shingle_join, simhash, zstd_quality
+from . import class_lm, lang_id, line_dedup, packing, pieces, quality_rules, shingle_join, simhash, substring_dedup, zstd_quality
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_class_lm": op1_class_lm,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op8_packing": op8_packing,
         "op9_pieces": op9_pieces,
