@@ -241,44 +241,90 @@ def unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def partition(batches):
+    """Chunks of about PIECE bytes of a partition's texts, each with the marks of its documents: ids, texts, and for each
+    mark its text's number and content as one code, its first and its last window; sorted by code. A partition holds
+    all rows of its documents."""
+    import numpy as np
+
+    ids, small, parts = [], [], []
+    for batch in batches:
+        text = batch.column(1).is_valid()
+        own = batch.filter(text)
+        ids += own.column(0).to_pylist()
+        small += own.column(1).to_pylist()
+        parts.append([np.asarray(c) for c in batch.filter(batch.column(1).is_null()).select([0, 2, 3, 4]).columns])
+    doc, content, first, last = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(doc, kind="stable")
+    doc, content, first, last = doc[order], content[order], first[order], last[order]
+    at = 0
+    while at < len(ids):
+        raws, size, begin = [], 0, at
+        while at < len(ids) and size < PIECE and len(raws) < 16_000:
+            raws.append(unpack(small[at]))
+            size += len(raws[-1])
+            at += 1
+        some = np.array([-1 if x is None else x for x in ids[begin:at]], np.int64)
+        null = np.array([x is None for x in ids[begin:at]])
+        low, high = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
+        n = np.where(null, 0, high - low)
+        text = np.repeat(np.arange(len(n)), n)
+        mark = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        code = content[mark] | text << 48
+        order = np.argsort(code, kind="stable")
+        yield ids[begin:at], raws, (code[order], first[mark][order], last[mark][order])
+
+
+def coded(raws: list[bytes], marks):
+    """Segments of the texts that have marks, their contents coded as in ``partition``."""
+    import numpy as np
+
+    texts = np.unique(marks[0] >> 48)
+    rows, where, windows, key, content = all_segments([raws[x] for x in texts.tolist()])
+    text = texts[rows] if len(texts) else rows
+    return text, where, windows, key, (content & np.uint64(LOW)).view(np.int64) | text << 48
+
+
 def string_pass(batches):
-    """The strings that are asked for: rows (key, doc_id, content, skip, windows, bytes). A partition holds all rows of
-    its documents, texts (z) and questions (content) alike."""
+    """The strings that are asked for: rows (key, doc_id, content, string)."""
     import numpy as np
     import pyarrow as pa
 
-    for _, own in documents(batches):
-        texts, asked = own
-        if not len(asked) or not texts:
-            continue
-        wanted = np.unique(asked["content"])
-        out = []
-        for doc_id, z, _ in texts:
-            raw = unpack(z)
-            _, where, windows, key, content = all_segments([raw])
-            content = (content & np.uint64(LOW)).view(np.int64)
-            hit = np.flatnonzero(np.isin(content, wanted))
-            _, once = np.unique(content[hit], return_index=True)
-            out += [(int(key[x].view(np.int64)), doc_id, int(content[x]), raw[where[x] : where[x] + windows[x] + SIZE - 1]) for x in hit[once]]
-        if out:
-            k, d, c, s = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d, pa.int64()), pa.array(c), pa.array(s, pa.binary())], ["key", "doc_id", "content", "string"])
-
-
-def documents(batches):
-    """(texts, marks) of each document of a partition, whose rows come sorted by id: texts are (doc_id, z, rest), marks
-    a structured array of content, first, last."""
+    for ids, raws, marks in partition(batches):
+        text, where, windows, key, code = coded(raws, marks)
+        hit = np.flatnonzero(np.isin(code, marks[0]))
+        _, once = np.unique(code[hit], return_index=True)
+        hit = hit[once]
+        if len(hit):
+            spans = zip(text[hit].tolist(), where[hit].tolist(), (where + windows)[hit].tolist(), strict=True)
+            strings = [raws[t][a : b + SIZE - 1] for t, a, b in spans]
+            cols = [
+                pa.array(key[hit].view(np.int64)), pa.array([ids[t] for t in text[hit].tolist()], pa.int64()),
+                pa.array(code[hit] & LOW), pa.array(strings, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "content", "string"])
+
+
+def cuts(raws: list[bytes], marks) -> list:
+    """For each text the ranges (from, to) of the bytes that go, united and in order."""
     import numpy as np
 
-    kind = [("content", np.int64), ("first", np.int32), ("last", np.int32)]
-    for key, own in grouped(batches, 1):
-        texts, marks = [], []
-        for doc_id, z, content, first, last, *rest in own:
-            if z is not None:
-                texts.append((doc_id, z, rest[0] if rest else None))
-            else:
-                marks.append((content, first, last))
-        yield key, (texts, np.array(marks, kind))
+    text, where, windows, _, code = coded(raws, marks)
+    low, high = np.searchsorted(marks[0], code), np.searchsorted(marks[0], code, "right")
+    n = high - low
+    seg = np.repeat(np.arange(len(code)), n)
+    mark = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    first, last = marks[1][mark], marks[2][mark]
+    size = np.array([len(r) + 1 for r in raws])  # a byte between texts keeps their ranges apart
+    start = np.cumsum(size) - size
+    begin = start[text[seg]] + where[seg]
+    change = np.bincount(begin + np.maximum(first, 0), minlength=size.sum() + 1)
+    change = change - np.bincount(begin + np.where(first < 0, windows[seg] - 1, last) + SIZE, minlength=size.sum() + 1)
+    gone = np.cumsum(change)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
+    own = np.searchsorted(start, edge[:, 0], "right") - 1
+    edge = edge - start[own][:, None]
+    return np.split(edge, np.searchsorted(own, np.arange(1, len(raws))))
 
 
 def shard_pass(batches):
@@ -327,32 +373,6 @@ def shard_lost(rows):
     return doc[r], content[r], a - start[r], b - start[r]
 
 
-def cut(raw: bytes, marks):
-    """Ranges (from, to) of the bytes that go, united and in order."""
-    import numpy as np
-
-    if not len(marks) or len(raw) < SIZE:
-        return np.zeros((0, 2), np.int64)
-    _, where, windows, _, content = all_segments([raw])
-    content = (content & np.uint64(LOW)).view(np.int64)
-    marks = marks[np.argsort(marks["content"], kind="stable")]
-    low, high = np.searchsorted(marks["content"], content), np.searchsorted(marks["content"], content, "right")
-    n = high - low
-    seg = np.repeat(np.arange(len(content)), n)
-    m = marks[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    whole = m["first"] < 0
-    a = where[seg] + np.where(whole, 0, m["first"])
-    b = where[seg] + np.where(whole, windows[seg] - 1, m["last"]) + SIZE
-    if not len(a):
-        return np.zeros((0, 2), np.int64)
-    change = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(change, a, 1)
-    np.add.at(change, b, -1)
-    gone = np.cumsum(change)[:-1] > 0
-    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-    return edge.reshape(-1, 2)
-
-
 def kept_bytes(raw: bytes, ranges) -> bytes:
     at, out = 0, []
     for a, b in ranges.tolist():
@@ -362,14 +382,10 @@ def kept_bytes(raw: bytes, ranges) -> bytes:
 
 
 def _dealt(texts: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """Texts and marks of each document in one partition, sorted by document."""
-    rest = [c for c in texts.columns if c not in ("doc_id", "z")]
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("content", "long"), ("first", "int"), ("last", "int"))]
-    a = texts.select("doc_id", "z", *none, *rest)
-    b = marks.select("doc_id", F.lit(None).cast("binary").alias("z"), "content", "first", "last", *[F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in rest])
-    # Null ids have no marks and are spread over all partitions.
-    spread = F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64("z"), F.lit(1 << 30)))
-    return a.unionByName(b).repartition(parts, spread).sortWithinPartitions("doc_id")
+    """Texts and marks of each document in one partition. Null ids have no marks and are spread over all partitions."""
+    a = texts.select("doc_id", "z", *[F.lit(None).cast(k).alias(c) for c, k in (("content", "long"), ("first", "int"), ("last", "int"))])
+    b = marks.select("doc_id", F.lit(None).cast("binary").alias("z"), "content", "first", "last")
+    return a.unionByName(b).repartition(parts, F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64("z"), F.lit(1 << 30))))
 
 
 def lost_windows(docs: DataFrame) -> DataFrame:
@@ -390,15 +406,13 @@ def lost_windows(docs: DataFrame) -> DataFrame:
 def report_pass(batches):
     import pyarrow as pa
 
-    for _, (texts, marks) in documents(batches):
+    for ids, raws, marks in partition(batches):
         rows = []
-        for doc_id, z, _ in texts:
-            raw = unpack(z)
-            ranges = cut(raw, marks)
+        for doc_id, raw, ranges in zip(ids, raws, cuts(raws, marks), strict=True):
             kept = kept_bytes(raw, ranges)
             rows.append((doc_id, len(raw), len(raw) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], REPORT_NAMES)
+        cols = [pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
+        yield pa.RecordBatch.from_arrays(cols, REPORT_NAMES)
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -432,13 +446,12 @@ def range_pass(batches):
     """The texts that lose bytes: doc_id, md5 of the text, what is left of it."""
     import pyarrow as pa
 
-    for _, (texts, marks) in documents(batches):
-        rows = []
-        for doc_id, z, _ in texts:
-            raw = unpack(z)
-            ranges = cut(raw, marks)
-            if len(ranges):
-                rows.append((doc_id, hashlib.md5(raw).digest(), kept_bytes(raw, ranges).decode(errors="ignore")))
+    for ids, raws, marks in partition(batches):
+        rows = [
+            (doc_id, hashlib.md5(raw).digest(), kept_bytes(raw, ranges).decode(errors="ignore"))
+            for doc_id, raw, ranges in zip(ids, raws, cuts(raws, marks), strict=True)
+            if len(ranges)
+        ]
         if rows:
             d, s, t = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary()), pa.array(t, pa.string())], ["doc_id", "sig", "text"])
