@@ -119,12 +119,15 @@ def judge(docs: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
     verdict = F.when(F.col("base_failed"), False)
     for _, reject in ordered(counted, docs.count(), given):
         verdict = verdict.when(reject, False)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", verdict.otherwise(True))
+    # A filter on the verdict would be pushed below the counts with all their expressions written out in one another,
+    # each many times; the row number beside the verdict, which is not deterministic, keeps it above them.
+    judged = counted.withColumn("base_failed", base_failed())
+    return judged.withColumns({"kept": verdict.otherwise(True), "_q_row": F.monotonically_increasing_id()})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the cascade keeps, with their own columns."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return judge(docs).where("kept AND _q_row >= 0").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
