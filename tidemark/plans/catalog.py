@@ -1,11 +1,464 @@
-"""All registered cache-trace queries and their DuckDB SQL."""
+"""All registered cache-trace queries and, where SQL can express them, the same results in DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.config import CacheConfig, shard_count, split
+from tidemark.functions import hashing, http
+from tidemark.operators import lru, replay, state
+from tidemark.sources import traces
+
+Query = Callable[[SparkSession, str], DataFrame]
+TTL = traces.DEFAULT_TTL_NS
+CAPACITIES = [5, 10, 25, 50, 75, 100, 150, 500]
+SHARDS = 4
+FOUND: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        FOUND[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The event trace in SQL: operations, the epoch of each, the entry before each, and the entries at the end.
+OPS = f"""
+WITH ops AS (
+  SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts, 'c' || (user_id % 3) AS cache, user_id AS key,
+         CASE WHEN event_id % {traces.CLEAR_EVERY} = 0 THEN 'clear' WHEN event_type IN ('view', 'click') THEN 'get'
+              WHEN event_type IN ('purchase', 'signup') THEN 'set' ELSE 'delete' END AS op,
+         value, CASE event_type WHEN 'purchase' THEN 24 * 3600 * 1000000000::BIGINT WHEN 'signup' THEN 0::BIGINT END AS ttl_ns,
+         1 + event_id % 7 AS cost
+  FROM events
+), staged AS (
+  SELECT *, sum(CASE WHEN op = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY cache ORDER BY seq) AS epoch,
+         ts + CASE WHEN ttl_ns = 0 THEN {TTL} ELSE ttl_ns END AS deadline FROM ops
+), muts AS (
+  SELECT *, coalesce((SELECT min(m.seq) FROM staged m WHERE m.cache = s.cache AND m.key = s.key AND m.epoch = s.epoch
+                      AND m.op IN ('set', 'delete') AND m.seq > s.seq), 9223372036854775807) AS until
+  FROM staged s WHERE op = 'set'
+), spans AS (
+  SELECT m.*, coalesce((SELECT min(g.seq) FROM staged g WHERE g.op = 'get' AND g.cache = m.cache AND g.key = m.key
+                        AND g.epoch = m.epoch AND g.seq > m.seq AND g.seq < m.until AND g.ts > m.deadline),
+                       9223372036854775807) AS seen
+  FROM muts m
+), res AS (
+  SELECT o.*, s.seq AS cur_seq, s.value AS cur_value, s.deadline AS cur_deadline, s.cost AS cur_cost
+  FROM staged o LEFT JOIN spans s ON s.cache = o.cache AND s.key = o.key AND s.epoch = o.epoch AND s.seq < o.seq
+       AND o.seq <= s.until AND o.seq <= s.seen
+  WHERE o.op <> 'clear'
+), phys AS (
+  SELECT s.cache, s.key, s.seq AS set_seq, s.value, s.deadline, s.cost FROM spans s
+  WHERE s.until = 9223372036854775807 AND s.seen = 9223372036854775807
+    AND s.epoch = (SELECT max(epoch) FROM staged t WHERE t.cache = s.cache)
+), fin AS (SELECT max(ts) AS now FROM ops)
+"""
+
+
+@query(OPS + "SELECT * FROM phys")
+def state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set/SetAsync/Get: the last writer's entry of every key that is resident at the end."""
+    return state.physical(traces.events(spark, sf_dir), TTL)
+
+
+@query(OPS + """SELECT seq, cache, key, (cur_seq IS NOT NULL AND ts <= cur_deadline) AS hit,
+CASE WHEN cur_seq IS NOT NULL AND ts <= cur_deadline THEN cur_value END AS value FROM res WHERE op = 'get'""")
+def get_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Get as of each read."""
+    return state.gets(traces.events(spark, sf_dir), TTL).select("seq", "cache", "key", "hit", "value")
+
+
+@query(OPS + """SELECT seq, cache, key, cur_deadline - ts AS ttl_ns
+FROM res WHERE op = 'get' AND cur_seq IS NOT NULL AND ts <= cur_deadline""")
+def get_with_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Get with the time that is left; misses give no row."""
+    return state.gets(traces.events(spark, sf_dir), TTL).where("hit").select("seq", "cache", "key", "ttl_ns")
+
+
+@query(OPS + "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT key FROM phys, fin WHERE now <= deadline)")
+def exists_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exists for many keys: the customers whose id is live."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    keys = state.live(traces.events(spark, sf_dir), TTL)
+    return c.join(keys, c["c_custkey"] == keys["key"], "left_semi")
+
+
+@query(OPS + "SELECT cache, key FROM phys, fin WHERE now <= deadline")
+def keys_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.live(traces.events(spark, sf_dir), TTL).select("cache", "key")
+
+
+@query(OPS + "SELECT cache, count(*) AS size FROM phys GROUP BY cache")
+def size_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size includes what is expired and not swept."""
+    return state.physical(traces.events(spark, sf_dir), TTL).groupBy("cache").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(OPS + "SELECT cache, sum(cost)::BIGINT AS cost FROM phys GROUP BY cache")
+def cost_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.physical(traces.events(spark, sf_dir), TTL).groupBy("cache").agg(F.sum("cost").alias("cost"))
+
+
+@query(OPS + "SELECT seq, cache, key, cur_seq IS NOT NULL AS removed FROM res WHERE op = 'delete'")
+def delete_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.deletes(traces.events(spark, sf_dir), TTL)
+
+
+@query(OPS + "SELECT seq, cache, key, epoch::INTEGER AS epoch FROM staged WHERE op <> 'clear'")
+def clear_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clear: how many clears of its cache precede each operation."""
+    return state.with_epoch(traces.events(spark, sf_dir)).where("op <> 'clear'").select("seq", "cache", "key", "epoch")
+
+
+@query(OPS + "SELECT seq, cache, key, cur_seq IS NOT NULL AS is_update FROM res WHERE op = 'set'")
+def insert_vs_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.insert_or_update(traces.events(spark, sf_dir), TTL)
+
+
+@query(OPS + "SELECT cache, key, 'expired' AS reason FROM phys, fin WHERE now > deadline")
+def expired_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleanup at the end of the trace."""
+    return state.sweep(traces.events(spark, sf_dir), TTL)
+
+
+@query(OPS + """, fire AS (
+  SELECT s.cache, s.key, s.seq AS set_seq, s.value, s.deadline AS fired_at FROM spans s, fin WHERE s.deadline + 1 <= now
+)
+SELECT f.* FROM fire f WHERE EXISTS (
+  SELECT 1 FROM spans r WHERE r.cache = f.cache AND r.key = f.key AND r.ts < f.fired_at + 1 AND r.deadline < f.fired_at + 1
+    AND NOT EXISTS (SELECT 1 FROM staged x WHERE x.cache = r.cache AND x.seq > r.seq AND x.ts <= f.fired_at + 1
+                    AND ((x.op = 'clear' AND x.ts < f.fired_at + 1) OR (x.key = r.key AND x.op IN ('set', 'delete'))
+                         OR (x.key = r.key AND x.op = 'get' AND x.ts > r.deadline))))""")
+def ttl_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SetWithCallback: what fires, and with which value."""
+    return state.callbacks(traces.events(spark, sf_dir), TTL)
+
+
+@query("""SELECT count(*) AS lookups, count(*) - count(DISTINCT user_id) AS hits,
+(count(*) - count(DISTINCT user_id)) / count(*)::DOUBLE AS hit_ratio FROM events""")
+def hit_ratio_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read-through replay without a limit: all but the first access to a key hit."""
+    per_key = traces.event_accesses(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lookups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("hits"))
+    return out.withColumn("hit_ratio", F.when(F.col("lookups") > 0, F.col("hits") / F.col("lookups")).otherwise(F.lit(0.0)))
+
+
+@query(OPS + """, g AS (SELECT cache, count(*) FILTER (WHERE cur_seq IS NOT NULL AND ts <= cur_deadline) AS hits,
+  count(*) FILTER (WHERE cur_seq IS NULL OR ts > cur_deadline) AS misses,
+  count(*) FILTER (WHERE cur_seq IS NOT NULL AND ts > cur_deadline) AS expirations FROM res WHERE op = 'get' GROUP BY cache),
+p AS (SELECT cache, count(*) AS size, sum(cost)::BIGINT AS cost FROM phys GROUP BY cache)
+SELECT coalesce(g.cache, p.cache) AS cache, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses,
+  coalesce(expirations, 0) AS expirations, coalesce(size, 0) AS size, coalesce(cost, 0) AS cost,
+  CASE WHEN hits + misses > 0 THEN hits / (hits + misses)::DOUBLE ELSE 0 END AS hit_ratio
+FROM g FULL JOIN p ON g.cache = p.cache""")
+def stats_by_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stats of each cache; all of them are the manager's view."""
+    return state.stats(traces.events(spark, sf_dir), TTL)
+
+
+def avalanche_sql(key: str) -> str:
+    """The finalizer over unsigned 128-bit products."""
+    x, parts = f"({key})::UBIGINT", []
+    for k, (shift, factor) in enumerate(zip(hashing.SHIFTS, (*hashing.MULTIPLIERS, 1), strict=True)):
+        parts.append(f"a{k} AS (SELECT key, ((xor(h, h >> {shift}))::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM {'base' if not k else f'a{k - 1}'})")
+    return f"base AS (SELECT DISTINCT {key} AS key, {x} AS h FROM events), " + ", ".join(parts)
+
+
+SIGNED = "CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END"
+
+
+@query(f"WITH {avalanche_sql('user_id')} SELECT key, {SIGNED} AS hash, (h % {SHARDS})::INTEGER AS shard FROM a2")
+def avalanche_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = traces.event_accesses(spark, sf_dir).select("key").distinct().withColumn("hash", hashing.avalanche(F.col("key")))
+    return keys.withColumn("shard", hashing.shard(F.col("hash"), SHARDS))
+
+
+@query(f"WITH {avalanche_sql('user_id')} SELECT (h % {SHARDS})::INTEGER AS shard, count(DISTINCT key) AS keys, count(*) AS accesses FROM events JOIN a2 ON key = user_id GROUP BY 1")
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and accesses of each shard: keys are summed up before they are dealt to shards."""
+    n = traces.event_accesses(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(hashing.shard(hashing.avalanche(F.col("key")), SHARDS).alias("shard")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("accesses"))
+
+
+@query("""SELECT n AS shards, i AS shard, (1000 // n + CASE WHEN i < 1000 % n THEN 1 ELSE 0 END)::BIGINT AS capacity
+FROM (SELECT unnest([1, 2, 4, 8, 16, 32]) AS n) t, LATERAL (SELECT unnest(range(n)) AS i)""")
+def capacity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = [shard_count(k, 1000, 0, 8) for k in (1, 2, 4, 8, 16, 32)]
+    return spark.createDataFrame([(s, i, c) for s in n for i, c in enumerate(split(1000, s))], "shards int, shard long, capacity long")
+
+
+@query(f"""WITH a AS (SELECT event_id AS seq, user_id AS key, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+d AS (SELECT a.seq, count(b.seq) AS distance FROM a LEFT JOIN a b ON b.seq > a.before AND b.seq < a.seq
+  AND (b.after IS NULL OR b.after > a.seq) WHERE a.before IS NOT NULL GROUP BY a.seq)
+SELECT c AS capacity, (SELECT count(*) FROM d WHERE distance < c) AS hits, (SELECT count(*) FROM events) AS lookups,
+  (SELECT count(*) FROM d WHERE distance < c) / (SELECT count(*) FROM events)::DOUBLE AS hit_ratio
+FROM (SELECT unnest({CAPACITIES})::BIGINT AS c)""")
+def lru_hit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit ratio of LRU at many capacities from one pass, a single shard."""
+    trace = traces.event_accesses(spark, sf_dir).withColumn("shard", F.lit(0))
+    return lru.hit_curve(trace, CAPACITIES)
+
+
+def _replay(spark: SparkSession, sf_dir: str, policy: str, **more) -> DataFrame:
+    config = CacheConfig(policy=policy, shard_count=SHARDS, max_size=more.pop("max_size", 64), **more)
+    return replay.replay(traces.event_accesses(spark, sf_dir), config)
+
+
+@query()
+def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.summary(_replay(spark, sf_dir, "lru"))
+
+
+@query()
+def fifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.summary(_replay(spark, sf_dir, "fifo"))
+
+
+@query()
+def lfu_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.summary(_replay(spark, sf_dir, "lfu"))
+
+
+@query()
+def sieve_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.summary(_replay(spark, sf_dir, "sieve"))
+
+
+@query()
+def sieve_cost_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sieve with a cost budget and density admission."""
+    return replay.summary(_replay(spark, sf_dir, "sieve", max_cost=200, cost_admission="density"))
+
+
+@query()
+def weighted_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.summary(_replay(spark, sf_dir, "lru", max_size=0, max_cost=200))
+
+
+@query()
+def ops_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operations (get, set, delete, clear) with TTL under LRU, by cache."""
+    config = CacheConfig(policy="lru", shard_count=2, max_size=20, default_ttl_ns=TTL)
+    return replay.summary(replay.replay(traces.events(spark, sf_dir), config))
+
+
+@query()
+def removals_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OnRemove / OnEvict: removals counted by reason."""
+    config = CacheConfig(policy="sieve", shard_count=2, max_size=20, default_ttl_ns=TTL)
+    out = replay.removals(replay.replay(traces.events(spark, sf_dir), config))
+    return out.groupBy("cache", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.policy_stats(_replay(spark, sf_dir, "sieve"))
+
+
+@query()
+def cycle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.cycles(traces.event_accesses(spark, sf_dir), CacheConfig(policy="sieve", shard_count=SHARDS, max_size=64))
+
+
+@query("""SELECT event_id, least((event_id % 16)::HUGEINT * (1 + user_id % 100), 18446744073709551615::HUGEINT)::VARCHAR AS density,
+((event_id % 16)::HUGEINT * floor(sqrt(1 + user_id % 100))::BIGINT)::VARCHAR AS balanced FROM events""")
+def cost_admission_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar form of the cost-aware score: frequency event_id % 16 against a rival of cost 1 + user_id % 100."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    frequency, cost = F.col("event_id") % 16, F.lit(1) + F.col("user_id") % 100
+    root = F.floor(F.sqrt(cost)).cast("long")
+    root = F.when(root * root > cost, root - 1).when((root + 1) * (root + 1) <= cost, root + 1).otherwise(root)
+    most = F.lit(str((1 << 64) - 1)).cast("decimal(38,0)")
+
+    def product(a, b):
+        return F.least((a.cast("decimal(18,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)"), most).cast("string")
+
+    return e.select("event_id", product(frequency, cost).alias("density"), product(frequency, root).alias("balanced"))
+
+
+@query()
+def sketch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aging count-min estimates (with the first-touch bit) of every key after the whole trace, by shard."""
+    return _sketched(spark, sf_dir)
+
+
+@query("SELECT event_id AS seq, user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS first_touch FROM events")
+def doorkeeper_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact form of the doorkeeper's question: whether an access is its key's first."""
+    w = Window.partitionBy("key").orderBy("seq")
+    t = traces.event_accesses(spark, sf_dir).select("seq", "key")
+    return t.select("seq", "key", (F.row_number().over(w) == 1).alias("first_touch"))
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(key, pdf):
+        import pandas as pd
+
+        from tidemark.operators.sketch import Doorkeeper, Sketch
+
+        sketch, door = Sketch(4096), Doorkeeper(4096)
+        pdf = pdf.sort_values("seq")
+        for h in pdf["hash"]:
+            av = hashing.avalanche_int(h)
+            if door.add(av):
+                sketch.add(av)
+            sketch.samples += 1
+            if sketch.samples >= sketch.reset_at:
+                sketch.age()
+                door.clear()
+        own = pdf.drop_duplicates("key")
+        n = [min(15, sketch.estimate(av) + (av in door)) for av in map(hashing.avalanche_int, own["hash"])]
+        return pd.DataFrame({"shard": key[0], "key": own["key"], "estimate": n})
+
+    rows = replay.sharded(traces.event_accesses(spark, sf_dir), SHARDS).select("shard", "seq", "key", "hash")
+    return rows.groupBy("shard").applyInPandas(run, "shard int, key long, estimate int")
+
+
+# HTTP: pages are requests; method, headers and statuses are derived from the page id.
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = traces.pages(spark, sf_dir)
+    k = F.col("page_id")
+    controls = F.array(*[F.lit(c) for c in CONTROLS])
+    headers = F.create_map(F.lit("Accept"), F.when(k % 2 == 0, "text/html").otherwise(""), F.lit("authorization"), F.concat(F.lit("u"), (k % 5).cast("string")), F.lit("X-User"), (k % 7).cast("string"))
+    return p.select(
+        "page_id", "url", "path", "body_len",
+        F.when(k % 10 == 0, "POST").when(k % 3 == 0, "HEAD").otherwise("GET").alias("method"),
+        F.get(F.array(*[F.lit(s) for s in STATUSES]), (k % len(STATUSES)).cast("int")).alias("status"),
+        F.get(controls, (k % len(CONTROLS)).cast("int")).alias("cache_control"),
+        F.when(k % 2 == 0, "application/json; charset=utf-8").when(k % 3 == 0, "text/html").otherwise("text/plain").alias("content_type"),
+        headers.alias("headers"),
+    )
+
+
+CONTROLS = ["", "max-age=300", "public, max-age=600", "no-cache, max-age=300", "max-age=invalid", "No-Store", "private", "max-age=0", "s-maxage=9", "Max-Age = 60"]
+STATUSES = [200, 301, 404, 500, 204]
+REQ = f"""
+WITH req AS (
+  SELECT page_id, url, coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, length(html) AS body_len,
+    CASE WHEN page_id % 10 = 0 THEN 'POST' WHEN page_id % 3 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
+    ({STATUSES})[1 + page_id % {len(STATUSES)}] AS status, ({CONTROLS})[1 + page_id % {len(CONTROLS)}] AS cache_control,
+    CASE WHEN page_id % 2 = 0 THEN 'application/json; charset=utf-8' WHEN page_id % 3 = 0 THEN 'text/html' ELSE 'text/plain' END AS content_type
+  FROM pages
+)
+"""
+def decision(ttl) -> list:
+    """Whether a response is cached, and its TTL (0 if not)."""
+    return [ttl.isNotNull().alias("cached"), F.coalesce(ttl, F.lit(0)).cast("long").alias("ttl_ns")]
+
+
+def decision_sql(ttl: str) -> str:
+    return f"({ttl}) IS NOT NULL AS cached, coalesce({ttl}, 0)::BIGINT AS ttl_ns"
+
+
+TTLS = "CASE cache_control WHEN 'max-age=300' THEN 300 WHEN 'public, max-age=600' THEN 600 WHEN 'no-cache, max-age=300' THEN 300 WHEN 'Max-Age = 60' THEN 60 ELSE 0 END"
+
+
+@query(REQ + """SELECT page_id,
+  md5(method || url || CASE WHEN page_id % 2 = 0 THEN 'Accept:text/html' ELSE '' END || 'Authorization:u' || (page_id % 5)) AS default_key,
+  md5(method || url || 'X-User:' || (page_id % 7)) AS vary_key,
+  md5(method || path || CASE WHEN page_id % 2 = 0 THEN 'Accept:text/html' ELSE '' END || 'Authorization:u' || (page_id % 5)) AS path_hashed_key,
+  md5(method || url || 'user:' || (page_id % 7)) AS user_key FROM req""")
+def http_key_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = requests(spark, sf_dir)
+    m, u, h = F.col("method"), F.col("url"), F.col("headers")
+    return r.select(
+        "page_id", http.default_key(m, u, h).alias("default_key"), http.vary_key(m, u, h, ["X-User", "X-None"]).alias("vary_key"),
+        http.path_hashed_key(m, F.col("path"), h).alias("path_hashed_key"), http.user_key(m, u, h, "x-user").alias("user_key"),
+    )
+
+
+@query(REQ + "SELECT page_id, method || ':' || path AS path_key, path AS back FROM req")
+def http_key_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = requests(spark, sf_dir).withColumn("path_key", http.path_key(F.col("method"), F.col("path")))
+    return r.select("page_id", "path_key", http.path_of_key(F.col("path_key")).alias("back"))
+
+
+BY_HEADERS = f"""CASE WHEN method IN ('GET', 'HEAD') AND status IN (200, 201, 300, 301, 302, 304, 404, 410)
+  AND cache_control NOT IN ('no-cache, max-age=300', 'No-Store', 'private') THEN CASE WHEN {TTLS} > 0 THEN {TTLS} * 1000000000::BIGINT
+  ELSE 300000000000 END END"""
+BY_TYPE = """CASE WHEN status BETWEEN 200 AND 299 THEN CASE WHEN starts_with(content_type, 'application/json') THEN 600
+  WHEN starts_with(content_type, 'text/html') THEN 300 ELSE 60 END END * 1000000000::BIGINT"""
+BY_SIZE = "CASE WHEN status BETWEEN 200 AND 299 AND body_len BETWEEN 500 AND 3000 THEN 60000000000::BIGINT END"
+
+
+@query(REQ + f"SELECT page_id, {decision_sql(BY_HEADERS)} FROM req")
+def http_cache_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = requests(spark, sf_dir)
+    ttl = http.default_policy(F.col("method"), F.col("status"), F.col("cache_control"), F.lit(""), F.col("body_len"), F.lit("2024-01-01").cast("timestamp"))
+    return r.select("page_id", *decision(ttl))
+
+
+@query(REQ + f"SELECT page_id, {TTLS}::BIGINT AS seconds FROM req")
+def http_max_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests(spark, sf_dir).select("page_id", http.max_age_seconds(F.col("cache_control")).alias("seconds"))
+
+
+@query(REQ + f"SELECT page_id, {decision_sql(BY_TYPE)} FROM req")
+def http_by_content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"application/json": 600 * 10**9, "text/html": 300 * 10**9}
+    r = requests(spark, sf_dir)
+    return r.select("page_id", *decision(http.by_content_type(F.col("status"), F.col("content_type"), rules, 60 * 10**9)))
+
+
+@query(REQ + f"SELECT page_id, {decision_sql(BY_SIZE)} FROM req")
+def http_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = requests(spark, sf_dir)
+    return r.select("page_id", *decision(http.by_size(F.col("status"), F.col("body_len"), 500, 3000, 60 * 10**9)))
+
+
+@query(REQ + """SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS norm,
+  len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INTEGER AS depth FROM req""")
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = traces.pages(spark, sf_dir)
+    return p.select("page_id", http.normalized(F.col("path")).alias("norm"), F.size(http.segments(F.col("path"))).alias("depth"))
+
+
+@query(REQ + "SELECT page_id FROM req WHERE array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') = 'en/25'")
+def invalidate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = traces.pages(spark, sf_dir)
+    return p.where(http.invalidates("//en/25/", http.normalized(F.col("path")))).select("page_id")
+
+
+@query(REQ + """SELECT page_id FROM req WHERE array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') = 'fr'
+  OR starts_with(array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/'), 'fr/')""")
+def invalidate_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = traces.pages(spark, sf_dir)
+    return p.where(http.invalidates("/fr/*", http.normalized(F.col("path")))).select("page_id")
+
+
+@query(REQ + "SELECT page_id FROM req WHERE body_len > 2000")
+def invalidate_by_func(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """InvalidateByFunc: any predicate column."""
+    return traces.pages(spark, sf_dir).where("body_len > 2000").select("page_id")
+
+
+@query()
+def http_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrap: cacheable requests become read-through accesses by path, with the policy's TTL, and are replayed."""
+    r = requests(spark, sf_dir)
+    ttl = http.default_policy(F.col("method"), F.col("status"), F.col("cache_control"), F.lit(""), F.col("body_len"), F.lit("2024-01-01").cast("timestamp"))
+    ops = r.withColumn("ttl_ns", ttl).where(F.col("ttl_ns").isNotNull()).select(
+        F.col("page_id").alias("seq"), (F.col("page_id") * 1_000_000_000).alias("ts"), F.lit("http").alias("cache"),
+        F.xxhash64(F.get(http.segments(F.col("path")), F.lit(0)), F.col("page_id") % 50).alias("key"), F.lit("access").alias("op"),
+        F.lit(None).cast("double").alias("value"), "ttl_ns", F.lit(1).cast("long").alias("cost"),
+    )
+    return replay.summary(replay.replay(ops, CacheConfig(policy="sieve", max_size=http.MAX_SIZE, shard_count=http.SHARDS)))
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+

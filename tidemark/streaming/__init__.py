@@ -1 +1 @@
-
+"""Streaming forms: replay and TTL state kept between micro-batches."""
