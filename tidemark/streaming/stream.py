@@ -30,7 +30,7 @@ class Latest(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", ENTRY)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         pdf = pd.concat(list(rows)).sort_values("seq")
@@ -47,13 +47,13 @@ class Latest(StatefulProcessor):
                 out.append((*key, r.seq, "deleted", None, 0))
         yield pd.DataFrame(out, columns=["cache", "key", "seq", "event", "value", "deadline"])
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
         out = []
         if self.entry.exists():
             seq, value, at, _ = self.entry.get()
-            if 0 < at < info.getExpiryTimeInMs() * 1_000_000:
+            if 0 < at < expiredTimerInfo.getExpiryTimeInMs() * 1_000_000:
                 self.entry.clear()
                 out.append((*key, seq, "expired", value, at))
         yield pd.DataFrame(out, columns=["cache", "key", "seq", "event", "value", "deadline"])
