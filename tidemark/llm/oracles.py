@@ -51,5 +51,54 @@ FROM b
 """
 
 
+SUFFIX_DEDUP = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, n - 49)) AS i)
+), f AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS lost FROM w
+), b AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM d, LATERAL (SELECT unnest(range(0, n)) AS p)
+), g AS (
+  SELECT b.doc_id, p, x, coalesce(max(lost::INTEGER) OVER (PARTITION BY b.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.p
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM g
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+SHINGLE_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN CASE WHEN len(w) = 0 THEN [] ELSE [w] END
+                          ELSE list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) END) AS g FROM words)
+), sz AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN sz a ON a.doc_id = x JOIN sz b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b)
+SELECT d.doc_id, coalesce(sz.n, 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sz ON sz.doc_id = d.doc_id GROUP BY d.doc_id, sz.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op7_quality_rules": QUALITY_RULES}
+    return {
+        "op2_line_dedup": LINE_DEDUP,
+        "op3_suffix_dedup": SUFFIX_DEDUP,
+        "op6_shingle_join": SHINGLE_JOIN,
+        "op7_quality_rules": QUALITY_RULES,
+    }
