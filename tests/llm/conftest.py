@@ -17,8 +17,8 @@ def docs(spark):
     rows += base[:6] * 3 + ["", None, "   \n ", "one", "one two", "\n\n", "a" * 3000, "A b\n" * 12]
     rows += [f"{t}\nAll Rights  reserved.\n" for t in base[8:20]] + [base[30] + base[31] + base[32], "shared passage of words " * 8]
     rng.shuffle(rows)
-    data = [(3 * k + 1, t, "en", f"s{k % 3}", len(t or ""), "extra", 1) for k, t in enumerate(rows)]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, keys string, n int")
+    data = [(3 * k + 1, t, "en", f"s{k % 3}", len(t or ""), "extra", 1, False) for k, t in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, keys string, n int, kept boolean")
 
 
 @pytest.fixture(scope="session")

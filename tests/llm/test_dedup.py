@@ -22,12 +22,14 @@ def test_quality_rules(docs, rows):
 
 def test_quality_order_changes_nothing(docs):
     given = quality_rules.rules()
-    a = quality_rules.judge(docs, given).select("doc_id", "kept").collect()
-    b = quality_rules.judge(docs, dict(reversed(given.items()))).select("doc_id", "kept").collect()
+    a = quality_rules.judge(docs, given).select("doc_id", "_q_kept").collect()
+    b = quality_rules.judge(docs, dict(reversed(given.items()))).select("doc_id", "_q_kept").collect()
     assert sorted(a) == sorted(b)
 
 
-def test_line_dedup(docs, rows):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_line_dedup(docs, rows, limit, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
     kept = brute.line_dedup([t for _, t in rows])
     want = {i: (len((t or "").split("\n")), len((t or "").split("\n")) - len(k), hashlib.sha256("\n".join(k).encode()).hexdigest()) for (i, t), k in zip(rows, kept, strict=True)}
     got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.report(docs).collect()}

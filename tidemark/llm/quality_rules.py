@@ -111,26 +111,26 @@ def ordered(counted: DataFrame, total: int, given: dict[str, Column] | None = No
 
 
 def judge(docs: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
-    """docs with its counts, ``base_failed`` and ``kept``."""
+    """docs with its counts, ``_q_base_failed`` and ``_q_kept``."""
     from .common import shared_dir
 
     shared_dir(docs.sparkSession)
     counted = counts(docs)
-    verdict = F.when(F.col("base_failed"), False)
+    verdict = F.when(F.col("_q_base_failed"), False)
     for _, reject in ordered(counted, docs.count(), given):
         verdict = verdict.when(reject, False)
     # A filter on the verdict would be pushed below the counts with all their expressions written out in one another,
     # each many times; the row number beside the verdict, which is not deterministic, keeps it above them.
-    judged = counted.withColumn("base_failed", base_failed())
-    return judged.withColumns({"kept": verdict.otherwise(True), "_q_row": F.monotonically_increasing_id()})
+    judged = counted.withColumn("_q_base_failed", base_failed())
+    return judged.withColumns({"_q_kept": verdict.otherwise(True), "_q_row": F.monotonically_increasing_id()})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the cascade keeps, with their own columns."""
-    return judge(docs).where("kept AND _q_row >= 0").select(*docs.columns)
+    return judge(docs).where("_q_kept AND _q_row >= 0").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     out = judge(docs.select("doc_id", "text"))
-    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in own], "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in own])
