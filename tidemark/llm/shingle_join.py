@@ -8,12 +8,11 @@ everything below it. Pairs whose bound reaches the overlap that the similarity a
 The tree is sharded so that no link is lost and nothing is compared that can't be linked. Two sets of total size s with
 Jaccard t differ in at most s * (1 - t) / (1 + t) tokens. For each band of sizes the tokens are hashed into more groups
 than that; linked sets then agree in a whole group, so each set is sent to a cell for each of its groups' contents.
-Sets that meet in a cell are candidates, the connected parts of that graph are shards, and each shard has one R-tree
-(a shard larger than SHARD_BYTES is cut into blocks, and each pair of blocks has a tree of its own). Within a shard
+Sets that meet in a cell and whose points reach the bound are candidates (cells of many members search a tree of their
+own), the connected parts of that graph are shards, and each shard has one R-tree (a shard larger than SHARD_BYTES is cut into blocks, and each pair of blocks has a tree of its own). Within a shard
 pairs already connected are not verified again: components need no more links than that.
 
-Equal sets are one node from the start. A task meets a cell's sets at most once for each batch of its input, as
-a batch links its own and sends one of them on.
+Equal sets are one node from the start.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
 than a shingle are one shingle; rows of equal id are one document (its smallest set counts towards links of the others);
@@ -28,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import saved, text_bytes
 from .components import components
 
-GROUPS = 32  # dimensions of a point
+GROUPS = 64  # dimensions of a point
+SPAN = 32  # groups of a band whose cells share a home
+SMALL = 48  # members up to which a cell's pairs are all held against the bound at once
 FANOUT = 16
-SPARE = 2  # empty groups that a set may leave out
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 16_000_000
+BATCH = 3000  # documents whose cells are dealt together
 WORDS, PERCENT = 5, 80
 
 
@@ -94,28 +95,40 @@ def bands(percent: int, most: int) -> list[int]:
 
 
 def cells(s, percent: int, edges: list[int]):
-    """Keys of the cells of a set, none where only equal sets can be linked."""
+    """Keys of the cells of a set, none where only equal sets can be linked; and the home of each, which SPAN groups of
+    a band share, so that a set's point has to go to few places."""
     import bisect
 
     import numpy as np
 
-    out = []
+    keys, homes = [], []
     k = bisect.bisect_right(edges, len(s)) - 1
     for band in (k, k + 1):
         high = edges[band + 1] - 1
         differ = 2 * high * (100 - percent) // (100 + percent)
         if not differ:
             continue
-        m = differ + 1 + SPARE
+        spare = 4 + differ // 5  # so many more groups agree in a linked pair, and few sets have more empty ones than that
+        m = differ + 1 + spare
         group = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # grows along the sorted set
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         total = np.add.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
         tag = np.uint64((band + 1) * 1_000_003)
-        out.append(mix(total ^ mix(group[start] + tag)))
-        if m - len(start) > SPARE:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), group[start])
-            out.append(mix(mix(empty + tag) + np.uint64(1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        group = group[start]
+        keys.append(mix(total ^ mix(group + tag)))
+        homes.append(mix(group // np.uint64(SPAN) + tag))
+        if m - len(start) > spare:  # its empty groups count as contents too, or agreement might lie in them alone
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), group)
+            keys.append(mix(mix(empty + tag) + np.uint64(1)))
+            homes.append(mix(empty // np.uint64(SPAN) + tag))
+    return (np.concatenate(keys), np.concatenate(homes)) if keys else (np.zeros(0, np.uint64),) * 2
+
+
+def point(s, groups: int = GROUPS):
+    """The counts of a set's tokens by group."""
+    import numpy as np
+
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def digest(s) -> tuple[int, int]:
@@ -127,68 +140,185 @@ def digest(s) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([two >> 64, two & (1 << 64) - 1], np.uint64).view(np.int64))
 
 
-DIGESTS = "doc_id long, n_shingles long, d1 long, d2 long, keys binary"
+DIGESTS = "doc_id long, n_shingles long, d1 long, d2 long"
 
 
-def digest_pass(words: int, percent: int):
-    """A row a document; of a batch's documents with equal sets, the first carries the set's cells."""
+def digest_pass(words: int):
+    """A row a document."""
 
     def run(batches):
         import pyarrow as pa
 
-        cache, edges = Words(), bands(percent, 1 << 40)
+        cache = Words()
         for batch in batches:
             texts, ids = text_bytes(batch), batch.column(0).to_pylist()
-            for k in range(0, len(texts), 1000):
-                rows, seen = [], set()
-                for s in shingles(texts[k : k + 1000], words, cache):
-                    d = digest(s)
-                    rows.append((len(s), *d, cells(s, percent, edges).tobytes() if len(s) and d not in seen else None))
-                    seen.add(d)
-                n, d1, d2, keys = zip(*rows, strict=True)
-                cols = [pa.array(ids[k : k + 1000], pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(keys, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "d1", "d2", "keys"])
+            for k in range(0, len(texts), 250):
+                rows = [(len(s), *digest(s)) for s in shingles(texts[k : k + 250], words, cache)]
+                cols = [pa.array(ids[k : k + 250], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "d1", "d2"])
 
     return run
 
 
-def _chain(key, node):
-    """Links between neighbours in each cell (sorted by key), without repeats; and one member a cell."""
+def bound_reached(sizes, points, a, b, percent: int):
+    """Whether the summed minima of the pairs' points reach the overlap that a link needs."""
+    import numpy as np
+
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 100_000):
+        i, j = a[k : k + 100_000], b[k : k + 100_000]
+        bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
+        out[k : k + 100_000] = bound * (100 + percent) >= percent * (sizes[i] + sizes[j])
+    return out
+
+
+def cell_links(key, node, sizes, points, percent: int):
+    """Pairs of nodes (numbers) that meet in a cell and reach the bound, as many as connect what such pairs connect."""
     import numpy as np
 
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    same = key[1:] == key[:-1]
-    a, b = node[:-1][same], node[1:][same]
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    first = np.r_[True, ~same] if len(key) else np.zeros(0, bool)
-    return key[first], node[first], pairs
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[start, len(key)])
+    some = (count > 1) & (count <= SMALL)
+    pairs = []
+    for d in range(1, int(count[some].max(initial=1))):  # all pairs of the small cells, by their distance in the cell
+        at = start[some & (count > d)]
+        n = count[some & (count > d)] - d
+        i = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs.append(np.stack([node[i], node[i + d]], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs = pairs[bound_reached(sizes, points, pairs[:, 0], pairs[:, 1], percent)]
+    root = list(range(len(sizes)))
 
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def cell_rows(batches):
-    """(key, node) for each cell of the batch, and the links found in it as (null, a, b)."""
-    import numpy as np
-    import pyarrow as pa
+    out = []
 
-    for batch in batches:
-        blobs, d1 = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-        key = np.frombuffer(b"".join(blobs), np.int64)
-        node = np.repeat(d1, [len(b) // 8 for b in blobs])
-        key, node, pairs = _chain(key, node)
-        none = pa.nulls(len(pairs), pa.int64())
-        cols = [pa.chunked_array([pa.array(key), none]), pa.chunked_array([pa.array(node), pa.array(pairs[:, 0])]), pa.chunked_array([pa.nulls(len(key), pa.int64()), pa.array(pairs[:, 1])])]
-        yield from pa.table(cols, names=["key", "a", "b"]).to_batches()
+    def join(a, b):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+
+    for a, b in pairs.tolist():
+        join(a, b)
+    seen = set()
+    for k in np.flatnonzero(count > SMALL).tolist():  # the others by the tree, unless all of a cell is connected
+        own = np.unique(node[start[k] : start[k] + count[k]])
+        what = own.tobytes()
+        if what in seen or len({find(x) for x in own.tolist()}) == 1:
+            continue
+        seen.add(what)
+        tree, left = RTree(sizes[own], points[own]), np.ones(len(own), bool)
+        for first in range(len(own)):  # from one to all that it reaches; a search leaves little for the next
+            queue = [first] if left[first] else []
+            left[first] = False
+            while queue and left.any():
+                x = queue.pop()
+                near = tree.search(int(sizes[own[x]]), points[own[x]], percent)
+                near = near[left[near]]
+                left[near] = False
+                for y in near.tolist():
+                    join(int(own[x]), int(own[y]))
+                queue += near.tolist()
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def cell_pass(words: int, percent: int, buckets: int):
+    """A row for each bucket of cells and batch: the batch's cells there with one member each, and the links that the
+    batch has found itself. Packed: six bytes of the key and two of the member's place in a list of members, which come
+    with their sizes and points."""
+
+    def parts(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, BATCH):
+                yield text_bytes(batch.slice(first, BATCH))
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def cell_links(batches):
-    """Links in the cells of one partition, which holds at most a row for each cell and batch."""
+        cache, edges, fine = Words(), bands(percent, 1 << 40), max(1, buckets // 64)
+        for texts in parts(batches):
+            found, size, dots, home = {}, [], [], []
+            for k in range(0, len(texts), 250):
+                for s in shingles(texts[k : k + 250], words, cache):
+                    if len(s) and (d := digest(s)[0]) not in found:
+                        found[d], h = cells(s, percent, edges)
+                        home.append(h)
+                        size.append(len(s))
+                        dots.append(point(s).astype(np.uint16 if len(s) < 65536 else np.uint32))
+            if not found:
+                continue
+            key, home = np.concatenate(list(found.values())), np.concatenate(home)
+            node = np.repeat(np.arange(len(found)), [len(x) for x in found.values()])
+            name, size, dots = np.fromiter(found, np.int64, len(found)), np.array(size), np.stack(dots).astype(np.uint32)
+            pairs = name[cell_links(key, node, size, dots, percent)]
+            bucket = ((home + key % np.uint64(fine)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((node, key, bucket))
+            key, node, bucket = key[order], node[order], bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            out = []
+            for b in range(buckets):
+                k, (members, place) = key[cut[b] : cut[b + 1]], np.unique(node[cut[b] : cut[b + 1]], return_inverse=True)
+                links = pairs if b == 0 else pairs[:0]
+                wide = int(dots[members].max(initial=0) > 65535)
+                head = np.array([len(k), len(members), len(links), wide], np.int64)
+                six = k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                of = dots[members].astype(np.uint32 if wide else np.uint16)
+                out.append(b"".join([head.tobytes(), name[members].tobytes(), links.tobytes(), size[members].astype(np.int64).tobytes(), of.tobytes(), place.astype(np.uint16).tobytes(), six]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+    return run
+
+
+def bucket_links(blobs: list[bytes], percent: int):
+    """Links in the cells of one bucket."""
     import numpy as np
-    import pyarrow as pa
 
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if parts:
-        pairs = _chain(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))[2]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    keys, nodes, links, names, sizes, dots = [], [], [], [], [], []
+    total = 0
+    for x in blobs:
+        n, m, p, wide = np.frombuffer(x, np.int64, 4).tolist()
+        at = 32
+        names.append(np.frombuffer(x, np.int64, m, at))
+        links.append(np.frombuffer(x, np.int64, 2 * p, at + 8 * m).reshape(-1, 2))
+        at += 8 * m + 16 * p
+        sizes.append(np.frombuffer(x, np.int64, m, at))
+        at += 8 * m
+        dots.append(np.frombuffer(x, np.uint32 if wide else np.uint16, GROUPS * m, at).reshape(-1, GROUPS))
+        at += GROUPS * m * (4 if wide else 2)
+        nodes.append(np.frombuffer(x, np.uint16, n, at).astype(np.int64) + total)
+        six = np.zeros((n, 8), np.uint8)
+        six[:, :6] = np.frombuffer(x, np.uint8, 6 * n, at + 2 * n).reshape(-1, 6)
+        keys.append(six.view(np.uint64).ravel())
+        total += m
+    name, first, inverse = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    size, points = np.concatenate(sizes)[first], np.concatenate(dots)[first]
+    found = cell_links(np.concatenate(keys), inverse[np.concatenate(nodes)], size, points, percent)
+    return np.concatenate([name[found], *links])
+
+
+def link_cells(percent: int):
+    """Links of the buckets of one partition, which come sorted by bucket."""
+
+    def run(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        rows = ((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            pairs = bucket_links([x for _, x in own], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
 
 
 class RTree:
@@ -198,7 +328,7 @@ class RTree:
         import numpy as np
 
         self.n, self.points = sizes, points
-        half = points[:, : GROUPS // 2].sum(1)
+        half = points[:, : points.shape[1] // 2].sum(1)
         quarter = points[:, ::2].sum(1)
         order = np.argsort(sizes, kind="stable")  # slices by size, then by the half, then by the quarter
         slab = max(FANOUT, int(np.ceil(len(order) ** (2 / 3))))
@@ -223,7 +353,7 @@ class RTree:
             else:
                 i = self.order[at]
                 top, low, high = self.points[i], self.n[i], self.n[i]
-            bound = np.minimum(top, point).sum(1)
+            bound = np.minimum(top, point).sum(1, dtype=np.int64)
             ok = bound * (100 + percent) >= percent * (size + low)
             ok &= (low * percent <= 100 * size) & (high * 100 >= percent * size)
             at = at[ok]
@@ -256,43 +386,42 @@ def shard_links(ids: list[int], sets: list, side: list[int], percent: int) -> li
     """Links that connect what is linked; side: with two sides, only pairs across them are looked at."""
     import numpy as np
 
-    root = list(range(len(ids)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    # Counts of about eight a group: with fewer groups, chance alone gives large sets the minima of near ones.
+    groups = 1 << min(12, max(6, (int(sizes.mean()) // 8).bit_length()))
+    points = np.stack([point(s, groups) for s in sets]).astype(np.uint16 if sizes.max() < 65536 else np.uint32)
     tree, across, sides = RTree(sizes, points), len(set(side)) > 1, np.array(side)
+    part = np.arange(len(ids))  # the connected part of each
     out = []
     for q in range(len(ids)):
-        found = tree.search(int(sizes[q]), points[q], percent)
-        found = found[(sides[found] != side[q]) if across else found < q]
         if across and side[q]:
             continue
-        done = {find(q)}
-        for x in found.tolist():
-            r = find(x)
-            if r in done or find(q) == r:
-                continue
+        found = tree.search(int(sizes[q]), points[q], percent)
+        found = found[(sides[found] != side[q]) if across else found < q]
+        found = found[part[found] != part[q]]
+        while len(found):
+            x = int(found[0])
             common = overlap(sets[q], sets[x])
             if 100 * common >= percent * (sizes[q] + sizes[x] - common):
-                root[r] = find(q)
+                part[part == part[x]] = part[q]
                 out.append((ids[q], ids[x]))
+                found = found[part[found] != part[q]]
+            else:
+                found = found[1:]
     return out
 
 
-def link_pass(percent: int):
-    """Links of the shards of one partition; its rows come sorted by shard."""
+def link_pass(words: int, percent: int):
+    """Links of the shards of one partition; its rows (root, i, j, side, rep, d1, d2, z) come sorted by shard. A text
+    that hasn't the digest it was chosen for belongs to another row of the same id."""
 
     def run(batches):
         from itertools import groupby
 
-        import numpy as np
         import pyarrow as pa
+        import zstandard
+
+        cache, unpack = Words(), zstandard.ZstdDecompressor().decompress
 
         def rows():
             for b in batches:
@@ -300,8 +429,13 @@ def link_pass(percent: int):
 
         for _, own in groupby(rows(), key=lambda r: r[:3]):
             own = list(own)
-            sets = [np.frombuffer(r[5], np.uint64) for r in own]
-            links = shard_links([r[4] for r in own], sets, [r[3] for r in own], percent) if len(own) > 1 else []
+            sets = []
+            for k in range(0, len(own), 100):  # the words of few texts at once
+                sets += shingles([unpack(r[7]) for r in own[k : k + 100]], words, cache)
+            keep = [k for k, (r, s) in enumerate(zip(own, sets, strict=True)) if digest(s) == r[5:7]]
+            if len(keep) < 2:
+                continue
+            links = shard_links([own[k][4] for k in keep], [sets[k] for k in keep], [own[k][3] for k in keep], percent)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -309,23 +443,14 @@ def link_pass(percent: int):
     return run
 
 
-def set_pass(words: int):
-    """The sets of the texts that still have the digest they were chosen for."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        cache = Words()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sets = shingles(text_bytes(part), words, cache)
-                want = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                keep = [x for x, (s, w) in enumerate(zip(sets, want, strict=True)) if digest(s) == w]
-                cols = [part.column(0).take(pa.array(keep, pa.int32())), part.column(4).take(pa.array(keep, pa.int32())), pa.array([sets[x].tobytes() for x in keep], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["rep", "root", "set"])
+def packed(batches):
+    """Texts compressed for the way: smaller than their sets."""
+    import pyarrow as pa
+    import zstandard
 
-    return run
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t) for t in text_bytes(batch)], pa.binary())], ["doc_id", "z"])
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -333,24 +458,23 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = saved(docs.mapInArrow(digest_pass(words, percent), DIGESTS), "digests")
-    found = saved(digests.where("keys IS NOT NULL AND length(keys) > 0").select("keys", "d1").mapInArrow(cell_rows, "key long, a long, b long"), "cells")
-    links = found.where("key IS NOT NULL").select("key", "a").repartition(parts, "key").mapInArrow(cell_links, "a long, b long")
-    links = links.unionByName(found.where("key IS NULL").select("a", "b"))
+    digests = saved(docs.mapInArrow(digest_pass(words), DIGESTS), "digests")
+    found = docs.mapInArrow(cell_pass(words, percent, parts), "bucket int, blob binary")
+    links = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(link_cells(percent), "a long, b long")
     shards = components(links)
     reps = digests.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     reps = saved(reps, "reps")
     chosen = reps.join(shards, reps["d1"] == shards["node"]).select("rep", "d1", "d2", "root", "n")
-    texts = docs.join(chosen, docs["doc_id"] == chosen["rep"]).select("rep", "text", "d1", "d2", "root")
-    sets = texts.mapInArrow(set_pass(words), "rep long, root long, set binary")
     blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") * 8 / SHARD_BYTES).alias("blocks"))
-    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    texts = docs.mapInArrow(packed, "doc_id long, z binary")
+    chosen = chosen.join(blocks, "root").select("rep", "d1", "d2", "root", "blocks")  # before the texts, which move less then
+    dealt = texts.join(chosen, texts["doc_id"] == chosen["rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
-    dealt = dealt.select("root", low.alias("i"), high.alias("j"), side.alias("side"), "rep", "set")
+    dealt = dealt.select("root", low.alias("i"), high.alias("j"), side.alias("side"), "rep", "d1", "d2", "z")
     dealt = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    joined = components(dealt.mapInArrow(link_pass(percent), "a long, b long"))
+    joined = components(dealt.mapInArrow(link_pass(words, percent), "a long, b long"))
     named = reps.join(joined, reps["rep"] == joined["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     own = digests.select("doc_id", "n_shingles", "d1", "d2")
     out = own.join(named, ["d1", "d2"], "left")
