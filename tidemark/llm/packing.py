@@ -8,7 +8,7 @@ last rest into sequences whose lengths are powers of two, so no position is padd
 
 Ids come from a cache by white-space-delimited chunk. The tokenizer removes white space, and none of its rules looks
 across it, so the chunks' ids in a row are the text's ids; the tests compare them. Chunks not in the cache are encoded
-together, divided by a special token that no chunk holds.
+together.
 
 Defined cases: a null or empty text is the end id alone; equal texts and repeated rows are packed one by one; an empty
 table gives no piece; further columns are ignored.
@@ -26,9 +26,9 @@ from .common import saved, text_bytes
 
 WINDOW = 2048
 OPEN = 32  # windows a partition keeps open
-GROUP = 64  # partitions whose leftovers are merged together
+GROUP = 16  # partitions whose leftovers are merged together
 END_ID = 1
-CACHE = 300_000  # chunks in each of the two generations of an executor's cache
+CACHE = 400_000  # chunks in each of the two generations of an executor's cache
 TOKENIZER = "word_bpe_49k.json"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,10 +41,15 @@ class ChunkEncoder:
     DIVIDER = "<|endoftext|>"
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.divider = self.tokenizer.token_to_id(self.DIVIDER)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = {m[0]: self._encode(m.decode()).tobytes() for m in (b".", b",")}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -54,33 +59,77 @@ class ChunkEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, chunks: list[bytes]) -> None:
+        """A chunk of letters is one word to the tokenizer, which marks the last id of a word; such chunks are encoded
+        as one text. The others are kept apart by a special token, or encoded alone if they hold its first letters."""
         import numpy as np
 
-        plain = [c for c in chunks if b"<|" not in c]
+        letters, others = [], []
         for c in chunks:
             if b"<|" in c:
                 self.new[c] = self._encode(c.decode()).tobytes()
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
-            ids = self._encode(self.DIVIDER.join(c.decode() for c in some))
-            ends = np.r_[-1, np.flatnonzero(ids == self.divider), len(ids)] * 4
-            raw = ids.tobytes()
-            self.new.update((c, raw[a + 4 : b]) for c, a, b in zip(some, ends.tolist(), ends[1:].tolist(), strict=False))
+            else:
+                (letters if c.decode().isalpha() else others).append(c)
+        for k in range(0, len(letters), 20_000):
+            part = letters[k : k + 20_000]
+            ids = self._encode(" ".join(c.decode() for c in part))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._store(part, ids, np.r_[0, ends[:-1]], ends)
+            else:  # a letter whose lower case isn't letters alone makes two words of one
+                others += part
+        for k in range(0, len(others), 20_000):
+            part = others[k : k + 20_000]
+            ids = self._encode(self.DIVIDER.join(c.decode() for c in part))
+            at = np.flatnonzero(ids == self.divider)
+            self._store(part, ids, np.r_[0, at + 1], np.r_[at, len(ids)])
+
+    def _store(self, chunks: list[bytes], ids, start, end) -> None:
+        raw = ids.tobytes()
+        self.new.update((c, raw[a:b]) for c, a, b in zip(chunks, (4 * start).tolist(), (4 * end).tolist(), strict=True))
+
+    def _spell(self, chunks: set[bytes]) -> None:
+        """Ids of new chunks by way of their lower case without a last full stop or comma after a letter: the tokenizer
+        lower-cases, and divides letters from marks."""
+        new, old, marks = self.new, self.old, self.marks
+        waiting, need = [], set()
+        for c in chunks:
+            w, mark = c, b""
+            if b"<|" not in c:
+                w = c.lower()
+                if w[-1] in marks and w[-2:-1].isalpha():
+                    w, mark = w[:-1], marks[w[-1]]
+            ids = new.get(w)
+            if ids is None:
+                ids = old.get(w)
+            if ids is None:
+                need.add(w)
+                waiting.append((c, w, mark))
+            else:
+                new[c] = ids + mark
+        self._learn(list(need))
+        for c, w, mark in waiting:
+            new[c] = new[w] + mark
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 500):
             split = [t.split() for t in texts[at : at + 500]]
-            seen = set().union(*split)
-            need = seen.difference(self.new)
-            if need and self.old:
-                again = [c for c in need if c in self.old]
-                self.new.update((c, self.old[c]) for c in again)
-                need.difference_update(again)
+            found = [list(map(self.new.get, words)) for words in split]
+            gaps = []
+            for n, ids in enumerate(found):
+                k = -1
+                for _ in range(ids.count(None)):
+                    k = ids.index(None, k + 1)
+                    gaps.append((n, k))
+            need = {split[n][k] for n, k in gaps}
+            again = [c for c in need if c in self.old]
+            self.new.update((c, self.old[c]) for c in again)
+            need.difference_update(again)
             if need:
-                self._learn(list(need))
-            get = self.new.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
+                self._spell(need)
+            for n, k in gaps:
+                found[n][k] = self.new[split[n][k]]
+            out += map(b"".join, found)
             if len(self.new) > CACHE:
                 self.old, self.new = self.new, {}
         return out
