@@ -209,3 +209,26 @@ def test_packer_keeps_few_windows_open():
             out += 64
         assert len(p.open) <= 4 and p.room == sorted(p.room) and all(0 < r < 64 for r in p.room)
     assert n == out + sum(64 - r for r in p.room)
+
+
+def test_class_lm_gives_each_rare_word_its_own_class(spark, monkeypatch):
+    """Words of one ending that stand in opposite contexts, and far too rare to be clustered at the start."""
+    monkeypatch.setattr(class_lm, "COMMON", 40)
+    rng = random.Random(3)
+    left, right = [f"a{k}" for k in range(15)], [f"b{k}" for k in range(15)]
+    verbs, nouns = [f"verb{k}xyz" for k in range(60)], [f"noun{k}xyz" for k in range(60)]
+    texts = []
+    for k in range(600):
+        texts.append(" ".join(x for _ in range(20) for x in (rng.choice(left), rng.choice(left), rng.choice(right), rng.choice(right))) + f" {rng.choice(left)} {verbs[k % 60]} {rng.choice(left)} {rng.choice(right)} {nouns[k % 60]} {rng.choice(right)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _, placed = class_lm.fit(docs, F.lit(True))
+    of = {}
+    for r in placed.collect():
+        words = [b"\n", *texts[r["doc_id"]].encode().split(), b"\n"]
+        for w, c in zip(words, r["classes"], strict=True):
+            assert of.setdefault(w, c) == c
+    assert {of[w.encode()] for w in verbs}.isdisjoint({of[w.encode()] for w in nouns})
+    total = np.ones(class_lm.CLASSES)
+    for w, n in Counter(w for t in texts for w in [*t.split(), "\n"]).items():
+        total[of[w.encode()]] += n + 1
+    assert np.allclose(total / 10**model.total, 1)

@@ -1,14 +1,16 @@
 """LM scoring with a Brown class-based bigram model.
 
-p(word | previous word) = p(class | previous class) * p(word | class). Exchange clustering moves one item at a time to
-the class that raises the training likelihood most, until nothing moves. Items are the CLUSTERED most frequent words,
-each for itself, and the rest of the vocabulary by word ending (ENDINGS groups), so every word, known or not, has a
-class. Transitions are interpolated with the class frequencies, and a class emits each of its words with
-(count + 1) / (tokens + distinct words + 1), where the last 1 is for words that were never seen; both sum to one.
-
-Counting covers all training text: every word's exact count is gathered in a table that grows with the corpus, and the
-item bigrams fill a matrix of fixed size. A scoring pass resolves the COMMON most frequent words from a broadcast list
-of fixed size and joins the others to the count table; rare words cannot be hot keys.
+p(word | previous word) = p(class | previous class) * p(word | class). Every training word has a class of its own. The
+start is exchange clustering on the driver of the CLUSTERED most frequent words and of ENDINGS groups of all others by
+word ending, one item at a time until nothing moves. Then ROUNDS distributed sweeps take every word: a table that grows
+with the corpus gathers each word's counts of neighbouring classes, and each word moves to the class under which they
+are most likely while the classes' statistics are frozen. A sweep that does not raise the training likelihood is undone
+and ends the sweeps. Only words that were never seen take the class that their ending had at the start. Transitions are
+interpolated with the class frequencies, and a class emits each of its words with (count + 1) / (tokens + distinct words
++ 1), where the last 1 is for words that were never seen; both sum to one.
+
+Counting covers all training text. The COMMON most frequent words are resolved from a broadcast list of fixed size, with
+their counts and classes; the others' are joined to the documents that hold them, and rare words cannot be hot keys.
 
 Words are split at ASCII white space with A-Z lower-cased; one end token closes a text and is the context of its first
 word. Defined cases: a null or empty text is the end token alone; repeated rows count and are scored one by one; with
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, saved, text_bytes
 
-CLUSTERED = 960  # words that are clustered one by one
-ENDINGS = 64  # groups of all other words, by ending
+CLUSTERED = 960  # words that start as items of their own
+ENDINGS = 64  # groups of all other words at the start, by ending
 ITEMS = CLUSTERED + ENDINGS
 CLASSES = 48
 SWEEPS = 12
+ROUNDS = 2  # sweeps over all words
+BLOCK = 64  # words of the list in a row of counts
+NONE = CLASSES  # no neighbour on this side
 BACKOFF = 50.0  # pseudo-counts of the class frequencies in a transition
 COMMON = 150_000  # words whose counts travel with the code; the rest is joined
 FLUSH = 200_000  # distinct words that a task counts before it hands them on
@@ -63,7 +68,7 @@ def count_words(batches):
 
 
 class Words:
-    """The most frequent words, with counts and items."""
+    """The most frequent words, with counts."""
 
     def __init__(self, words: list[bytes], counts: list[int]):
         import numpy as np
@@ -75,35 +80,97 @@ class Words:
         return {"words": self.words, "counts": self.counts, "place": None}
 
     def ready(self) -> Words:
-        import numpy as np
-
         if self.place is None:
             self.place = {w: k for k, w in enumerate(self.words)}
-            self.item = np.array([k if k < CLUSTERED else ending(w) for k, w in enumerate(self.words)], np.int32)
         return self
 
     def look(self, flat: list[bytes]):
-        """Places in the list (-1: not in it) and items."""
+        """Places in the list (-1: not in it) and items: the place, or the ending after all places."""
         import numpy as np
 
-        self.ready()
-        get = self.place.get
+        get = self.ready().place.get
         at = np.fromiter((get(w, -1) for w in flat), np.int32, len(flat))
-        item = self.item[at] if len(self.words) else np.zeros(len(flat), np.int32)
-        rare = np.flatnonzero(at < 0)
-        if len(rare):
-            item[rare] = [ending(flat[k]) for k in rare.tolist()]
+        item = at.copy()
+        for k in np.flatnonzero(at < 0).tolist():
+            item[k] = len(self.words) + ending(flat[k]) - CLUSTERED
         return at, item
 
 
-def flattened(texts: list[bytes]):
-    """All tokens after a leading end token, and the token number of each text."""
-    flat, sizes = [END], []
-    for t in texts:
-        own = tokens(t)
-        flat += own
-        sizes.append(len(own))
-    return flat, sizes
+CODED = "uid long, doc_id long, train boolean, ids binary, rare array<binary>"
+
+
+def code_pass(words):
+    """One row a text: its tokens after a leading end token as places in the list, or -1 - j for its j-th other word."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        place, uid = words.value.ready().place, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ids, rare = [], []
+            for text in text_bytes(batch):
+                own: dict[bytes, int] = {}
+                flat = [END, *tokens(text)]
+                at = [place.get(w) for w in flat]
+                for k, x in enumerate(at):
+                    if x is None:
+                        at[k] = -1 - own.setdefault(flat[k], len(own))
+                ids.append(np.array(at, np.int32).tobytes())
+                rare.append(list(own))
+            cols = [pa.array(np.arange(uid, uid + len(ids))), batch.column(0).cast(pa.int64()), batch.column(2), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))]
+            uid += len(ids)
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "train", "ids", "rare"])
+
+    return run
+
+
+class Tokens:
+    """The tokens of a batch of coded texts, in one row: ids, leading tokens, other words and where they are."""
+
+    def __init__(self, batch):
+        import numpy as np
+
+        raw = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+        self.size = np.array([len(x) // 4 for x in raw], np.int64)
+        self.ids = np.frombuffer(b"".join(raw), np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        self.lead = np.zeros(len(self.ids), bool)
+        self.lead[self.start] = True
+        words = batch.column(batch.schema.get_field_index("rare")).to_pylist()
+        n = np.array([len(x) for x in words], np.int64)
+        self.base = np.cumsum(n) - n
+        self.rare = [w for own in words for w in own]
+        self.spots = np.flatnonzero(self.ids < 0)
+        text = np.searchsorted(self.start, self.spots, "right") - 1
+        self.which = self.base[text] - 1 - self.ids[self.spots]  # number in rare
+
+    def filled(self, common, others, kind):
+        """One value a token, from the list's and the other words' values."""
+        import numpy as np
+
+        out = np.zeros(len(self.ids), kind)
+        known = self.ids >= 0
+        out[known] = common[self.ids[known]]
+        out[self.spots] = others[self.which]
+        return out
+
+    def classes(self, batch, common, bins):
+        """Class of each token, and the training count of each other word (0: never seen or not joined)."""
+        import numpy as np
+
+        k, c = np.full(len(self.rare), -1, np.int64), np.zeros(len(self.rare), np.int64)
+        at = batch.schema.get_field_index("found")
+        if at >= 0:
+            col = batch.column(at)
+            n = np.asarray(col.value_lengths().fill_null(0))
+            x = col.flatten()
+            to = np.repeat(self.base, n) + np.asarray(x.field("j"))
+            k[to], c[to] = np.asarray(x.field("k")), np.asarray(x.field("c"))
+        for i in np.flatnonzero(k < 0).tolist():
+            k[i] = bins[ending(self.rare[i]) - CLUSTERED]
+        return self.filled(common, k, np.int64), c
 
 
 def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
@@ -162,35 +229,232 @@ def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
 class Model:
     """Frozen statistics: words, class of each item, log10 transitions and log10 emission totals."""
 
-    def __init__(self, words: Words, pairs, distinct, n: int, v: int):
-        """distinct: distinct training words of each item; n, v: all training tokens and distinct words."""
+    def __init__(self, words: Words, of, joint, distinct, n: int, v: int):
+        """joint, distinct: class bigrams and distinct training words of each class; n, v: all training tokens and
+        distinct words."""
         import numpy as np
 
-        self.words, self.n, self.v = words, n, v
-        self.of = exchange(pairs)
-        one = np.eye(CLASSES)[self.of]
-        joint = one.T @ pairs @ one
+        self.words, self.of, self.n, self.v = words, of, n, v
         size = joint.sum(0)  # every token follows another, so these are the classes' tokens
         prior = (size + 1) / (n + CLASSES)
         self.step = np.log10((joint + BACKOFF * prior) / (joint.sum(1, keepdims=True) + BACKOFF))
-        self.total = np.log10(size + one.T @ distinct + 1)
-        self.plus = np.log10(words.counts + 1.0)
+        self.total = np.log10(size + distinct + 1)
         self.base_total = float(np.log10(n + v + 1))
 
 
+def likelihood(joint) -> float:
+    """Log likelihood of the training text under the classes, without the words' own counts."""
+    import numpy as np
+
+    def xlog(x):
+        return float((x * np.log(np.maximum(x, 1.0))).sum())
+
+    return xlog(joint) - xlog(joint.sum(1)) - xlog(joint.sum(0))
+
+
+def weights(joint):
+    """Worth of each class (columns) for one neighbour of each class after a word, and before it; the last row is for
+    no neighbour."""
+    import numpy as np
+
+    def side(x):  # x[b, c]: neighbours of class c of the words of class b
+        prior = (x.sum(0) + 1) / (x.sum() + CLASSES)
+        p = np.log((x + BACKOFF * prior) / (x.sum(1, keepdims=True) + BACKOFF))
+        return np.vstack([p.T, np.zeros(CLASSES)])
+
+    joint = np.asarray(joint, float)
+    return side(joint), side(joint.T)
+
+
+def joint_of(c, lead):
+    import numpy as np
+
+    y = np.flatnonzero(~lead)
+    return np.bincount(c[y - 1] * CLASSES + c[y], minlength=CLASSES * CLASSES)
+
+
+GATHERED = "block int, w binary, counts binary"
+
+
+def gather_pass(shared):
+    """Counts of neighbouring classes in a partition: block -1 is the class bigrams, -2 a word that is not in the list
+    with the classes after and before each of its places, and from 0 on BLOCK words of the list (cells and counts)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(block, w, counts):
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(w, pa.binary()), pa.array(counts, pa.binary())], ["block", "w", "counts"])
+
+        common, bins = shared.value
+        wide = 2 * CLASSES
+        n_blocks = -(-len(common) // BLOCK)
+        cells, joint = np.zeros(n_blocks * BLOCK * wide, np.int32), np.zeros(CLASSES * CLASSES, np.int64)
+        held: dict[bytes, list[bytes]] = {}
+
+        def handed():
+            out = rows([-2] * len(held), list(held), [b"".join(x) for x in held.values()])
+            held.clear()
+            return out
+
+        for batch in batches:
+            t = Tokens(batch)
+            c, _ = t.classes(batch, common, bins)
+            joint += joint_of(c, t.lead)
+            y = np.flatnonzero(~t.lead)
+            for word, cell in ((y - 1, c[y]), (y, CLASSES + c[y - 1])):
+                ids = t.ids[word]
+                known = ids >= 0
+                np.add.at(cells, *np.unique(ids[known].astype(np.int64) * wide + cell[known], return_counts=True))
+            if len(t.spots):
+                end = np.r_[t.lead[1:], True]
+                after, before = np.r_[c[1:], NONE], np.r_[NONE, c[:-1]]
+                sides = np.c_[np.where(end, NONE, after), np.where(t.lead, NONE, before)][t.spots].astype(np.uint8)
+                order = np.argsort(t.which, kind="stable")
+                raw, number = sides[order].tobytes(), t.which[order]
+                at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+                for k, a, b in zip(number[at].tolist(), at.tolist(), [*at[1:].tolist(), len(number)], strict=True):
+                    held.setdefault(t.rare[k], []).append(raw[2 * a : 2 * b])
+            if len(held) > FLUSH:
+                yield handed()
+        yield handed()
+        yield rows([-1], [None], [joint.tobytes()])
+        for b in range(n_blocks):
+            own = cells[b * BLOCK * wide : (b + 1) * BLOCK * wide]
+            some = np.flatnonzero(own)
+            if len(some):
+                yield rows([b], [None], [some.astype(np.uint16).tobytes() + own[some].tobytes()])
+
+    return run
+
+
+def move_common(shared):
+    """New classes of a block of the list."""
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        after, before = shared.value
+        total = np.zeros(BLOCK * 2 * CLASSES)
+        for x in table.column("counts"):
+            raw = x.as_py()
+            n = len(raw) // 6
+            total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw[2 * n :], np.int32)
+        total = total.reshape(BLOCK, 2 * CLASSES)
+        k = (total @ np.vstack([after[:NONE], before[:NONE]])).argmax(1)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([k.astype(np.uint8).tobytes()], pa.binary())})
+
+    return run
+
+
+def move_rare(shared):
+    """Counts and new classes of the words that are not in the list."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        after, before = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                raw = [b"".join(x) for x in part.column(1).to_pylist()]
+                sides = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2)
+                start = np.cumsum([0, *[len(x) // 2 for x in raw[:-1]]])
+                worth = np.add.reduceat(after[sides[:, 0]] + before[sides[:, 1]], start)
+                c = np.add.reduceat((sides[:, 1] != NONE).astype(np.int64), start)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c), pa.array(worth.argmax(1).astype(np.int32))], ["w", "c", "k"])
+
+    return run
+
+
+def found(coded: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """The coded texts with counts and classes of their words that are not in the list."""
+    if rare is None:
+        return coded
+    x = coded.select("uid", F.posexplode("rare").alias("j", "w")).join(rare, "w")
+    x = x.groupBy("uid").agg(F.collect_list(F.struct("j", "c", "k")).alias("found"))
+    return coded.join(x, "uid", "left")
+
+
+PLACED = "doc_id long, train boolean, n_tokens long, n_known long, plus double, classes binary"
+
+
+def place_pass(shared):
+    """One row a text: its known tokens, the logs of their counts, and the class of every token."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words, common, bins = shared.value
+        logs = np.log10(words.counts + 1.0)
+        for batch in batches:
+            t = Tokens(batch)
+            c, n = t.classes(batch, common, bins)
+            plus = t.filled(logs, np.log10(n + 1.0), float)
+            known = t.filled(np.ones(len(common), np.int64), (n > 0).astype(np.int64), np.int64)
+            plus[t.lead], known[t.lead] = 0, 0
+            raw = c.astype(np.uint8).tobytes()
+            own = [raw[a : a + n] for a, n in zip(t.start.tolist(), t.size.tolist(), strict=True)]
+            at = [batch.schema.get_field_index(x) for x in ("doc_id", "train")]
+            sums = [np.add.reduceat(x, t.start) if len(own) else x for x in (known, plus)]
+            cols = [*(batch.column(i) for i in at), pa.array(t.size - 1), *map(pa.array, sums), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PLACED.split(", ")])
+
+    return run
+
+
+def class_tokens(batch):
+    """Classes of all tokens of a batch of placed texts, the texts' first places, and which tokens lead."""
+    import numpy as np
+
+    own = batch.column(batch.schema.get_field_index("classes")).to_pylist()
+    size = np.array([len(x) for x in own], np.int64)
+    start = np.cumsum(size) - size
+    c = np.frombuffer(b"".join(own), np.uint8).astype(np.int64)
+    lead = np.zeros(len(c), bool)
+    lead[start] = True
+    return c, start, lead
+
+
+def joint_pass(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        c, _, lead = class_tokens(batch)
+        total += joint_of(c, lead)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+
+def summed(rows: DataFrame):
+    """Class bigrams of all partitions."""
+    import numpy as np
+
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for r in rows.select("counts").toLocalIterator():
+        total += np.frombuffer(r["counts"], np.int64)
+    return total.reshape(CLASSES, CLASSES)
+
+
 def pair_counts(words, kept=16):
-    """Item bigrams of a partition: rows (block, counts) of ``kept`` matrix rows each."""
+    """Bigrams of the starting items in a partition of coded texts: rows (block, counts) of ``kept`` matrix rows each."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        w, total = words.value.ready(), np.zeros(ITEMS * ITEMS, np.int64)
+        item = np.array([k if k < CLUSTERED else ending(w) for k, w in enumerate(words.value.words)], np.int64)
+        total = np.zeros(ITEMS * ITEMS, np.int64)
         for batch in batches:
-            texts = text_bytes(batch)
-            for k in range(0, len(texts), 500):
-                _, item = w.look(flattened(texts[k : k + 500])[0])
-                np.add.at(total, *np.unique(item[:-1].astype(np.int64) * ITEMS + item[1:], return_counts=True))
+            t = Tokens(batch)
+            own = t.filled(item, np.array([ending(w) for w in t.rare], np.int64), np.int64)
+            y = np.flatnonzero(~t.lead)
+            np.add.at(total, *np.unique(own[y - 1] * ITEMS + own[y], return_counts=True))
         blocks = total.reshape(-1, kept * ITEMS)
         some = [k for k in range(len(blocks)) if blocks[k].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "counts"])
@@ -209,101 +473,116 @@ def add_blocks(key, table):
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def learn(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of all counts (w, c)."""
+def start_classes(coded: DataFrame, shared, words: Words):
+    """Classes of the list and of the endings by exchange of the starting items."""
     import numpy as np
 
-    spark = train.sparkSession
-    texts = train.select("text")
-    counts = saved(texts.mapInArrow(count_words, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c")), "counts")
-    tail = F.lit(CLUSTERED) + F.pmod(F.crc32(F.substring("w", -3, 3)), F.lit(ENDINGS))
-    by_item = counts.groupBy(tail.cast("int").alias("item")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()
-    n, v = sum(r["n"] for r in by_item), sum(r["v"] for r in by_item)
-    top = counts.orderBy(F.desc("c"), "w").limit(COMMON).toArrow()
-    words = Words([bytes(x) for x in top["w"].to_pylist()], top["c"].to_pylist())
-    distinct = np.zeros(ITEMS)
-    for r in by_item:
-        distinct[r["item"]] += r["v"]
-    for k, w in enumerate(words.words[:CLUSTERED]):
-        distinct[ending(w)] -= 1
-        distinct[k] += 1
-    shared = spark.sparkContext.broadcast(words)
-    got = texts.mapInArrow(pair_counts(shared), "block int, counts binary")
+    got = coded.mapInArrow(pair_counts(shared), "block int, counts binary")
     got = got.groupBy("block").applyInArrow(add_blocks, "block int, counts binary").toArrow()
     pairs = np.zeros((ITEMS // 16, 16 * ITEMS), np.int64)
     for block, x in zip(got["block"].to_pylist(), got["counts"], strict=True):
         pairs[block] = np.frombuffer(x.as_buffer(), np.int64)
-    return Model(words, pairs.reshape(ITEMS, ITEMS), distinct, n, v), counts
+    of = exchange(pairs.reshape(ITEMS, ITEMS)).astype(np.uint8)
+    return np.array([of[k if k < CLUSTERED else ending(w)] for k, w in enumerate(words.words)], np.uint8), of[CLUSTERED:]
+
+
+def fit(docs: DataFrame, train) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table of all counts (w, c), and the placed texts."""
+    import numpy as np
+
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", "text", train.alias("train"))
+    counts = saved(texts.where("train").select("text").mapInArrow(count_words, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c")), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.orderBy(F.desc("c"), "w").limit(COMMON).toArrow()
+    words = Words([bytes(x) for x in top["w"].to_pylist()], top["c"].to_pylist())
+    share = spark.sparkContext.broadcast
+    shared = share(words)
+    coded = saved(texts.mapInArrow(code_pass(shared), CODED), "coded")
+    learned = coded.where("train").select("uid", "ids", "rare")
+    common, bins = start_classes(learned, shared, words)
+    rare, best, kept = None, None, None
+    for _ in range(ROUNDS):
+        got = saved(found(learned, rare).mapInArrow(gather_pass(share((common, bins))), GATHERED), "gathered")
+        joint = summed(got.where("block = -1"))
+        if best is not None and likelihood(joint) <= best:
+            common, rare = kept
+            break
+        best, kept = likelihood(joint), (common, rare)
+        frozen = share(weights(joint))
+        lists = got.where("block = -2").groupBy("w").agg(F.collect_list("counts").alias("counts"))
+        rare = saved(lists.mapInArrow(move_rare(frozen), "w binary, c long, k int"), "classes")
+        moved = np.zeros(-(-len(common) // BLOCK) * BLOCK, np.uint8)
+        for r in got.where("block >= 0").select("block", "counts").groupBy("block").applyInArrow(move_common(frozen), "block int, k binary").collect():
+            moved[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["k"], np.uint8)
+        common = moved[: len(common)]
+
+    def placed(common, rare):
+        out = saved(found(coded, rare).mapInArrow(place_pass(share((words, common, bins))), PLACED), "placed")
+        joint = summed(out.where("train").select("classes").mapInArrow(joint_pass, "counts binary"))
+        distinct = np.bincount(common, minlength=CLASSES)
+        for r in rare.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():
+            distinct[r["k"]] += r["n"]
+        return Model(words, np.r_[common, bins], joint, distinct, n, v), out, likelihood(joint)
+
+    if rare is None:  # the first sweep was undone: the words outside the list keep their endings' classes
+        rare = by_ending(words, counts, bins)
+    model, out, last = placed(common, rare)
+    if best is not None and last < best:
+        common, rare = kept
+        model, out, _ = placed(common, by_ending(words, counts, bins) if rare is None else rare)
+    return model, counts, out
+
+
+def by_ending(words: Words, counts: DataFrame, bins) -> DataFrame:
+    """(w, c, k) of the words that are not in the list, with their endings' classes."""
+    listed = counts.sparkSession.createDataFrame([(w,) for w in words.words], "w binary")
+    tail = F.pmod(F.crc32(F.substring("w", -3, 3)), F.lit(ENDINGS)).cast("int")
+    return counts.join(listed, "w", "left_anti").select("w", "c", F.get(F.array(*[F.lit(int(b)) for b in bins]), tail).alias("k"))
 
 
-PASS = "uid long, doc_id long, n_tokens long, common long, plus double, classes double, rare array<struct<w:binary,n:int>>"
+def learn(train: DataFrame) -> tuple[Model, DataFrame]:
+    """The model and the table of all counts (w, c)."""
+    return fit(train, F.lit(True))[:2]
 
 
-def score_pass(model):
-    """One row a text: what the common words give, and its rare words with their numbers."""
+def score_pass(shared):
+    """The log10 probability of each placed text's classes and of its words in them, without the words' counts."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        m, uid = model.value, TaskContext.get().partitionId() << 33
+        step, total = shared.value
         for batch in batches:
-            texts, ids = text_bytes(batch), batch.column(0).to_pylist()
-            for k in range(0, len(texts), 500):
-                flat, sizes = flattened(texts[k : k + 500])
-                at, item = m.words.look(flat)
-                c = m.of[item]
-                sums = np.zeros((3, len(flat)))
-                known = at >= 0
-                sums[0, known] = 1
-                sums[1, known] = m.plus[at[known]]
-                sums[2, 1:] = m.step[c[:-1], c[1:]] - m.total[c[1:]]
-                start = np.cumsum([1, *sizes[:-1]])
-                head = np.add.reduceat(sums, start, axis=1)
-                rare, off = np.flatnonzero(~known[1:]) + 1, [0]
-                which = np.searchsorted(start, rare, "right") - 1
-                w_out, n_out, at_row = [], [], 0
-                bounds = np.searchsorted(which, np.arange(len(sizes) + 1)).tolist()
-                spots = rare.tolist()
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    own = Counter(flat[x] for x in spots[a:b])
-                    w_out += own.keys()
-                    n_out += own.values()
-                    at_row += len(own)
-                    off.append(at_row)
-                some = pa.StructArray.from_arrays([pa.array(w_out, pa.binary()), pa.array(n_out, pa.int32())], ["w", "n"])
-                rows = len(sizes)
-                cols = [
-                    pa.array(np.arange(uid, uid + rows)), pa.array(ids[k : k + 500], pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array(head[0].astype(np.int64)), pa.array(head[1]), pa.array(head[2]),
-                    pa.ListArray.from_arrays(pa.array(off, pa.int32()), some),
-                ]
-                uid += rows
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PASS.split(", ")])
+            c, start, lead = class_tokens(batch)
+            own = np.zeros(len(c))
+            y = np.flatnonzero(~lead)
+            own[y] = step[c[y - 1], c[y]] - total[c[y]]
+            sums = np.add.reduceat(own, start) if len(start) else own
+            cols = [batch.column(batch.schema.get_field_index(x)) for x in SCORED[:-1]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sums)], SCORED)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    first = saved(docs.select("doc_id", "text").mapInArrow(score_pass(shared), PASS), "scores")
-    rare = first.select("uid", F.explode("rare").alias("x")).select("uid", "x.w", "x.n")
-    rare = rare.join(counts, "w").groupBy("uid")
-    rare = rare.agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_plus"), F.sum("n").alias("rare_known"))
-    out = first.drop("rare").join(rare, "uid", "left")
-    plus = F.col("plus") + F.coalesce("rare_plus", F.lit(0.0))
+SCORED = ["doc_id", "train", "n_tokens", "n_known", "plus", "by_class"]
+
+
+def score(placed: DataFrame, model: Model) -> DataFrame:
+    shared = placed.sparkSession.sparkContext.broadcast((model.step, model.total))
+    out = placed.mapInArrow(score_pass(shared), PLACED.replace("classes binary", "by_class double"))
     return out.select(
         "doc_id",
-        (crc32_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"),
+        (~F.col("train")).alias("held_out"),
         "n_tokens",
-        (F.col("common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (plus - F.col("n_tokens") * model.base_total).alias("base_score"),
-        (plus + F.col("classes")).alias("score"),
+        (F.col("plus") - F.col("n_tokens") * model.base_total).alias("base_score"),
+        (F.col("plus") + F.col("by_class")).alias("score"),
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
-    model, counts = learn(docs.where(crc32_mod(F.col("doc_id"), FOLDS) != HELD))
-    return score(docs, model, counts)
+    model, _, placed = fit(docs, crc32_mod(F.col("doc_id"), FOLDS) != HELD)
+    return score(placed, model)
