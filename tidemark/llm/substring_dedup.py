@@ -119,13 +119,13 @@ def all_segments(texts: list[bytes]):
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def firsts(key, doc):
-    """Of rows in any order: an order by (key, doc), and which of it begin a key."""
+def firsts(key, content, doc):
+    """Of rows in any order: an order by (key, content, doc), and which of it begin a content of a key."""
     import numpy as np
 
-    order = np.lexsort((doc, key))
-    k = key[order]
-    return order, np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    order = np.lexsort((doc, content, key))
+    k, c = key[order], content[order]
+    return order, np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
 
 
 def lost_pass(buckets: int):
@@ -141,7 +141,7 @@ def lost_pass(buckets: int):
             texts = [t if i is not None else b"" for t, i in zip(text_bytes(batch), ids.to_pylist(), strict=True)]
             rows, _, _, key, content = all_segments(texts)
             doc = np.asarray(ids.fill_null(0))[rows]
-            order, first = firsts(content & np.uint64(LOW), doc)
+            order, first = firsts(key, content & np.uint64(LOW), doc)
             key, content, doc = key[order], (content & np.uint64(LOW))[order], doc[order]
             holder = doc[first][np.cumsum(first) - 1] if len(doc) else doc
             again = doc != holder
