@@ -232,3 +232,23 @@ def test_class_lm_gives_each_rare_word_its_own_class(spark, monkeypatch):
     for w, n in Counter(w for t in texts for w in [*t.split(), "\n"]).items():
         total[of[w.encode()]] += n + 1
     assert np.allclose(total / 10**model.total, 1)
+
+
+def test_zstd_quality_long_text_leaves_no_half_empty(spark):
+    """The first sampled text of each label takes a label's whole budget."""
+    rng = random.Random(4)
+    good, bad = ["clear", "prose", "with", "sense"], ["buy", "now", "!!!", "$$$"]
+    data, marks = [], []
+    for k in range(80):
+        q = k % 2
+        data.append((k, " ".join(rng.choice(good if q else bad) for _ in range(80))))
+        marks.append((k, q))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    h = docs.join(labels, "doc_id").where(zstd_quality.crc32_mod(F.col("doc_id"), 5) != 0).withColumn("h", zstd_quality.hashed("doc_id"))
+    first = [r["i"] for r in h.groupBy("quality").agg(F.min_by("doc_id", "h").alias("i")).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(first), F.repeat(F.concat("text", F.lit(" ")), 4000)).otherwise(F.col("text")))
+    model = zstd_quality.learn(docs, labels)
+    assert model is not None and min(map(len, model.data)) > 8
+    got = zstd_quality.halves([(q, t) for t in ("long " * 400_000, "short", "text", "more") for q in (0, 1)])
+    assert all(len(got[q, half]) for q in (0, 1) for half in (0, 1))

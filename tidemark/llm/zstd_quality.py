@@ -21,7 +21,7 @@ from .common import crc32_mod, text_bytes
 from .lang_id import hashed
 
 SAMPLE_DOCS = 900  # expected sample a label
-SAMPLE_BYTES = 1_500_000  # a label's texts are taken in hash order while they start below this
+SAMPLE_BYTES = 1_500_000  # a label's texts are taken in hash order while they start below this; a half of it for each half
 DICTIONARY = 112 * 1024
 BLOCK = 2048
 LEVEL = 3
@@ -86,6 +86,20 @@ def logistic(x, y, steps: int = 60) -> tuple[float, float]:
     return w[0] / scale, w[1]
 
 
+def halves(rows) -> dict[tuple[int, int], list[bytes]]:
+    """Texts of (label, text) rows for each label's dictionary (0) and curve (1), which are filled in turns and apart: a
+    long text takes no room from the other half, and a label with two texts has both."""
+    parts: dict[tuple[int, int], list[bytes]] = {(q, half): [] for q in (0, 1) for half in (0, 1)}
+    size, seen = dict.fromkeys(parts, 0), {0: 0, 1: 0}
+    for q, text in rows:
+        own = q, seen[q] % 2
+        seen[q] += 1
+        if size[own] < SAMPLE_BYTES // 2:
+            parts[own].append(text.encode())
+            size[own] += len(parts[own][-1])
+    return parts
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Compressor | None:
     rows = labels.where(F.col("quality").isin(0, 1) & (crc32_mod(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -95,13 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Compressor | None:
     share = F.when(F.col("quality") == 1, SAMPLE_DOCS / counts[1]).otherwise(SAMPLE_DOCS / counts[0])
     picked = F.broadcast(rows.where(h < share).distinct())  # about 2 * SAMPLE_DOCS rows of two numbers, at any size
     got = docs.select("doc_id", "text").join(picked, "doc_id").select("quality", h.alias("h"), "text").collect()
-    parts: dict[tuple[int, int], list[bytes]] = {(q, half): [] for q in (0, 1) for half in (0, 1)}
-    size = {0: 0, 1: 0}
-    for k, r in enumerate(sorted((r for r in got if r["text"]), key=lambda r: (r["h"], r["text"]))):
-        if size[r["quality"]] < SAMPLE_BYTES:
-            raw = r["text"].encode()
-            size[r["quality"]] += len(raw)
-            parts[r["quality"], k % 2].append(raw)
+    parts = halves((r["quality"], r["text"]) for r in sorted((r for r in got if r["text"]), key=lambda r: (r["h"], r["text"])))
     model = Compressor(dictionary(parts[1, 0]), dictionary(parts[0, 0]))
     rest = [(model.difference(t), q) for q in (0, 1) for t in parts[q, 1]]
     if len({q for _, q in rest}) < 2:
