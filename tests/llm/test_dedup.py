@@ -3,6 +3,8 @@
 import hashlib
 import random
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pytest
@@ -180,3 +182,18 @@ def test_suffix_dedup_holds_equal_content_hashes_against_the_anchor(spark, monke
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
     blobs = [x for b in substring_dedup.lost_pass(1)([batch]) for x in b.column(1).to_pylist()]
     assert not substring_dedup.judge_bucket(blobs)[2].any()
+
+
+def test_quality_cascade_is_short(docs, rows, monkeypatch):
+    """The base rule is ordered among the others, and no windows are looked at in what cheaper rules reject."""
+    names = [name for name, _ in quality_rules.ordered(docs, docs.count())]
+    assert sorted(names) == sorted([*quality_rules.rules(), quality_rules.BASE])
+    order = [*quality_rules.rules().items(), (quality_rules.BASE, quality_rules.base_failed())]
+    monkeypatch.setattr(quality_rules, "ordered", lambda *_: order)
+    cheap = quality_rules.judge(docs, short=True).withColumn("cheap", reduce(or_, [c for _, c in order[:-1]])).collect()
+    full = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert any(r["cheap"] and full[r["doc_id"]]["_q_n_repeat_words"] for r in cheap)
+    for r in cheap:
+        assert r["_q_n_repeat_words"] == (0 if r["cheap"] else full[r["doc_id"]]["_q_n_repeat_words"])
+        assert r["_q_kept"] == full[r["doc_id"]]["_q_kept"]
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {i for i, t in rows if brute.quality(t)[-1]}

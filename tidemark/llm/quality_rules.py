@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade (DataFrame expressions only).
 
-A rule is a boolean column that says "reject". The cascade estimates on a bounded sample what each rule costs and how
-often it rejects, orders the rules by rejection per cost, and evaluates them in one CASE expression: the first rule
-that rejects a document ends its evaluation. The verdict is the disjunction of all rules, so the order changes the
-work and never the result.
+A rule is a boolean column that says "reject". The cascade estimates on a bounded sample of raw texts what each rule
+costs, together with the counts that it needs, and how often it rejects, and orders the rules, the base rule among them,
+by rejection per cost. They are evaluated in one CASE expression: the first rule that rejects a document ends its
+evaluation. ``keep_good`` needs no counts, so it looks for repeated windows, by far the dearest count, only in documents
+that the rules before the base rule left. The verdict is the disjunction of all rules, so the order changes the work and
+never the result.
 
 Defined cases: a null or empty text has no words, fails the base rule and is rejected; an empty table gives an empty
 result; repeated rows are judged one by one; further columns are left out of the report and kept by ``keep_good``.
@@ -28,17 +30,26 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, rejected: Column | None = None) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_upper (all long, prefixed
-    ``_q_``); everything happens inside the row, nothing is shuffled."""
+    ``_q_``); everything happens inside the row, nothing is shuffled. Where ``rejected``, a condition on the other
+    counts, holds, no windows are looked at and n_repeat_words is 0."""
     out = docs.withColumn("_q_text", F.coalesce("text", F.lit("")))
     out = out.withColumn("_q_words", F.array_remove(F.split("_q_text", WHITE), ""))
     out = out.withColumn(
         "_q_lines", F.filter(F.split("_q_text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     )
     out = out.withColumn("_q_n_words", F.size("_q_words").cast("long"))
+    text = F.col("_q_text")
+    out = (
+        out.withColumn("_q_word_chars", (F.length(text) - _without(text, " \t\n\x0b\x0c\r")).cast("long"))
+        .withColumn("_q_n_symbols", _without(text, SYMBOLS).cast("long"))
+        .withColumn("_q_n_lines", F.size("_q_lines").cast("long"))
+        .withColumn("_q_n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
+    )
     # Each window of five words is one 64-bit hash, chained over its words.
-    out = out.withColumn("_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
+    words = F.col("_q_words") if rejected is None else F.when(~rejected, F.col("_q_words"))
+    out = out.withColumn("_q_hash", F.transform(words, lambda w: F.xxhash64(w)))
     out = out.withColumn(
         "_q_grams",
         F.when(
@@ -68,15 +79,8 @@ def counts(docs: DataFrame) -> DataFrame:
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    text = F.col("_q_text")
-    return (
-        out.withColumn("_q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-        .withColumn("_q_word_chars", (F.length(text) - _without(text, " \t\n\x0b\x0c\r")).cast("long"))
-        .withColumn("_q_n_symbols", _without(text, SYMBOLS).cast("long"))
-        .withColumn("_q_n_lines", F.size("_q_lines").cast("long"))
-        .withColumn("_q_n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
-        .drop("_q_words", "_q_lines", "_q_hash", "_q_grams", "_q_sorted", "_q_starts")
-    )
+    out = out.withColumn("_q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return out.drop("_q_words", "_q_lines", "_q_hash", "_q_grams", "_q_sorted", "_q_starts")
 
 
 def base_failed() -> Column:
@@ -96,29 +100,40 @@ def rules() -> dict[str, Column]:
     }
 
 
-def ordered(counted: DataFrame, total: int, given: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
-    """The rules by rejections per second of cost, both estimated on about SAMPLE_ROWS rows chosen by hashed id."""
-    given = given or rules()
+BASE = "base"
+
+
+def ordered(docs: DataFrame, total: int, given: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
+    """The rules and the base rule by rejections per second of cost, both estimated on about SAMPLE_ROWS rows chosen by
+    hashed id. A rule's cost is that of its own counts too; the others' are pruned."""
+    given = {BASE: base_failed()} | (given or rules())
     every = max(1, total // SAMPLE_ROWS)
-    sample = counted.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(1).checkpoint()
+    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(1).checkpoint()
     worth = {}
     for name, reject in given.items():
-        probe = sample.agg(F.count_if(reject).alias("n"), F.count(F.lit(1)).alias("of"))
+        probe = counts(sample).agg(F.count_if(reject).alias("n"), F.count(F.lit(1)).alias("of"))
+        probe.first()  # compiles
         began = time.perf_counter()
         n, of = probe.first()
         worth[name] = n / max(1, of) / max(1e-6, time.perf_counter() - began)
     return sorted(given.items(), key=lambda x: -worth[x[0]])
 
 
-def judge(docs: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
-    """docs with its counts, ``_q_base_failed`` and ``_q_kept``."""
+def judge(docs: DataFrame, given: dict[str, Column] | None = None, short: bool = False) -> DataFrame:
+    """docs with its counts, ``_q_base_failed`` and ``_q_kept``; with ``short``, only ``_q_kept`` is to be used."""
     from .common import shared_dir
 
     shared_dir(docs.sparkSession)
-    counted = counts(docs)
-    verdict = F.when(F.col("_q_base_failed"), False)
-    for _, reject in ordered(counted, docs.count(), given):
-        verdict = verdict.when(reject, False)
+    order = ordered(docs, docs.count(), given)
+    rejected = F.lit(False)
+    for name, reject in order:
+        if name == BASE:
+            break
+        rejected = rejected | F.coalesce(reject, F.lit(False))
+    counted = counts(docs, rejected if short else None)
+    verdict = F
+    for name, reject in order:
+        verdict = verdict.when(F.col("_q_base_failed") if name == BASE else reject, False)
     # A filter on the verdict would be pushed below the counts with all their expressions written out in one another,
     # each many times; the row number beside the verdict, which is not deterministic, keeps it above them.
     judged = counted.withColumn("_q_base_failed", base_failed())
@@ -127,7 +142,7 @@ def judge(docs: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the cascade keeps, with their own columns."""
-    return judge(docs).where("_q_kept AND _q_row >= 0").select(*docs.columns)
+    return judge(docs, short=True).where("_q_kept AND _q_row >= 0").select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
