@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import line_dedup, quality_rules, shingle_join, substring_dedup, suffix_array
+from tidemark.llm import components, line_dedup, quality_rules, shingle_join, substring_dedup, suffix_array
 
 
 def test_quality_rules(docs, rows):
@@ -197,3 +197,12 @@ def test_quality_cascade_is_short(docs, rows, monkeypatch):
         assert r["_q_n_repeat_words"] == (0 if r["cheap"] else full[r["doc_id"]]["_q_n_repeat_words"])
         assert r["_q_kept"] == full[r["doc_id"]]["_q_kept"]
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {i for i, t in rows if brute.quality(t)[-1]}
+
+
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    """No bound on the rounds cuts a path into pieces."""
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    at = list(range(40))
+    random.Random(5).shuffle(at)
+    edges = spark.createDataFrame(list(zip(at, at[1:], strict=False)), "a long, b long")
+    assert {(r["node"], r["root"]) for r in components.components(edges).collect()} == {(k, 0) for k in at}

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-ROUNDS = 60  # far above the logarithm of any number of nodes
-
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs, a <> b). Result: node, root (the smallest node that it reaches), for nodes with an edge.
@@ -19,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(ROUNDS):
+    while True:  # a step that changes anything lowers a link, so this ends
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
