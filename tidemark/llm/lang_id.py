@@ -6,23 +6,26 @@ the uniform byte. The statistics are frozen, so the lengths of all bytes are rea
 context of three bytes -> longest seen node, and (node, byte) -> bits. A text's code length is the exact sum over all
 its bytes; the language with the shortest code wins and its posterior is the score.
 
-Learned from at most about SAMPLE_DOCS whole texts a language, chosen by hashed id.
+Learned from at most SAMPLE_DOCS texts a language, chosen by a hash of id and text, and from the first SAMPLE_TEXT
+bytes of each; scoring takes whole texts, PIECE bytes at a time.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; so is every text if there is nothing
-to learn from; ties go to the language first in the alphabet; repeated rows are scored one by one; an empty table gives
-an empty result; further columns are ignored.
+to learn from; a language whose learning texts are all null or empty is not learned; ties go to the language first in
+the alphabet; repeated rows are learned once and scored one by one; null ids are ids like others; very long texts cost
+no more memory than PIECE bytes; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, text_bytes
+from .common import crc32_mod, label_counts, sample_texts, text_bytes
 
 ORDER = 3
-SAMPLE_DOCS = 300  # expected sample a language
-SAMPLE_BYTES = 600_000  # a language's texts are taken in hash order while they start below this
+SAMPLE_DOCS = 300  # learning texts a language at most
+SAMPLE_TEXT = 20_000  # bytes that one of them adds at most
+PIECE = 1 << 20  # bytes scored at once
 FOLDS, HELD = 3, 1
 
 
@@ -55,9 +58,10 @@ class Trees:
         below = None
         first = 1
         for order in range(ORDER + 1):
-            code = np.zeros(len(s) - order, np.int64)
+            places = max(0, len(s) - order)  # a language may have less text than a context
+            code = np.zeros(places, np.int64)
             for k in range(order):
-                code = code * n + s[k : len(s) - order + k]
+                code = code * n + s[k : places + k]
             ctx, inverse = np.unique(code, return_inverse=True)
             counts = np.bincount(inverse * n + s[order:], minlength=len(ctx) * n).reshape(len(ctx), n)
             total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
@@ -84,43 +88,41 @@ class Trees:
 
         out = np.zeros((len(texts), len(self.langs)))
         n = self.size
-        pad = b"\n" * ORDER
-        for k in range(0, len(texts), 64):
-            some = texts[k : k + 64]
-            s = self.symbol[np.frombuffer(pad + pad.join(some), np.uint8)]
-            size = np.array([len(t) for t in some])
-            start = np.cumsum(np.r_[0, size[:-1] + ORDER])
+        for group in slices(texts):
+            s = self.symbol[np.frombuffer(b"".join(part for _, part in group), np.uint8)]
+            row = np.array([k for k, _ in group])
+            size = np.array([len(part) - ORDER for _, part in group])
+            start = np.cumsum(size + ORDER) - size - ORDER
             ctx = (s[:-3] * n + s[1:-2]) * n + s[2:-1]
             for j in range(len(self.langs)):
                 bits = self.bits[j][self.node[j][ctx] * n + s[3:]]
                 total = np.r_[0.0, np.cumsum(bits, dtype=np.float64)]
-                out[k : k + 64, j] = total[np.minimum(start + size, len(bits))] - total[np.minimum(start, len(bits))]
+                np.add.at(out[:, j], row, total[start + size] - total[start])
         return out
 
 
-def hashed(*cols: Column) -> Column:
-    """Uniform in 0..1 by hash."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+def slices(texts: list[bytes]):
+    """Groups of (number, ORDER bytes of context and up to PIECE bytes) of about PIECE bytes; empty texts have none."""
+    group, total = [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t), PIECE):
+            before = t[at - ORDER : at] if at else b"\n" * ORDER
+            group.append((k, before + t[at : at + PIECE]))
+            total += len(group[-1][1])
+            if total >= PIECE:
+                yield group
+                group, total = [], 0
+    if group:
+        yield group
 
 
 def learn(docs: DataFrame) -> Trees | None:
     """From the bounded sample of the learning folds."""
-    rows = docs.where(F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), FOLDS) != HELD))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    h = hashed("doc_id")
-    share = F.lit(None)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(SAMPLE_DOCS / n)).otherwise(share)
-    got = rows.where(F.col("text").isNotNull() & (h < share)).select("lang", h.alias("h"), "text").collect()
-    texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    size = dict.fromkeys(counts, 0)
-    for r in sorted(got, key=lambda r: (r["h"], r["text"])):
-        if size[r["lang"]] < SAMPLE_BYTES:
-            texts[r["lang"]].append(r["text"].encode())
-            size[r["lang"]] += len(texts[r["lang"]][-1])
-    return Trees(texts)
+    rows = docs.where(F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "lang", "text")
+    found = sample_texts(rows, "lang", label_counts(rows, "lang"), SAMPLE_DOCS, SAMPLE_TEXT)
+    texts = {lang: [t for _, t in got if t] for lang, got in found.items()}
+    texts = {lang: got for lang, got in texts.items() if got}
+    return Trees(texts) if texts else None
 
 
 def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:

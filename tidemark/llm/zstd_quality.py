@@ -5,11 +5,13 @@ dictionary weighs alike in short and long texts), every block is compressed with
 of the two sums per byte of text goes through a logistic curve that was fitted to labelled texts which neither
 dictionary has seen.
 
-Learned from at most about SAMPLE_DOCS whole texts a label, chosen by hashed id; even hashes build the dictionaries
-and odd ones the curve.
+Learned from at most SAMPLE_DOCS texts a label, chosen by a hash of id and text, and from the first SAMPLE_TEXT bytes
+of each; in hash order they go in turns to the dictionaries and to the curve. Scoring takes whole texts.
 
 Defined cases: a null or empty text has difference 0 and the score of that; where one label is missing, every score is
-0.5; repeated rows are scored one by one; an empty table gives an empty result; further columns are ignored.
+0.5; equal differences have equal scores; repeated rows and repeated labels are learned once and scored one by one; an
+id that is labelled both 0 and 1 is learned as both; null ids have no label; very long texts are compressed block by
+block; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, text_bytes
-from .lang_id import hashed
+from .common import crc32_mod, hashed, label_counts, sample_texts, text_bytes
 
-SAMPLE_DOCS = 900  # expected sample a label
-SAMPLE_BYTES = 1_500_000  # a label's texts are taken in hash order while they start below this; a half of it for each half
+SAMPLE_DOCS = 900  # learning texts a label at most
+SAMPLE_TEXT = 20_000  # bytes that one of them adds at most
 DICTIONARY = 112 * 1024
 BLOCK = 2048
 LEVEL = 3
@@ -86,38 +87,22 @@ def logistic(x, y, steps: int = 60) -> tuple[float, float]:
     return w[0] / scale, w[1]
 
 
-def halves(rows) -> dict[tuple[int, int], list[bytes]]:
-    """Texts of (label, text) rows for each label's dictionary (0) and curve (1), which are filled in turns and apart: a
-    long text takes no room from the other half, and a label with two texts has both."""
-    parts: dict[tuple[int, int], list[bytes]] = {(q, half): [] for q in (0, 1) for half in (0, 1)}
-    size, seen = dict.fromkeys(parts, 0), {0: 0, 1: 0}
-    for q, text in rows:
-        own = q, seen[q] % 2
-        seen[q] += 1
-        if size[own] < SAMPLE_BYTES // 2:
-            parts[own].append(text.encode())
-            size[own] += len(parts[own][-1])
-    return parts
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Compressor | None:
-    rows = labels.where(F.col("quality").isin(0, 1) & (crc32_mod(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "quality")
-    counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    rows = labels.where(F.col("quality").isin(0, 1) & (crc32_mod(F.col("doc_id"), FOLDS) != HELD))
+    rows = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
+    counts = label_counts(rows, "quality")
+    share = F.when(F.col("quality") == 1, 2.0 * SAMPLE_DOCS / counts.get(1, 1)).otherwise(2.0 * SAMPLE_DOCS / counts.get(0, 1))
+    picked = F.broadcast(rows.where(hashed("doc_id") < share))  # about 4 * SAMPLE_DOCS distinct ids, at any size
+    texts = docs.select("doc_id", "text").where(F.col("text") != "").join(picked, "doc_id")
+    found = sample_texts(texts, "quality", dict.fromkeys((0, 1), 1), SAMPLE_DOCS, SAMPLE_TEXT)
+    parts = {(q, half): [t for _, t in found.get(q, [])][half::2] for q in (0, 1) for half in (0, 1)}
+    if not all(parts.values()):
         return None
-    h = hashed("doc_id")
-    share = F.when(F.col("quality") == 1, SAMPLE_DOCS / counts[1]).otherwise(SAMPLE_DOCS / counts[0])
-    picked = F.broadcast(rows.where(h < share).distinct())  # about 2 * SAMPLE_DOCS rows of two numbers, at any size
-    got = docs.select("doc_id", "text").join(picked, "doc_id").select("quality", h.alias("h"), "text").collect()
-    parts = halves((r["quality"], r["text"]) for r in sorted((r for r in got if r["text"]), key=lambda r: (r["h"], r["text"])))
     model = Compressor(dictionary(parts[1, 0]), dictionary(parts[0, 0]))
-    rest = [(model.difference(t), q) for q in (0, 1) for t in parts[q, 1]]
-    if len({q for _, q in rest}) < 2:
-        return None
     import numpy as np
 
-    x, y = np.array([d for d, _ in rest]), np.array([q for _, q in rest], float)
-    model.slope, model.shift = logistic(x, y)
+    x, y = zip(*[(model.difference(t), float(q)) for q in (0, 1) for t in parts[q, 1]], strict=True)
+    model.slope, model.shift = logistic(x, np.array(y))
     return model
 
 
