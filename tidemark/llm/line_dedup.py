@@ -5,11 +5,14 @@ arrive in batches. A batch counts, for each key, the documents that hold it; mer
 have already settled (counted often enough to be dropped, which no later batch can undo); and adds the rest as a
 sorted run of level 0. When a level holds FANOUT runs they are compacted into one run of the next level. Runs are
 bucketed and sorted by key in the shared folder, so joins and compactions between them merge without a shuffle.
-A key counted in at least ``min_docs`` documents loses its lines in every document.
+A key counted in at least ``min_docs`` documents loses its lines in every document. The frequent keys are then written
+as a plain table and the runs removed, so that the join of all lines with them shuffles both sides and a line that most
+documents hold is split by adaptive execution.
 
 Defined cases: a null or empty text is one empty line; keys of fewer than ``min_key`` code points are never dropped; a
 line repeated in one document counts that document once; repeated rows (equal ids too) count as documents of their
-own; an empty table gives an empty result; other columns stay as they are.
+own; a key in exactly ``min_docs`` documents is frequent; very long texts are split inside their row; an empty table
+gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import discard, remove, saved, shared_dir
 
 MIN_DOCS = 10
 BATCHES = 4  # batches that a whole table is dealt into
@@ -38,7 +41,7 @@ def hashes(key: Column) -> list[Column]:
 
 
 class Runs:
-    """The levelled runs: a list of (level, bucketed table of h1, h2, n)."""
+    """The levelled runs: a list of (level, bucketed table of h1, h2, n), each in a folder of its own name."""
 
     def __init__(self, spark: SparkSession, min_docs: int, buckets: int):
         self.spark, self.min_docs, self.buckets = spark, min_docs, buckets
@@ -46,7 +49,7 @@ class Runs:
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"tidemark_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/tidemark/{name}"
+        path = self._folder(name)
         (
             run.repartition(self.buckets, "h1", "h2")
             .write.bucketBy(self.buckets, "h1", "h2")
@@ -56,6 +59,14 @@ class Runs:
         )
         self.levels.append((level, name))
 
+    def _folder(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/tidemark/{name}"
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, self._folder(name))
+
     def merged(self, names: list[str]) -> DataFrame:
         """One row a key over some runs; bucketed alike, so the sum needs no shuffle."""
         out = self.spark.table(names[0])
@@ -78,20 +89,24 @@ class Runs:
             self.levels = [(lv, n) for lv, n in self.levels if lv != level]
             level += 1
             self._write(self.merged(same), level)
-            for name in same:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._drop(same)
 
     def frequent(self) -> DataFrame:
-        return self.merged([n for _, n in self.levels]).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        """The frequent keys as a table of their own; ends the runs."""
+        names = [n for _, n in self.levels]
+        out = saved(self.merged(names).where(F.col("n") >= self.min_docs).select("h1", "h2"), "frequent")
+        self.levels = []
+        self._drop(names)
+        return out
 
 
 def decide(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = 1) -> DataFrame:
-    """docs plus ``_l_lines`` (array) and ``_l_kept`` (array of the kept lines)."""
+    """``_l_row`` (a row of docs as a struct), ``_l_text``, ``_l_lines`` (array) and ``_l_kept`` (the kept lines)."""
     spark = docs.sparkSession
-    # A row id of its own: equal doc_ids stay apart. Hash-dealt by content, so that a rerun task makes the same rows.
-    rows = docs.withColumn("_l_text", F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct("*").alias("_l_row"), F.col("doc_id").alias("_l_own"), F.coalesce("text", F.lit("")).alias("_l_text"))
+    # Equal doc_ids stay apart by content; equal contents of an id lose the same lines.
     keyed = rows.select(
-        F.col("doc_id"),
+        F.col("_l_own").alias("doc_id"),
         F.xxhash64("_l_text").alias("sig"),
         F.transform(F.split("_l_text", "\n"), key_of).alias("keys"),
     )
@@ -106,16 +121,17 @@ def decide(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = 1) -> DataF
     runs = Runs(spark, min_docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(BATCHES):
         runs.add(log.where(F.col("batch") == k).select("h1", "h2"))
+    frequent = runs.frequent()
+    discard(log)
     places = keyed.select("doc_id", "sig", F.posexplode("keys").alias("pos", "key")).where(F.length("key") >= at_least)
     places = places.select("doc_id", "sig", "pos", *hashes(F.col("key")))
     drops = (
-        places.join(runs.frequent(), ["h1", "h2"])
-        .groupBy("doc_id", "sig")
-        .agg(F.array_distinct(F.collect_list("pos")).alias("_l_drop"))
+        places.join(frequent, ["h1", "h2"])
+        .groupBy(F.col("doc_id").alias("_l_id"), F.col("sig").alias("_l_sig"))
+        .agg(F.collect_set("pos").alias("_l_drop"))  # a set: repeated rows add nothing to it
     )
-    d = drops.withColumnRenamed("doc_id", "_l_id").withColumnRenamed("sig", "_l_sig")
-    same = F.col("doc_id").eqNullSafe(F.col("_l_id")) & (F.xxhash64("_l_text") == F.col("_l_sig"))
-    out = rows.join(d, same, "left").withColumn("_l_lines", F.split("_l_text", "\n"))
+    same = F.col("_l_own").eqNullSafe(F.col("_l_id")) & (F.xxhash64("_l_text") == F.col("_l_sig"))
+    out = rows.join(drops, same, "left").withColumn("_l_lines", F.split("_l_text", "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_l_lines") - 1), F.col("_l_drop"))
     kept = F.when(F.col("_l_drop").isNull(), F.col("_l_lines")).otherwise(
         F.transform(keep, lambda i: F.get(F.col("_l_lines"), i))
@@ -127,11 +143,11 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = 1) -> D
     """docs with the lines of frequent keys gone from text; n_chars, if there is one, counts the new text."""
     out = decide(docs, min_docs, min_key)
     cut = F.size("_l_kept") < F.size("_l_lines")
-    text = F.when(cut, F.array_join("_l_kept", "\n")).otherwise(F.col("text"))
-    own = {c: F.col(c) for c in docs.columns} | {"text": text}
+    own = {c: F.col("_l_row").getField(c) for c in docs.columns}
+    text = F.when(cut, F.array_join("_l_kept", "\n")).otherwise(own["text"])
     if "n_chars" in own:
-        own["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[v.alias(k) for k, v in own.items()])
+        own["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return out.select(*[v.alias(k) for k, v in (own | {"text": text}).items()])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -139,7 +155,7 @@ def report(docs: DataFrame) -> DataFrame:
     n, kept = F.size("_l_lines"), F.size("_l_kept")
     text = F.when(kept < n, F.array_join("_l_kept", "\n")).otherwise(F.col("_l_text"))
     return out.select(
-        "doc_id",
+        F.col("_l_own").alias("doc_id"),
         n.cast("long").alias("n_lines"),
         (n - kept).cast("long").alias("n_dropped"),
         F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
