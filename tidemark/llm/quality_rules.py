@@ -8,11 +8,13 @@ that the rules before the base rule left. The verdict is the disjunction of all
 never the result.
 
 Defined cases: a null or empty text has no words, fails the base rule and is rejected; an empty table gives an empty
-result; repeated rows are judged one by one; further columns are left out of the report and kept by ``keep_good``.
+result; repeated rows are judged one by one; ties (a count exactly at its limit) are kept; very long texts are counted
+inside their row; further columns, whatever their names, are left out of the report and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import Column, DataFrame
@@ -103,24 +105,38 @@ def rules() -> dict[str, Column]:
 BASE = "base"
 
 
+def cost(probe: DataFrame) -> float:
+    """Seconds of a job, the least of three after one that compiles it."""
+    probe.first()
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        probe.first()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
 def ordered(docs: DataFrame, total: int, given: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
-    """The rules and the base rule by rejections per second of cost, both estimated on about SAMPLE_ROWS rows chosen by
-    hashed id. A rule's cost is that of its own counts too; the others' are pruned."""
+    """The rules and the base rule by rejections per second of cost, both estimated on a sample of SAMPLE_ROWS rows on
+    average, and twice that at most, chosen by a hash of id and text. A rule's cost is that of its own counts too (the
+    others' are pruned), above that of reading the sample."""
     given = {BASE: base_failed()} | (given or rules())
     every = max(1, total // SAMPLE_ROWS)
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(1).checkpoint()
+    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    sample = some.limit(2 * SAMPLE_ROWS).checkpoint()
+    idle = cost(sample.agg(F.sum(F.length("text"))))
     worth = {}
     for name, reject in given.items():
         probe = counts(sample).agg(F.count_if(reject).alias("n"), F.count(F.lit(1)).alias("of"))
-        probe.first()  # compiles
-        began = time.perf_counter()
+        seconds = max(cost(probe) - idle, 1e-3)
         n, of = probe.first()
-        worth[name] = n / max(1, of) / max(1e-6, time.perf_counter() - began)
-    return sorted(given.items(), key=lambda x: -worth[x[0]])
+        worth[name] = n / max(1, of) / 4.0 ** round(math.log(seconds, 4))
+    return sorted(given.items(), key=lambda x: (-worth[x[0]], x[0]))
 
 
 def judge(docs: DataFrame, given: dict[str, Column] | None = None, short: bool = False) -> DataFrame:
-    """docs with its counts, ``_q_base_failed`` and ``_q_kept``; with ``short``, only ``_q_kept`` is to be used."""
+    """``_q_row`` (a row of docs as a struct), its counts, ``_q_base_failed`` and ``_q_kept``; with ``short``, only
+    ``_q_kept`` is to be used."""
     from .common import shared_dir
 
     shared_dir(docs.sparkSession)
@@ -130,22 +146,23 @@ def judge(docs: DataFrame, given: dict[str, Column] | None = None, short: bool =
         if name == BASE:
             break
         rejected = rejected | F.coalesce(reject, F.lit(False))
-    counted = counts(docs, rejected if short else None)
+    rows = docs.select(F.struct("*").alias("_q_row"), F.col("text"))
+    counted = counts(rows, rejected if short else None)
     verdict = F
     for name, reject in order:
         verdict = verdict.when(F.col("_q_base_failed") if name == BASE else reject, False)
     # A filter on the verdict would be pushed below the counts with all their expressions written out in one another,
     # each many times; the row number beside the verdict, which is not deterministic, keeps it above them.
     judged = counted.withColumn("_q_base_failed", base_failed())
-    return judged.withColumns({"_q_kept": verdict.otherwise(True), "_q_row": F.monotonically_increasing_id()})
+    return judged.withColumns({"_q_kept": verdict.otherwise(True), "_q_number": F.monotonically_increasing_id()})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the cascade keeps, with their own columns."""
-    return judge(docs, short=True).where("_q_kept AND _q_row >= 0").select(*docs.columns)
+    return judge(docs, short=True).where("_q_kept AND _q_number >= 0").select("_q_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     out = judge(docs.select("doc_id", "text"))
-    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in own])
+    return out.select("_q_row.doc_id", *[F.col(f"_q_{c}").alias(c) for c in own])
