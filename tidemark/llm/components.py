@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node links its larger neighbours to its smallest neighbour (large
     star), then its smaller neighbours and itself to the smallest (small star). Each step is a grouped minimum and one
-    join on the node, so a hub's neighbours are never gathered in one place.
+    join on the node, so a hub's neighbours are never gathered in one place. The pairs of each round replace the last.
+
+    Defined cases: repeated edges and both directions of one count once; an edge from a node to itself or to null is no
+    edge; no edges give an empty result.
     """
     pairs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
@@ -23,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = saved(small.where("u <> v").distinct(), "edges")
+        done, pairs = pairs, saved(small.where("u <> v").distinct(), "edges")
+        discard(done)
         now = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
             break

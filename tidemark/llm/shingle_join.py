@@ -12,11 +12,13 @@ Sets that meet in a cell and whose points reach the bound are candidates (cells
 own), the connected parts of that graph are shards, and each shard has one R-tree (a shard larger than SHARD_BYTES is cut into blocks, and each pair of blocks has a tree of its own). Within a shard
 pairs already connected are not verified again: components need no more links than that.
 
-Equal sets are one node from the start.
+Equal sets are one node from the start; nodes have numbers of their own, so that texts which share an id stay apart.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
-than a shingle are one shingle; rows of equal id are one document (its smallest set counts towards links of the others);
-a null id is its own component (null); an empty table gives an empty result; further columns are ignored.
+than a shingle are one shingle; rows are judged one by one, each by its own text, so rows of equal id may be in different
+components, and equal rows are in one; a similarity exactly at the limit links; a null id is its own component (null)
+and links nothing; very long texts are shingled inside their row; an empty table gives an empty result; further columns,
+whatever their names, are ignored by ``groups`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -140,22 +142,37 @@ def digest(s) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([two >> 64, two & (1 << 64) - 1], np.uint64).view(np.int64))
 
 
-DIGESTS = "doc_id long, n_shingles long, d1 long, d2 long"
+DIGESTS = "doc_id long, sig long, n_shingles long, d1 long, d2 long"
+
+
+def some_texts(batch, most: int = 250, size: int = 1 << 22):
+    """The texts of a batch in lists of few texts and, but for the last of a list, few bytes."""
+    own, total = [], 0
+    for t in text_bytes(batch):
+        own.append(t)
+        total += len(t)
+        if len(own) >= most or total >= size:
+            yield own
+            own, total = [], 0
+    if own:
+        yield own
 
 
 def digest_pass(words: int):
-    """A row a document."""
+    """A row a document; its third column, a hash of its text, goes along."""
 
     def run(batches):
         import pyarrow as pa
 
         cache = Words()
         for batch in batches:
-            texts, ids = text_bytes(batch), batch.column(0).to_pylist()
-            for k in range(0, len(texts), 250):
-                rows = [(len(s), *digest(s)) for s in shingles(texts[k : k + 250], words, cache)]
-                cols = [pa.array(ids[k : k + 250], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "d1", "d2"])
+            at = 0
+            for texts in some_texts(batch):
+                rows = [(len(s), *digest(s)) for s in shingles(texts, words, cache)]
+                own = batch.slice(at, len(texts))
+                at += len(texts)
+                cols = [own.column(0), own.column(2), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n_shingles", "d1", "d2"])
 
     return run
 
@@ -238,17 +255,17 @@ def cell_pass(words: int, percent: int, buckets: int):
     def parts(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH):
-                yield text_bytes(batch.slice(first, BATCH))
+                yield batch.slice(first, BATCH)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         cache, edges, fine = Words(), bands(percent, 1 << 40), max(1, buckets // 64)
-        for texts in parts(batches):
+        for part in parts(batches):
             found, size, dots, home = {}, [], [], []
-            for k in range(0, len(texts), 250):
-                for s in shingles(texts[k : k + 250], words, cache):
+            for texts in some_texts(part):
+                for s in shingles(texts, words, cache):
                     if len(s) and (d := digest(s)[0]) not in found:
                         found[d], h = cells(s, percent, edges)
                         home.append(h)
@@ -412,7 +429,7 @@ def shard_links(ids: list[int], sets: list, side: list[int], percent: int) -> li
 
 
 def link_pass(words: int, percent: int):
-    """Links of the shards of one partition; its rows (root, i, j, side, rep, d1, d2, z) come sorted by shard. A text
+    """Links of the shards of one partition; its rows (root, i, j, side, n, d1, d2, z) come sorted by shard. A text
     that hasn't the digest it was chosen for belongs to another row of the same id."""
 
     def run(batches):
@@ -453,36 +470,47 @@ def packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t) for t in text_bytes(batch)], pa.binary())], ["doc_id", "z"])
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def rows_of_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, sig (a hash of the text), n_shingles, component_id."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"))
     digests = saved(docs.mapInArrow(digest_pass(words), DIGESTS), "digests")
+    docs = docs.select("doc_id", "text")
     found = docs.mapInArrow(cell_pass(words, percent, parts), "bucket int, blob binary")
     links = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(link_cells(percent), "a long, b long")
     shards = components(links)
     reps = digests.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    reps = saved(reps, "reps")
-    chosen = reps.join(shards, reps["d1"] == shards["node"]).select("rep", "d1", "d2", "root", "n")
+    reps = saved(reps.withColumn("number", F.monotonically_increasing_id()), "reps")
+    chosen = reps.join(shards, reps["d1"] == shards["node"]).select("rep", "number", "d1", "d2", "root", "n")
     blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") * 8 / SHARD_BYTES).alias("blocks"))
     texts = docs.mapInArrow(packed, "doc_id long, z binary")
-    chosen = chosen.join(blocks, "root").select("rep", "d1", "d2", "root", "blocks")  # before the texts, which move less then
-    dealt = texts.join(chosen, texts["doc_id"] == chosen["rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    chosen = chosen.join(blocks, "root").select("rep", "number", "d1", "d2", "root", "blocks")  # before the texts, which move less then
+    dealt = texts.join(chosen, texts["doc_id"] == chosen["rep"]).withColumn("own", F.pmod(F.xxhash64("number"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
-    dealt = dealt.select("root", low.alias("i"), high.alias("j"), side.alias("side"), "rep", "d1", "d2", "z")
+    dealt = dealt.select("root", low.alias("i"), high.alias("j"), side.alias("side"), "number", "d1", "d2", "z")
     dealt = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     joined = components(dealt.mapInArrow(link_pass(words, percent), "a long, b long"))
-    named = reps.join(joined, reps["rep"] == joined["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    own = digests.select("doc_id", "n_shingles", "d1", "d2")
-    out = own.join(named, ["d1", "d2"], "left")
+    linked = joined.join(reps.select("number", "rep"), joined["node"] == F.col("number")).select("node", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "root").select("node", "least")
+    named = reps.join(linked, reps["number"] == linked["node"], "left").select("d1", "d2", F.coalesce("least", "rep").alias("component"))
+    out = digests.join(named, ["d1", "d2"], "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "sig", "n_shingles", component.alias("component_id"))
+
+
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return rows_of_groups(docs, words, percent).drop("sig")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the members of each group but its smallest id; documents without words and null ids stay."""
-    first = groups(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_gone"], "left_anti")
+    """docs without the members of each group but those of its smallest id; documents without words and null ids stay."""
+    gone = rows_of_groups(docs, words, percent).where("component_id <> doc_id")
+    gone = gone.select(F.col("doc_id").alias("_j_id"), F.col("sig").alias("_j_sig")).distinct()
+    rows = docs.select(F.struct("*").alias("_j_row"), F.col("doc_id").cast("long").alias("_j_own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_j_text"))
+    same = (F.col("_j_own") == F.col("_j_id")) & (F.col("_j_text") == F.col("_j_sig"))
+    return rows.join(gone, same, "left_anti").select("_j_row.*")
