@@ -7,11 +7,16 @@ one row, so the sums are complete before anything is shuffled.
 
 ``near_pairs`` finds all pairs of distinct fingerprints within a Hamming radius r: the bits are cut into r + 2 blocks,
 of which a pair within the radius shares at least two; for each choice of two blocks there is one table keyed by them
-(the fingerprint permuted to have them in front), and a pair is verified in the first table it meets in.
-
-Defined cases: a null or empty text votes with one empty word; equal texts have equal fingerprints; documents with
-equal ids follow each other by text hash; a single document is its own next; an empty table gives an empty result;
-further columns are ignored.
+(the fingerprint permuted to have them in front), and a pair is verified in the first table it meets in. A key that more
+than CROWD distinct fingerprints share is crowded: its members are dealt anew by each of r + 1 blocks of their other
+bits, one of which a pair within the radius shares as well, so no key gathers what merely shares two blocks. Equal
+fingerprints are one row with a count from the start. The report gives each document the number of documents within
+the radius.
+
+Defined cases: a null or empty text votes with one empty word; equal texts have equal fingerprints; a bit on which the
+votes tie is 0; documents with equal ids (or null ones, which come last) follow each other by text hash, and equal rows
+in any order; a single document is its own next; very long texts are summed up in runs; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, saved
 
 BITS = 128
 LANES = 3
 RUN = 100_000  # words whose weights (19 at most) fit a lane of 21 bits
+RADIUS = 3  # bits in which near fingerprints differ at most
+CROWD = 256  # distinct fingerprints of a block key from which it is dealt anew
 CELL = 4096  # documents in a range of ids on average
 HINT_CELLS = 1_000_000  # cells up to which their first ids (16 bytes each) are broadcast
 
@@ -83,51 +90,121 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - distance(a, b) * 2.0 / BITS)
 
 
+def bits_of() -> Column:
+    return F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
+
+
 def block_keys(radius: int) -> list[Column]:
     """One key for each table: two of radius + 2 blocks of the bits, and which."""
     m = radius + 2
     size = -(-BITS // m)
-    bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
-    blocks = [F.substring(bits, 1 + k * size, size) for k in range(m)]
+    blocks = [F.substring(F.col("bits"), 1 + k * size, size) for k in range(m)]
     return [F.xxhash64(F.lit(t), blocks[i], blocks[j]) for t, (i, j) in enumerate(combinations(range(m), 2))]
 
 
-def near_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
+def rest_keys(radius: int) -> list[list[Column]]:
+    """For each table radius + 1 keys: its key with one block of the bits outside it."""
+    m = radius + 2
+    size = -(-BITS // m)
+    blocks = [F.substring(F.col("bits"), 1 + k * size, size) for k in range(m)]
+    out = []
+    for i, j in combinations(range(m), 2):
+        other = F.concat(*[blocks[k] for k in range(m) if k not in (i, j)])
+        part = -(-size * (m - 2) // (radius + 1))
+        out.append([F.xxhash64(F.lit(k), F.substring(other, 1 + k * part, part)) for k in range(radius + 1)])
+    return out
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints (a_hi, a_lo) < (b_hi, b_lo) within the radius, and their distance."""
-    keyed = prints.select("hi", "lo").distinct().withColumn("keys", F.array(*block_keys(radius)))
-    rows = keyed.select("hi", "lo", "keys", F.posexplode("keys").alias("t", "key"))
-    a, b = (rows.select("t", "key", *[F.col(c).alias(f"{s}_{c}") for c in ("hi", "lo", "keys")]) for s in "ab")
-    met = a.join(b, ["t", "key"]).where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo"))
-    agree = F.zip_with("a_keys", "b_keys", lambda x, y: x == y)
-    first = F.array_position(agree, F.lit(True)) == F.col("t") + 1
+    keyed = prints.select("hi", "lo").distinct().withColumn("bits", bits_of())
+    keyed = keyed.withColumns({"keys": F.array(*block_keys(radius)), "rest": F.array(*[F.array(*r) for r in rest_keys(radius)])})
+    rows = keyed.select("hi", "lo", "keys", F.posexplode("keys").alias("t", "key"), "rest")
+    rows = rows.select("hi", "lo", "keys", "t", "key", F.get("rest", F.col("t")).alias("rest"))
+    crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).select("t", "key", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, ["t", "key"], "left")
+    again = F.when(F.col("crowded"), F.col("rest")).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.select("hi", "lo", "keys", "rest", "t", "key", F.posexplode(again).alias("u", "sub"))
+    a, b = (rows.select("t", "key", "u", "sub", *[F.col(c).alias(f"{s}_{c}") for c in ("hi", "lo", "keys", "rest")]) for s in "ab")
+    met = a.join(b, ["t", "key", "u", "sub"]).where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo"))
+    equal = lambda x, y: x == y
+    first = F.array_position(F.zip_with("a_keys", "b_keys", equal), F.lit(True)) == F.col("t") + 1
+    first = first & ((F.col("sub") == 0) | (F.array_position(F.zip_with("a_rest", "b_rest", equal), F.lit(True)) == F.col("u") + 1))
     d = distance((F.col("a_hi"), F.col("a_lo")), (F.col("b_hi"), F.col("b_lo")))
     return met.where(first).select("a_hi", "a_lo", "b_hi", "b_lo", d.alias("distance")).where(F.col("distance") <= radius)
 
 
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: hi, lo, a row a document -> hi, lo, near (documents within the radius, one of its own not counted), for
+    fingerprints that have any."""
+    own = prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
+    pairs = near_pairs(own, radius)
+    sides = pairs.selectExpr("a_hi AS hi", "a_lo AS lo", "b_hi AS o_hi", "b_lo AS o_lo")
+    sides = sides.unionByName(pairs.selectExpr("b_hi AS hi", "b_lo AS lo", "a_hi AS o_hi", "a_lo AS o_lo"))
+    other = own.select(F.col("hi").alias("o_hi"), F.col("lo").alias("o_lo"), "n")
+    found = sides.join(other, ["o_hi", "o_lo"]).select("hi", "lo", "n")
+    found = found.unionByName(own.where("n > 1").select("hi", "lo", (F.col("n") - 1).alias("n")))
+    return found.groupBy("hi", "lo").agg(F.sum("n").alias("near"))
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, h) plus ``cell``, an array of numbers that grows with the place in ascending order.
+
+    Ids are dealt into equal ranges of CELL documents on average. Ranges of more than four times as many are divided by
+    their own least and greatest id until there are none; what then is too full has one id (or none), and is divided by
+    text hash, greatest first.
+    """
+    whole = F.col("doc_id").cast("decimal(20,0)")
+
+    def place(lo: Column, hi: Column, n: Column) -> Column:
+        parts = F.ceil(n / CELL).cast("decimal(20,0)")
+        return F.try_divide((whole - lo) * parts, hi - lo + 1)
+
+    def measured(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+    span = measured(rows.select("doc_id")).first()
+    low, high, n = (F.lit(x) for x in (span["lo"] or 0, span["hi"] or 0, span["n"]))
+    first = F.floor(place(low.cast("decimal(20,0)"), high.cast("decimal(20,0)"), n)).cast("long")
+    rows = rows.withColumn("cell", F.array(F.coalesce(first, F.lit(-1).cast("long"))))
+    while True:
+        full = saved(measured(rows.select("cell", "doc_id"), "cell").where(F.col("n") > 4 * CELL), "full")
+        many = full.count()
+        if not many:
+            return rows
+        full = F.broadcast(full) if many <= HINT_CELLS else full
+        ids_differ = full.where("lo < hi")
+        rows = rows.join(full, "cell", "left")
+        if ids_differ.isEmpty():
+            turned = (F.lit(1 << 63).cast("decimal(20,0)") - F.col("h").cast("decimal(20,0)")) * F.ceil(F.col("n") / CELL).cast("decimal(10,0)")
+            more = F.floor(turned / F.lit(1 << 64).cast("decimal(20,0)")).cast("long")
+            return rows.withColumn("cell", F.when(F.col("n").isNotNull(), F.concat("cell", F.array(more))).otherwise(F.col("cell"))).drop("lo", "hi", "n")
+        more = F.floor(place(F.col("lo"), F.col("hi"), F.col("n"))).cast("long")
+        rows = rows.withColumn("cell", F.when(F.col("lo") < F.col("hi"), F.concat("cell", F.array(more))).otherwise(F.col("cell"))).drop("lo", "hi", "n")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """cell, rn, last, doc_id, text, next (the text of the next document by descending id).
 
-    Ids are dealt into cells of about CELL documents; every cell ends with a copy of the first document of the next
-    lower cell (``last`` is true), so one window a cell sees every follower and texts are shuffled once.
+    Every cell ends with a copy of the first document of the next lower cell (``last`` is true), so one window a cell
+    sees every follower and texts are shuffled once.
     """
-    low, high, n = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.count(F.lit(1))).first()
-    width = max(1.0, ((high or 0.0) - (low or 0.0) + 1) * CELL / max(1, n))
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(low or 0.0)) / width).cast("long"), F.lit(-1).cast("long"))
-    rows = docs.select(cell.alias("cell"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tops = rows.groupBy("cell").agg(F.max("doc_id").alias("top"))  # about n / CELL rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_cells(rows.withColumn("h", F.xxhash64("text")))
+    tops = saved(rows.groupBy("cell").agg(F.max("doc_id").alias("top")), "tops")  # about n / CELL rows
     order = Window.orderBy(F.desc("cell"))
     ring = tops.select(
         F.col("cell").alias("end_of"),
         F.coalesce(F.lead("cell").over(order), F.first("cell").over(order)).alias("cell"),
     )
     tops = tops.join(ring, "cell")
-    if n <= CELL * HINT_CELLS:
+    if tops.count() <= HINT_CELLS:
         tops = F.broadcast(tops)
     firsts = rows.join(tops, (rows["cell"] == tops["cell"]) & rows["doc_id"].eqNullSafe(tops["top"]))
-    firsts = firsts.groupBy("end_of").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
-    ends = firsts.select(F.col("end_of").alias("cell"), F.lit(None).cast("long").alias("doc_id"), F.col("x.text").alias("text"), F.lit(True).alias("last"))
-    both = rows.withColumn("last", F.lit(False)).unionByName(ends)
-    w = Window.partitionBy("cell").orderBy("last", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    firsts = firsts.groupBy("end_of").agg(F.min(F.struct("h", "text")).alias("x"))
+    ends = firsts.select(F.col("end_of").alias("cell"), F.lit(None).cast("long").alias("doc_id"), F.col("x.text").alias("text"), F.col("x.h").alias("h"), F.lit(True).alias("last"))
+    both = rows.select("cell", "doc_id", "text", "h", F.lit(False).alias("last")).unionByName(ends)
+    w = Window.partitionBy("cell").orderBy("last", F.desc_nulls_last("doc_id"), "h")
     return both.select("cell", F.row_number().over(w).alias("rn"), "last", "doc_id", "text", F.lead("text").over(w).alias("next"))
 
 
@@ -152,8 +229,11 @@ def report(docs: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("cell").orderBy("rn")
     one = one.withColumn("next_hi", F.lead("own_hi").over(w)).withColumn("next_lo", F.lead("own_lo").over(w))
+    one = saved(one.where(~F.col("last")).drop("cell", "rn", "last"), "prints")
+    near = near_counts(one.select(F.col("own_hi").alias("hi"), F.col("own_lo").alias("lo")))
+    one = one.join(near, (one["own_hi"] == near["hi"]) & (one["own_lo"] == near["lo"]), "left")
     own, edit, nxt = ((F.col(f"{p}_hi"), F.col(f"{p}_lo")) for p in ("own", "edit", "next"))
-    return one.where(~F.col("last")).select(
+    return one.select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
@@ -161,4 +241,5 @@ def report(docs: DataFrame) -> DataFrame:
         text_of(*edit).alias("edited_fingerprint"),
         likeness(own, edit).alias("near_edited"),
         likeness(own, nxt).alias("near_next"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("near_docs"),
     )
