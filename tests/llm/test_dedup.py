@@ -24,8 +24,8 @@ def test_quality_rules(docs, rows):
 
 def test_quality_order_changes_nothing(docs):
     given = quality_rules.rules()
-    a = quality_rules.judge(docs, given).select("doc_id", "_q_kept").collect()
-    b = quality_rules.judge(docs, dict(reversed(given.items()))).select("doc_id", "_q_kept").collect()
+    a = quality_rules.judge(docs, given).select("_q_row.doc_id", "_q_kept").collect()
+    b = quality_rules.judge(docs, dict(reversed(given.items()))).select("_q_row.doc_id", "_q_kept").collect()
     assert sorted(a) == sorted(b)
 
 
@@ -191,11 +191,12 @@ def test_quality_cascade_is_short(docs, rows, monkeypatch):
     order = [*quality_rules.rules().items(), (quality_rules.BASE, quality_rules.base_failed())]
     monkeypatch.setattr(quality_rules, "ordered", lambda *_: order)
     cheap = quality_rules.judge(docs, short=True).withColumn("cheap", reduce(or_, [c for _, c in order[:-1]])).collect()
-    full = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
-    assert any(r["cheap"] and full[r["doc_id"]]["_q_n_repeat_words"] for r in cheap)
+    full = {r["_q_row"]["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert any(r["cheap"] and full[r["_q_row"]["doc_id"]]["_q_n_repeat_words"] for r in cheap)
     for r in cheap:
-        assert r["_q_n_repeat_words"] == (0 if r["cheap"] else full[r["doc_id"]]["_q_n_repeat_words"])
-        assert r["_q_kept"] == full[r["doc_id"]]["_q_kept"]
+        own = full[r["_q_row"]["doc_id"]]
+        assert r["_q_n_repeat_words"] == (0 if r["cheap"] else own["_q_n_repeat_words"])
+        assert r["_q_kept"] == own["_q_kept"]
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {i for i, t in rows if brute.quality(t)[-1]}
 
 
@@ -206,3 +207,53 @@ def test_components_go_on_until_nothing_changes(spark, monkeypatch):
     random.Random(5).shuffle(at)
     edges = spark.createDataFrame(list(zip(at, at[1:], strict=False)), "a long, b long")
     assert {(r["node"], r["root"]) for r in components.components(edges).collect()} == {(k, 0) for k in at}
+
+
+CLASHES = ["_q_text", "_q_kept", "_l_text", "_l_row", "_l_kept", "_j_row", "_s_text", "_s_id", "sig", "h1", "rep", "root", "z"]
+
+
+@pytest.mark.parametrize("stage", [quality_rules.keep_good, line_dedup.drop_lines, shingle_join.keep_first, substring_dedup.cut_texts])
+def test_stages_keep_clashing_columns(docs, spark, stage):
+    """Columns with the operators' own names come through, and null ids, repeated rows and empty tables are handled."""
+    from pyspark.sql import functions as F
+
+    own = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    plain = {r["doc_id"]: tuple(r) for r in stage(docs).collect()}
+    got = stage(own)
+    assert got.columns == own.columns
+    for r in got.collect():
+        assert all(r[c] == f"{c} {r['doc_id']}" for c in CLASHES) and tuple(r)[: len(docs.columns)] == plain.pop(r["doc_id"])
+    assert not plain
+    assert stage(own.limit(0)).collect() == []
+    odd = own.unionByName(own.limit(4)).unionByName(own.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    assert stage(odd).count() >= len(got.collect())
+
+
+def test_shingle_join_rows_of_one_id_stay_apart(spark):
+    a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "red green blue cyan pink grey")
+    d = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (8, b), (9, c), (9, None), (None, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in shingle_join.groups(d, 3, 90).collect())
+    assert got == [(-1, -1), (3, 3), (5, 3), (5, 5), (5, 5), (8, 5), (9, 9), (9, 9)]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in shingle_join.keep_first(d, 3, 90).collect() if r["text"])
+    assert kept == [(-1, a), (3, a), (5, b), (5, b), (9, c)]
+
+
+def test_line_dedup_leaves_no_tables(spark, docs):
+    line_dedup.report(docs).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run")]
+
+
+def test_pipeline_on_odd_tables(spark, docs, sf):
+    """Empty tables, null and repeated ids, null texts and clashing names run through all stages."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    odd = docs.unionByName(docs.limit(5)).unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({c: F.lit(c) for c in CLASHES})
+    for table in (odd, odd.limit(0)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, sf)
+            assert out.columns == table.columns, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, sf)
+        assert (pieces.count() > 0) == (table is odd)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import class_lm, lang_id, packing, simhash, zstd_quality
+from tidemark.llm import class_lm, common, lang_id, packing, simhash, zstd_quality
 
 
 def fold(i, m):
@@ -235,20 +235,110 @@ def test_class_lm_gives_each_rare_word_its_own_class(spark, monkeypatch):
 
 
 def test_zstd_quality_long_text_leaves_no_half_empty(spark):
-    """The first sampled text of each label takes a label's whole budget."""
+    """A very long sampled text takes no more room than SAMPLE_TEXT, and rows that repeat are learned once."""
     rng = random.Random(4)
     good, bad = ["clear", "prose", "with", "sense"], ["buy", "now", "!!!", "$$$"]
     data, marks = [], []
     for k in range(80):
         q = k % 2
-        data.append((k, " ".join(rng.choice(good if q else bad) for _ in range(80))))
+        data.append((k, " ".join(rng.choice(good if q else bad) for _ in range(80)) * (4000 if k < 4 else 1)))
         marks.append((k, q))
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    labels = spark.createDataFrame(marks, "doc_id long, quality int")
-    h = docs.join(labels, "doc_id").where(zstd_quality.crc32_mod(F.col("doc_id"), 5) != 0).withColumn("h", zstd_quality.hashed("doc_id"))
-    first = [r["i"] for r in h.groupBy("quality").agg(F.min_by("doc_id", "h").alias("i")).collect()]
-    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(first), F.repeat(F.concat("text", F.lit(" ")), 4000)).otherwise(F.col("text")))
+    docs = spark.createDataFrame(data + [data[9]] * 50 + [(None, "x y")] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame(marks + [(None, 1)] * 9, "doc_id long, quality int")
     model = zstd_quality.learn(docs, labels)
     assert model is not None and min(map(len, model.data)) > 8
-    got = zstd_quality.halves([(q, t) for t in ("long " * 400_000, "short", "text", "more") for q in (0, 1)])
-    assert all(len(got[q, half]) for q in (0, 1) for half in (0, 1))
+    rows = docs.join(labels, "doc_id").select("doc_id", "quality", "text")
+    got = common.sample_texts(rows, "quality", {0: 1, 1: 1}, 20, 300)
+    assert all(len(t) == 20 and len(set(t)) == 20 and max(len(x) for _, x in t) == 300 for t in got.values())
+
+
+def test_zstd_quality_against_plain(docs, spark):
+    """The whole report, computed text by text from the learned dictionaries; nulls, repeated rows, clashing names."""
+    import zstandard
+
+    rows = [r for r in docs.collect()]
+    marks = [(r["doc_id"], int("the" in (r["text"] or ""))) for r in rows]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    model = zstd_quality.learn(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=zstd_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO), write_content_size=False) for d in model.data]
+    more = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    got = zstd_quality.report(more, labels).collect()
+    texts = {(r["doc_id"], r["text"]) for r in more.collect()}
+    want = Counter()
+    for r in more.collect():
+        t = (r["text"] or "").encode()
+        sums = [sum(len(p.compress(t[k : k + zstd_quality.BLOCK])) for k in range(0, len(t), zstd_quality.BLOCK)) for p in packers]
+        x = (sums[1] - sums[0]) / len(t) if t else 0.0
+        score = 1 / (1 + math.exp(-max(-50.0, min(50.0, model.slope * x + model.shift))))
+        held = zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 0
+        want[r["doc_id"], held, round(score, 9), int(score >= 0.3)] += 1
+    assert Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in got) == want and texts
+    assert zstd_quality.report(docs.limit(0), labels).collect() == []
+
+
+def test_lang_id_learns_what_there_is(spark):
+    """A language without text, null and repeated ids and texts shorter than a context; the report against plain codes."""
+    data = [(k, "plain words here", "en") for k in range(20)] + [(k, None, "fr") for k in range(20, 40)]
+    data += [(k, "a" if k % 2 else "", "xx") for k in range(40, 50)] + [(None, "plain words", "en")] * 30 + [(7, "zwölf Boxkämpfer", "de")] * 9
+    data += [(k, "zwölf graue Boxkämpfer", "de") for k in range(60, 75)] + [(90, "graue", None), (91, "words " * 300_000, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    trees = lang_id.learn(d)
+    assert "fr" not in trees.langs and {"en", "de"} <= set(trees.langs)
+    got = lang_id.report(d).collect()
+    assert len(got) == len(data)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[90]["lang_pred"] == "de" and by_id[91]["lang_pred"] == "en" and by_id[20]["lang_pred"] == "und"
+    for text, i in (("graue", 90), ("plain words here", 3)):
+        bits = trees.lengths([text.encode()])[0]
+        assert by_id[i]["score"] == pytest.approx(1 / np.exp2(bits.min() - bits).sum())
+    assert lang_id.report(d.limit(0)).collect() == []
+    for text in (b"", b"a"):
+        lang_id.Trees({"x": [text]})
+
+
+def test_lang_id_slices_change_nothing(monkeypatch):
+    trees = lang_id.Trees({"a": [b"abracadabra"], "b": [b"xyzzy"]})
+    texts = [b"abra" * 30, b"", b"xyz" * 9]
+    whole = trees.lengths(texts)
+    monkeypatch.setattr(lang_id, "PIECE", 7)
+    assert np.allclose(trees.lengths(texts), whole)
+
+
+def test_simhash_order_of_odd_ids(spark, monkeypatch):
+    """Outliers, equal and null ids don't crowd a cell, and every document's next is right."""
+    monkeypatch.setattr(simhash, "CELL", 8)
+    data = [(k, f"text {k} of some words") for k in range(150)] + [(10**15, "far"), (-(10**17), "low")]
+    data += [(70, f"same id {k}") for k in range(60)] + [(None, f"no id {k}") for k in range(80)]
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumn("cell", F.lit("clash"))
+    cells = simhash.in_cells(d.select("doc_id", "text", F.xxhash64("text").alias("h"))).groupBy("cell").count().collect()
+    assert max(r["count"] for r in cells) <= 4 * 8
+    h = {r["text"]: r["h"] for r in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+    got = {}
+    for r in simhash.report(d).collect():
+        got.setdefault((r["doc_id"], r["edited_sha256"]), 0)
+        got[r["doc_id"], r["edited_sha256"]] += 1
+    want = {}
+    for k, (i, t) in enumerate(order):
+        after, m = order[(k + 1) % len(order)][1], len(t) // 3
+        key = i, hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_simhash_near_docs(docs, rows, spark, monkeypatch, crowd):
+    """The report's counts against all pairs; a small CROWD deals every shared key anew."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    got = simhash.report(docs).collect()
+    prints = [int(r["fingerprint"], 16) for r in got]
+    for r, x in zip(got, prints, strict=True):
+        assert r["near_docs"] == sum(bin(x ^ y).count("1") <= simhash.RADIUS for y in prints) - 1
+    rng = random.Random(2)
+    base = rng.getrandbits(120)
+    near = [base ^ sum(1 << rng.randrange(120) for _ in range(rng.randrange(3))) for _ in range(80)]
+    d = spark.createDataFrame([(x >> 64, x & (1 << 63) - 1) for x in near], "hi long, lo long")
+    own = [((x >> 64) << 64) | (x & (1 << 63) - 1) for x in near]
+    for r in simhash.near_counts(d).collect():
+        x = (r["hi"] << 64) | r["lo"]
+        assert r["near"] == sum(bin(x ^ y).count("1") <= 3 for y in own) - 1
