@@ -3,8 +3,9 @@
 1. Every window of SIZE bytes has an anchor, its least hashed substring of ANCHOR bytes (the leftmost of equals). Equal
    windows have equal anchors, so windows only need to meet where their anchor is dealt to. The windows of one anchor
    occurrence form a segment of at most 2 * SIZE - ANCHOR bytes.
-2. Anchors are dealt by hash, as (anchor, segment content, document) hashes. Segments of equal content are one string
-   from then on, held by their smallest document; anchors that occur in one document alone end here.
+2. Anchors are dealt by hash, as (anchor, segment content, document) hashes. Segments of an anchor whose contents agree
+   in two independent hashes of 112 bits together are one string from then on, held by their smallest document;
+   anchors that occur in one document alone end here.
 3. The distinct strings of all other anchors are sent on, and the shards that they form get suffix arrays by induced
    sorting and permuted common prefixes. Neighbours in the array that agree in SIZE bytes are equal windows; the
    smallest document among them keeps its window, and the others lose theirs.
@@ -12,11 +13,13 @@
    document and cut from the text as it was read.
 
 Texts are moved twice, compressed; what moves besides is a few bytes for each anchor. A batch sends a content once,
-from its smallest document. Long texts are read in pieces that overlap, so memory follows PIECE and not the longest text.
+from its smallest document. Long texts are read in pieces that overlap, and partitions are read in the order of their
+documents, marks before texts, so memory follows PIECE and the longest text.
 
 Defined cases: a null or empty text has no bytes and stays as it is; texts shorter than SIZE lose nothing; rows of equal
-id are one document to each other (nothing is cut between them); a null id neither loses bytes nor takes them from
-others; an empty table gives an empty result; other columns stay as they are.
+id are one document to each other (nothing is cut between them), and equal rows lose the same bytes; a null id neither
+loses bytes nor takes them from others; an empty table gives an empty result; other columns, whatever their names, stay
+as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ ANCHOR = 22
 PIECE = 1 << 20  # bytes of text read at once
 SHARD = 1 << 20  # bytes of strings that share a suffix array (one anchor's strings always do)
 SPREAD = 2  # buckets for each shuffle partition
-LOW = (1 << 48) - 1
+ODD = 0xD1342543DE82EF95  # multiplier of the second content hash
 
 
 def _mix(x):
@@ -60,8 +63,18 @@ def pieces(texts: list[bytes]):
         yield group
 
 
+def _powers(x: int, n: int):
+    """1, x, x * x, ..., modulo 2**64."""
+    import numpy as np
+
+    out = np.full(n, x, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def segments(group):
-    """Of a group of pieces: row, first byte in the text, number of windows, anchor hash and content hash (uint64)."""
+    """Of a group of pieces: row, first byte in the text, number of windows, anchor hash, content hash and a second,
+    independent content hash (uint64)."""
     import numpy as np
 
     raw = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
@@ -69,6 +82,10 @@ def segments(group):
     start = np.cumsum(size) - size
     n = len(raw)
     by = {1: _mix(raw.astype(np.uint64) + np.uint64(0x51ED27))}
+    # Sums of the bytes' values times powers of an odd number: a difference, divided by the first one, is a hash of any
+    # substring.
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(by[1] ^ np.uint64(0x2545F4914F6CDD1D)) * _powers(ODD, n), out=sums[1:])
     for k in (1, 2, 4, 8, 16):  # hashes of all substrings of 2, 4, ... 32 bytes
         x = by[k]
         y = np.zeros(n, np.uint64)
@@ -105,9 +122,11 @@ def segments(group):
     key = cover(at, ANCHOR)
     shape = (windows * 64 + (at - first)).astype(np.uint64)
     content = _mix(cover(first, SIZE) * np.uint64(7) + _mix(cover(first + windows - 1, SIZE) + _mix(shape)))
+    whole = (sums[first + windows - 1 + SIZE] - sums[first]) * _powers(pow(ODD, -1, 1 << 64), n)[first]
+    check = _mix(whole ^ _mix(shape ^ np.uint64(0x9E37)))
     rows = np.array([r for r, _, _ in group])[piece[first]]
     where = first - start[piece[first]] + np.array([o for _, o, _ in group])[piece[first]]
-    return rows, where, windows, key, content
+    return rows, where, windows, key, content, check
 
 
 def all_segments(texts: list[bytes]):
@@ -115,61 +134,62 @@ def all_segments(texts: list[bytes]):
 
     parts = [segments(g) for g in pieces(texts)]
     if not parts:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def firsts(key, content, doc):
-    """Of rows in any order: an order by (key, content, doc), and which of it begin a content of a key."""
+def firsts(key, content, check, doc):
+    """Of rows in any order: an order by anchor, content and document, and which of it begin a content of an anchor."""
     import numpy as np
 
     order = np.lexsort((doc, content, key))
-    k, c = key[order], content[order]
-    return order, np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
+    k, c, x = key[order], content[order], check[order]
+    return order, np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (x[1:] != x[:-1])] if len(k) else np.zeros(0, bool)
+
+
+def _bytes(x, size: int = 8) -> bytes:
+    """The low bytes of each number."""
+    import numpy as np
+
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def lost_pass(buckets: int):
     """Anchors of a batch, a row for each bucket: sorted anchor, content and document, and the documents whose segment
-    another one of the batch already holds."""
+    another one of the batch already holds. Buckets are equal ranges of the anchors' hashes."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
         for batch in batches:
             ids = batch.column(0)
             texts = [t if i is not None else b"" for t, i in zip(text_bytes(batch), ids.to_pylist(), strict=True)]
-            rows, _, _, key, content = all_segments(texts)
+            rows, _, _, key, content, check = all_segments(texts)
             doc = np.asarray(ids.fill_null(0))[rows]
-            order, first = firsts(key, content & np.uint64(LOW), doc)
-            key, content, doc = key[order], (content & np.uint64(LOW))[order], doc[order]
-            holder = doc[first][np.cumsum(first) - 1] if len(doc) else doc
-            again = doc != holder
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            for b in range(buckets):
-                mine = bucket == b
-                own, more = mine & first, mine & again
-                if own.any():
-                    blob = b"".join(
-                        [
-                            np.int64(own.sum()).tobytes(),
-                            (key[own] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                            content[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                            np.ascontiguousarray(doc[own].view(np.uint8).reshape(-1, 8).T).tobytes(),
-                            content[more].tobytes(),
-                            doc[more].tobytes(),
-                        ]
-                    )
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+            order, first = firsts(key, content, check, doc)
+            key, content, check, doc = key[order], content[order], check[order], doc[order]
+            again = doc != (doc[first][np.cumsum(first) - 1] if len(doc) else doc)
+            at = np.r_[np.searchsorted(key, edges), len(key)].tolist()
+            some = [b for b in range(buckets) if at[b] < at[b + 1]]
+            blobs = []
+            for b in some:
+                own = slice(at[b], at[b + 1])
+                f, more = first[own], again[own]
+                parts = [_bytes(key[own][f], 6), _bytes(content[own][f]), _bytes(check[own][f], 6), _bytes(doc[own][f])]
+                blobs.append(b"".join([np.int64(f.sum()).tobytes(), *parts, _bytes(content[own][more]), _bytes(doc[own][more])]))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _six(raw):
+def _numbers(raw, at: int, n: int, size: int = 8):
+    """n numbers of a blob, of so many bytes each."""
     import numpy as np
 
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
@@ -177,24 +197,24 @@ def judge_bucket(blobs: list[bytes]):
     """(document, content, whole): segments that are lost as a whole, and strings to compare (whole is false)."""
     import numpy as np
 
-    keys, contents, docs, more_c, more_d = [], [], [], [], []
+    keys, contents, checks, docs, more_c, more_d = [], [], [], [], [], []
     for x in blobs:
         n = int(np.frombuffer(x, np.int64, 1)[0])
-        keys.append(_six(x[8 : 8 + 6 * n]))
-        contents.append(_six(x[8 + 6 * n : 8 + 12 * n]))
-        docs.append(np.ascontiguousarray(np.frombuffer(x[8 + 12 * n : 8 + 20 * n], np.uint8).reshape(8, -1).T).view(np.int64).ravel())
-        rest = np.frombuffer(x[8 + 20 * n :], np.int64)
+        keys.append(_numbers(x, 8, n, 6))
+        contents.append(_numbers(x, 8 + 6 * n, n))
+        checks.append(_numbers(x, 8 + 14 * n, n, 6))
+        docs.append(np.frombuffer(x, np.int64, n, 8 + 20 * n))
+        rest = np.frombuffer(x, np.int64, -1, 8 + 28 * n) if len(x) > 8 + 28 * n else np.zeros(0, np.int64)
         more_c.append(rest[: len(rest) // 2])
         more_d.append(rest[len(rest) // 2 :])
-    key, content, doc = np.concatenate(keys), np.concatenate(contents), np.concatenate(docs)
-    order = np.lexsort((doc, content, key))
+    key, content, check, doc = (np.concatenate(x) for x in (keys, contents, checks, docs))
+    order, new = firsts(key, content, check, doc)
     key, content, doc = key[order], content[order], doc[order]
     new_key = np.r_[True, key[1:] != key[:-1]]
-    new = new_key | np.r_[True, content[1:] != content[:-1]]
     holder = doc[new][np.cumsum(new) - 1]
     lost = doc != holder
     # Among an anchor's distinct strings: more than one, and not all of one document.
-    k, c, d = key[new], content[new], doc[new]
+    d, c = doc[new], content[new]
     at = np.flatnonzero(new_key[new])
     low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
     ask = (low != high)[np.cumsum(new_key[new]) - 1]
@@ -241,48 +261,60 @@ def unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def mark_code(content, text):
+    """One number for a content of a text of a chunk."""
+    import numpy as np
+
+    return _mix(content.view(np.uint64) ^ _mix(text.astype(np.uint64) + np.uint64(1)))
+
+
 def partition(batches):
     """Chunks of about PIECE bytes of a partition's texts, each with the marks of its documents: ids, texts, and for each
-    mark its text's number and content as one code, its first and its last window; sorted by code. A partition holds
-    all rows of its documents."""
+    mark its text's number, a code of text and content, its first and its last window; sorted by code. A partition holds
+    all rows of its documents, in their order, marks first."""
     import numpy as np
 
-    ids, small, parts = [], [], []
-    for batch in batches:
-        text = batch.column(1).is_valid()
-        own = batch.filter(text)
-        ids += own.column(0).to_pylist()
-        small += own.column(1).to_pylist()
-        parts.append([np.asarray(c) for c in batch.filter(batch.column(1).is_null()).select([0, 2, 3, 4]).columns])
-    doc, content, first, last = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
-    order = np.argsort(doc, kind="stable")
-    doc, content, first, last = doc[order], content[order], first[order], last[order]
-    at = 0
-    while at < len(ids):
-        raws, size, begin = [], 0, at
-        while at < len(ids) and size < PIECE and len(raws) < 16_000:
-            raws.append(unpack(small[at]))
-            size += len(raws[-1])
-            at += 1
-        some = np.array([-1 if x is None else x for x in ids[begin:at]], np.int64)
-        null = np.array([x is None for x in ids[begin:at]])
+    ids, raws, size = [], [], 0
+    marks = [np.zeros(0, np.int64)] * 4  # document, content, first, last
+
+    def chunk():
+        doc, content, first, last = marks
+        some = np.array([-1 if x is None else x for x in ids], np.int64)
+        null = np.array([x is None for x in ids])
         low, high = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
         n = np.where(null, 0, high - low)
         text = np.repeat(np.arange(len(n)), n)
         mark = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        code = content[mark] | text << 48
+        code = mark_code(content[mark], text)
         order = np.argsort(code, kind="stable")
-        yield ids[begin:at], raws, (code[order], first[mark][order], last[mark][order])
+        return ids, raws, (text[order], code[order], first[mark][order], last[mark][order])
+
+    for batch in batches:
+        at_text = np.asarray(batch.column(1).is_valid())
+        own = batch.filter(batch.column(1).is_null())
+        marks = [np.r_[a, np.asarray(c)] for a, c in zip(marks, own.select([0, 2, 3, 4]).columns, strict=True)]
+        own = batch.filter(batch.column(1).is_valid()) if at_text.any() else batch.slice(0, 0)
+        for i, z in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            raws.append(unpack(z))
+            size += len(raws[-1])
+            if size >= PIECE:
+                yield chunk()
+                keep = slice(0 if i is None else int(np.searchsorted(marks[0], i)), None)  # more texts of this document may follow
+                marks = [x[keep] for x in marks]
+                ids, raws, size = [], [], 0
+    if ids:
+        yield chunk()
 
 
 def coded(raws: list[bytes], marks):
-    """Segments of the texts that have marks, their contents coded as in ``partition``."""
+    """Segments of the texts that have marks, with the codes of ``partition``."""
     import numpy as np
 
-    texts = np.unique(marks[0] >> 48)
-    rows, where, windows, key, content = all_segments([raws[x] for x in texts.tolist()])
+    texts = np.unique(marks[0])
+    rows, where, windows, key, content, _ = all_segments([raws[x] for x in texts.tolist()])
     text = texts[rows] if len(texts) else rows
-    return text, where, windows, key, (content & np.uint64(LOW)).view(np.int64) | text << 48
+    return text, where, windows, key, content.view(np.int64), mark_code(content, text)
 
 
 def string_pass(batches):
@@ -291,8 +323,8 @@ def string_pass(batches):
     import pyarrow as pa
 
     for ids, raws, marks in partition(batches):
-        text, where, windows, key, code = coded(raws, marks)
-        hit = np.flatnonzero(np.isin(code, marks[0]))
+        text, where, windows, key, content, code = coded(raws, marks)
+        hit = np.flatnonzero(np.isin(code, marks[1]))
         _, once = np.unique(code[hit], return_index=True)
         hit = hit[once]
         if len(hit):
@@ -300,7 +332,7 @@ def string_pass(batches):
             strings = [raws[t][a : b + SIZE - 1] for t, a, b in spans]
             cols = [
                 pa.array(key[hit].view(np.int64)), pa.array([ids[t] for t in text[hit].tolist()], pa.int64()),
-                pa.array(code[hit] & LOW), pa.array(strings, pa.binary()),
+                pa.array(content[hit]), pa.array(strings, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "content", "string"])
 
@@ -309,12 +341,12 @@ def cuts(raws: list[bytes], marks) -> list:
     """For each text the ranges (from, to) of the bytes that go, united and in order."""
     import numpy as np
 
-    text, where, windows, _, code = coded(raws, marks)
-    low, high = np.searchsorted(marks[0], code), np.searchsorted(marks[0], code, "right")
+    text, where, windows, _, _, code = coded(raws, marks)
+    low, high = np.searchsorted(marks[1], code), np.searchsorted(marks[1], code, "right")
     n = high - low
     seg = np.repeat(np.arange(len(code)), n)
     mark = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-    first, last = marks[1][mark], marks[2][mark]
+    first, last = marks[2][mark], marks[3][mark]
     size = np.array([len(r) + 1 for r in raws])  # a byte between texts keeps their ranges apart
     start = np.cumsum(size) - size
     begin = start[text[seg]] + where[seg]
@@ -382,10 +414,12 @@ def kept_bytes(raw: bytes, ranges) -> bytes:
 
 
 def _dealt(texts: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """Texts and marks of each document in one partition. Null ids have no marks and are spread over all partitions."""
+    """Texts and marks of each document in one partition, in the order of documents and marks first. Null ids have no
+    marks and are spread over all partitions."""
     a = texts.select("doc_id", "z", *[F.lit(None).cast(k).alias(c) for c, k in (("content", "long"), ("first", "int"), ("last", "int"))])
     b = marks.select("doc_id", F.lit(None).cast("binary").alias("z"), "content", "first", "last")
-    return a.unionByName(b).repartition(parts, F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64("z"), F.lit(1 << 30))))
+    both = a.unionByName(b).repartition(parts, F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64("z"), F.lit(1 << 30))))
+    return both.sortWithinPartitions("doc_id", F.col("z").isNotNull())
 
 
 def lost_windows(docs: DataFrame) -> DataFrame:
@@ -433,13 +467,13 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = saved(_dealt(keyed.mapInArrow(packed, "doc_id long, z binary"), lost_windows(keyed), parts).mapInArrow(range_pass, "doc_id long, sig binary, text string"), "cuts")
     cuts = ranges.dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("_s_id"), F.col("sig").alias("_s_sig"), F.col("text").alias("_s_text"))
-    same = (docs["doc_id"] == cuts["_s_id"]) & (F.unhex(F.md5(F.col("text").cast("binary"))) == cuts["_s_sig"])
-    out = docs.join(cuts, same, "left")
-    text = F.coalesce("_s_text", "text")
-    own = {c: F.col(c) for c in docs.columns} | {"text": text}
+    rows = docs.select(F.struct("*").alias("_s_row"), F.col("doc_id").cast("long").alias("_s_own"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_s_md5"))
+    out = rows.join(cuts, (F.col("_s_own") == F.col("_s_id")) & (F.col("_s_md5") == F.col("_s_sig")), "left")
+    own = {c: F.col("_s_row").getField(c) for c in docs.columns}
+    text = F.coalesce("_s_text", own["text"])
     if "n_chars" in own:
-        own["n_chars"] = F.when(F.col("_s_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[v.alias(k) for k, v in own.items()])
+        own["n_chars"] = F.when(F.col("_s_text").isNull(), own["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[v.alias(k) for k, v in (own | {"text": text}).items()])
 
 
 def range_pass(batches):

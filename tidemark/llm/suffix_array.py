@@ -1,10 +1,15 @@
-"""Suffix arrays by induced sorting over numpy buckets, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+Suffixes are classified, the substrings between leftmost smaller suffixes are sorted and named, the names are sorted by
+the same procedure at any depth and over any alphabet, and all suffixes are induced from them. A string over few symbols
+is induced bucket by bucket in numpy, one over many symbols place by place; both are linear.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-BUCKETS = 1024  # a reduced string over more symbols is sorted by doubled ranks: it would have a numpy call a bucket
+BUCKETS = 1024  # symbols up to which a bucket is worth a numpy call of its own
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -32,17 +37,18 @@ def _induced(s: np.ndarray, k: int) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost smaller suffixes
     if not len(lms):
         return np.r_[n - 1, np.arange(n - 2, -1, -1)] if n > 1 else np.zeros(1, np.int64)
-    first = _induce(s, k, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = first[is_lms[first]]
-    if len(order) > 1:
-        order = _sort_lms(s, lms, order)
+    names = (_names_by_induction if k <= BUCKETS else _names_by_symbols)(s, k, small, lms)
+    order = lms[np.argsort(names, kind="stable") if names.max() == len(lms) - 1 else suffix_array(names)]
     return _induce(s, k, order)
 
 
-def _sort_lms(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Order of the suffixes at lms, given the order of the substrings between them."""
+def _names_by_induction(s: np.ndarray, k: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Ranks of the substrings from each lms place to the next one, equal ones alike: induced from their first symbols,
+    which puts them in order, and compared with their neighbours."""
+    is_lms = np.zeros(len(s), bool)
+    is_lms[lms] = True
+    order = _induce(s, k, lms)
+    order = order[is_lms[order]]
     end = np.zeros(len(s), np.int64)
     end[lms] = np.r_[lms[1:], lms[-1]]
     a, b = order[:-1], order[1:]
@@ -57,33 +63,66 @@ def _sort_lms(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
         step += 1
     name = np.zeros(len(s), np.int64)
     name[order] = np.r_[0, np.cumsum(~same)]
-    names = name[lms]
-    count = int(names.max()) + 1
-    if count == len(lms):
-        return order
-    if count <= BUCKETS:
-        return lms[suffix_array(names)]
-    return lms[_by_ranks(names)]
-
-
-def _by_ranks(names: np.ndarray) -> np.ndarray:
-    rank, size = names, 1
-    n = len(names)
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - size)] = rank[size:]
-        key = rank * (n + 2) + after + 1
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        if rank.max() == n - 1:
-            return order
-        size *= 2
+    return name[lms]
+
+
+def _names_by_symbols(s: np.ndarray, k: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same by sorting the substrings symbol by symbol, those that are still alike at a time. A symbol counts with
+    its type, so that no substring is the beginning of another."""
+    both = s.astype(np.int64) * 2 + small
+    size = np.r_[lms[1:], lms[-1]] - lms
+    rank = np.zeros(len(lms), np.int64)  # how many substrings are smaller
+    left, step = np.arange(len(lms)), 0
+    while len(left):
+        symbol = both[lms[left] + step]
+        order = np.lexsort((symbol, rank[left]))
+        left, symbol = left[order], symbol[order]
+        group = rank[left]
+        new_group = np.r_[True, group[1:] != group[:-1]]
+        new = new_group | np.r_[True, symbol[1:] != symbol[:-1]]
+        place = np.arange(len(left))
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        rank[left] = group + first - np.maximum.accumulate(np.where(new_group, place, 0))
+        alone = new & np.r_[new[1:], True]
+        left = left[~alone & (size[left] > step)]
+        step += 1
+    return np.unique(rank, return_inverse=True)[1]
 
 
 def _induce(s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the lms suffixes in order: larger ones by one pass up through the buckets, then
-    smaller ones by one pass down. A bucket's own suffixes feed it in waves, the others in one stable deal."""
+    """All suffixes in order, from the lms suffixes in order."""
+    return (_by_buckets if k <= BUCKETS else _by_places)(s, k, lms)
+
+
+def _by_places(s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """One pass up an array of places for the larger suffixes, one pass down for the smaller ones."""
+    size = np.bincount(s, minlength=k)
+    ends = np.cumsum(size)
+    symbol, small, sa = s.tolist(), _types(s).tolist(), [-1] * len(s)
+    free = ends.tolist()
+    for x in reversed(lms.tolist()):
+        c = symbol[x]
+        free[c] -= 1
+        sa[free[c]] = x
+    free = (ends - size).tolist()
+    for x in sa:  # grows ahead of where it is read
+        if x > 0 and not small[x - 1]:
+            c = symbol[x - 1]
+            sa[free[c]] = x - 1
+            free[c] += 1
+    free = ends.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        x = sa[at]
+        if x > 0 and small[x - 1]:
+            c = symbol[x - 1]
+            free[c] -= 1
+            sa[free[c]] = x - 1
+    return np.array(sa, np.int64)
+
+
+def _by_buckets(s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """One pass up through the buckets for the larger suffixes, one pass down for the smaller ones. A bucket's own
+    suffixes feed it in waves, the others in one stable deal."""
     n = len(s)
     head = s[lms]
     by = np.argsort(head, kind="stable")
