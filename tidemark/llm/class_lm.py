@@ -2,20 +2,22 @@
 
 p(word | previous word) = p(class | previous class) * p(word | class). Every training word has a class of its own. The
 start is exchange clustering on the driver of the CLUSTERED most frequent words and of ENDINGS groups of all others by
-word ending, one item at a time until nothing moves. Then ROUNDS distributed sweeps take every word: a table that grows
-with the corpus gathers each word's counts of neighbouring classes, and each word moves to the class under which they
-are most likely while the classes' statistics are frozen. A sweep that does not raise the training likelihood is undone
-and ends the sweeps. Only words that were never seen take the class that their ending had at the start. Transitions are
-interpolated with the class frequencies, and a class emits each of its words with (count + 1) / (tokens + distinct words
-+ 1), where the last 1 is for words that were never seen; both sum to one.
+word ending, one item at a time until nothing moves. Then a distributed sweep takes every word: a table that grows with
+the corpus gathers each word's counts of neighbouring classes, and each word moves to the class under which they are
+most likely while the classes' statistics are frozen. If that does not raise the training likelihood it is undone. Only
+words that were never seen take the class that their ending had at the start. Transitions are interpolated with the
+class frequencies, and a class emits each of its words with (count + 1) / (tokens + distinct words + 1), where the last
+1 is for words that were never seen; both sum to one.
 
 Counting covers all training text. The COMMON most frequent words are resolved from a broadcast list of fixed size, with
 their counts and classes; the others' are joined to the documents that hold them, and rare words cannot be hot keys.
+What tasks have counted of the listed words is added up in trees of FAN blocks, so that no group holds more than those.
 
 Words are split at ASCII white space with A-Z lower-cased; one end token closes a text and is the context of its first
-word. Defined cases: a null or empty text is the end token alone; repeated rows count and are scored one by one; with
-nothing to learn from, every probability is that of an empty model; an empty table gives an empty result; further
-columns are ignored.
+word. Defined cases: a null or empty text is the end token alone; repeated rows count and are scored one by one; words
+of equal count are listed in byte order, and among equally likely classes the first is taken; with nothing to learn
+from, every probability is that of an empty model; very long texts are coded inside their row; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, saved, text_bytes
+from .common import crc32_mod, discard, saved, text_bytes
 
 CLUSTERED = 960  # words that start as items of their own
 ENDINGS = 64  # groups of all other words at the start, by ending
 ITEMS = CLUSTERED + ENDINGS
 CLASSES = 48
-SWEEPS = 12
-ROUNDS = 2  # sweeps over all words
 BLOCK = 64  # words of the list in a row of counts
+ROWS = 16  # items in a row of the starting items' counts
+FAN = 64  # rows of counts that are added up at once
 NONE = CLASSES  # no neighbour on this side
 BACKOFF = 50.0  # pseudo-counts of the class frequencies in a transition
 COMMON = 150_000  # words whose counts travel with the code; the rest is joined
@@ -173,8 +175,9 @@ class Tokens:
         return self.filled(common, k, np.int64), c
 
 
-def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
-    """Class of each item. pairs[i, j]: how often item j follows item i. Maximises the class bigram likelihood
+def exchange(pairs, classes: int = CLASSES):
+    """Class of each item, when no single move raises the likelihood any more. pairs[i, j]: how often item j follows
+    item i. Maximises the class bigram likelihood
     sum N(a, b) log N(a, b) - sum N(a, .) log N(a, .) - sum N(., b) log N(., b)."""
     import numpy as np
 
@@ -187,10 +190,12 @@ def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
     def xlog(x):
         return x * np.log(np.maximum(x, 1.0))
 
+    least = 1e-9 * max(1.0, pairs.sum())
     one = np.eye(classes)[of]
     joint = one.T @ pairs @ one
     out, into = one.T @ right, one.T @ left
-    for _ in range(sweeps):
+    moved = True
+    while moved:  # every move raises the likelihood by a least amount, so this ends
         moved = False
         for i in order.tolist():
             if not right[i] and not left[i]:
@@ -213,7 +218,7 @@ def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
             gain += xlog(d + after + before + own) - xlog(d)
             gain -= xlog(out + right[i]) - xlog(out) + xlog(into + left[i]) - xlog(into)
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             joint[b] += after
             joint[:, b] += before
@@ -221,8 +226,6 @@ def exchange(pairs, classes: int = CLASSES, sweeps: int = SWEEPS):
             out[b] += right[i]
             into[b] += left[i]
             of[i], moved = b, moved or b != a
-        if not moved:
-            break
     return of
 
 
@@ -273,19 +276,64 @@ def joint_of(c, lead):
     return np.bincount(c[y - 1] * CLASSES + c[y], minlength=CLASSES * CLASSES)
 
 
-GATHERED = "block int, w binary, counts binary"
+def sparse(cells) -> bytes:
+    """The cells of a block that are not 0: places, then counts."""
+    import numpy as np
+
+    some = np.flatnonzero(cells)
+    return some.astype(np.uint16).tobytes() + cells[some].astype(np.int64).tobytes()
+
+
+def dense(column, size: int):
+    """The sum of sparse blocks."""
+    import numpy as np
+
+    total = np.zeros(size, np.int64)
+    for x in column:
+        raw = x.as_buffer()
+        n = raw.size // 10
+        total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.int64, n, 2 * n)
+    return total
+
+
+BLOCKS = "part int, block int, counts binary"
+
+
+def added(rows: DataFrame, parts: int, size: int) -> DataFrame:
+    """One sparse row for each block, whatever the number of parts: sums of FAN parts, then of FAN such sums."""
+
+    def add(key, table):
+        import pyarrow as pa
+
+        total = dense(table.column("counts"), size)
+        own = [pa.array([key[k].as_py()], pa.int32()) for k in (0, 1)]
+        return pa.table({"part": own[1], "block": own[0], "counts": pa.array([sparse(total)], pa.binary())})
+
+    while True:
+        rows = rows.groupBy("block", F.floor(F.col("part") / FAN).cast("int").alias("fan")).applyInArrow(add, BLOCKS)
+        if parts <= FAN:
+            return rows
+        parts = -(-parts // FAN)
+
+
+JOINT = -1  # the block of the class bigrams
+GATHERED = "part int, block int, w binary, counts binary"
 
 
 def gather_pass(shared):
-    """Counts of neighbouring classes in a partition: block -1 is the class bigrams, -2 a word that is not in the list
-    with the classes after and before each of its places, and from 0 on BLOCK words of the list (cells and counts)."""
+    """Counts of neighbouring classes in a partition: block JOINT is the class bigrams, -2 a word that is not in the list
+    with the classes after and before each of its places, and from 0 on BLOCK words of the list."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
 
         def rows(block, w, counts):
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(w, pa.binary()), pa.array(counts, pa.binary())], ["block", "w", "counts"])
+            cols = [pa.array([part] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(w, pa.binary()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "block", "w", "counts"])
 
         common, bins = shared.value
         wide = 2 * CLASSES
@@ -306,7 +354,7 @@ def gather_pass(shared):
             for word, cell in ((y - 1, c[y]), (y, CLASSES + c[y - 1])):
                 ids = t.ids[word]
                 known = ids >= 0
-                np.add.at(cells, *np.unique(ids[known].astype(np.int64) * wide + cell[known], return_counts=True))
+                np.add.at(cells, ids[known].astype(np.int64) * wide + cell[known], 1)
             if len(t.spots):
                 end = np.r_[t.lead[1:], True]
                 after, before = np.r_[c[1:], NONE], np.r_[NONE, c[:-1]]
@@ -319,32 +367,30 @@ def gather_pass(shared):
             if len(held) > FLUSH:
                 yield handed()
         yield handed()
-        yield rows([-1], [None], [joint.tobytes()])
+        yield rows([JOINT], [None], [sparse(joint)])
         for b in range(n_blocks):
             own = cells[b * BLOCK * wide : (b + 1) * BLOCK * wide]
-            some = np.flatnonzero(own)
-            if len(some):
-                yield rows([b], [None], [some.astype(np.uint16).tobytes() + own[some].tobytes()])
+            if own.any():
+                yield rows([b], [None], [sparse(own)])
 
     return run
 
 
 def move_common(shared):
-    """New classes of a block of the list."""
+    """New classes of blocks of the list."""
 
-    def run(key, table):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
         after, before = shared.value
-        total = np.zeros(BLOCK * 2 * CLASSES)
-        for x in table.column("counts"):
-            raw = x.as_py()
-            n = len(raw) // 6
-            total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw[2 * n :], np.int32)
-        total = total.reshape(BLOCK, 2 * CLASSES)
-        k = (total @ np.vstack([after[:NONE], before[:NONE]])).argmax(1)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([k.astype(np.uint8).tobytes()], pa.binary())})
+        both = np.vstack([after[:NONE], before[:NONE]])
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                total = dense(batch.column(2).slice(k, 1), BLOCK * 2 * CLASSES).reshape(BLOCK, 2 * CLASSES)
+                out.append((total @ both).argmax(1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["block", "k"])
 
     return run
 
@@ -423,30 +469,29 @@ def class_tokens(batch):
 def joint_pass(batches):
     import numpy as np
     import pyarrow as pa
+    from pyspark import TaskContext
 
     total = np.zeros(CLASSES * CLASSES, np.int64)
     for batch in batches:
         c, _, lead = class_tokens(batch)
         total += joint_of(c, lead)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([JOINT], pa.int32()), pa.array([sparse(total)], pa.binary())]
+    yield pa.RecordBatch.from_arrays(cols, ["part", "block", "counts"])
 
 
-def summed(rows: DataFrame):
-    """Class bigrams of all partitions."""
-    import numpy as np
-
-    total = np.zeros(CLASSES * CLASSES, np.int64)
-    for r in rows.select("counts").toLocalIterator():
-        total += np.frombuffer(r["counts"], np.int64)
-    return total.reshape(CLASSES, CLASSES)
+def summed(rows: DataFrame, parts: int):
+    """Class bigrams of all parts."""
+    found = added(rows.select("part", "block", "counts"), parts, CLASSES * CLASSES).select("counts").toArrow()
+    return dense(found.column("counts"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
 
 
-def pair_counts(words, kept=16):
-    """Bigrams of the starting items in a partition of coded texts: rows (block, counts) of ``kept`` matrix rows each."""
+def pair_counts(words):
+    """Bigrams of the starting items in a partition of coded texts: rows (block, counts) of ROWS matrix rows each."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         item = np.array([k if k < CLUSTERED else ending(w) for k, w in enumerate(words.value.words)], np.int64)
         total = np.zeros(ITEMS * ITEMS, np.int64)
@@ -454,83 +499,77 @@ def pair_counts(words, kept=16):
             t = Tokens(batch)
             own = t.filled(item, np.array([ending(w) for w in t.rare], np.int64), np.int64)
             y = np.flatnonzero(~t.lead)
-            np.add.at(total, *np.unique(own[y - 1] * ITEMS + own[y], return_counts=True))
-        blocks = total.reshape(-1, kept * ITEMS)
+            total += np.bincount(own[y - 1] * ITEMS + own[y], minlength=len(total))
+        blocks = total.reshape(-1, ROWS * ITEMS)
         some = [k for k in range(len(blocks)) if blocks[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "counts"])
+        part = [TaskContext.get().partitionId()] * len(some)
+        cols = [pa.array(part, pa.int32()), pa.array(some, pa.int32()), pa.array([sparse(blocks[k]) for k in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["part", "block", "counts"])
 
     return run
 
 
-def add_blocks(key, table):
+def start_classes(coded: DataFrame, parts: int, shared, words: Words):
+    """Classes of the list and of the endings by exchange of the starting items."""
     import numpy as np
-    import pyarrow as pa
 
-    total = None
-    for x in table.column("counts"):
-        own = np.frombuffer(x.as_buffer(), np.int64)
-        total = own.copy() if total is None else total.__iadd__(own)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    got = added(coded.mapInArrow(pair_counts(shared), BLOCKS), parts, ROWS * ITEMS).select("block", "counts").toArrow()
+    pairs = np.zeros((ITEMS // ROWS, ROWS * ITEMS), np.int64)
+    for k, block in enumerate(got["block"].to_pylist()):
+        pairs[block] = dense(got["counts"].slice(k, 1), ROWS * ITEMS)
+    of = exchange(pairs.reshape(ITEMS, ITEMS)).astype(np.uint8)
+    return np.array([of[k if k < CLUSTERED else ending(w)] for k, w in enumerate(words.words)], np.uint8), of[CLUSTERED:]
 
 
-def start_classes(coded: DataFrame, shared, words: Words):
-    """Classes of the list and of the endings by exchange of the starting items."""
+def sweep(learned: DataFrame, parts: int, common, bins):
+    """Every word moves to the class that its neighbours' classes make most likely: the list's classes, the table
+    (w, c, k) of all other words, and the likelihood before."""
     import numpy as np
 
-    got = coded.mapInArrow(pair_counts(shared), "block int, counts binary")
-    got = got.groupBy("block").applyInArrow(add_blocks, "block int, counts binary").toArrow()
-    pairs = np.zeros((ITEMS // 16, 16 * ITEMS), np.int64)
-    for block, x in zip(got["block"].to_pylist(), got["counts"], strict=True):
-        pairs[block] = np.frombuffer(x.as_buffer(), np.int64)
-    of = exchange(pairs.reshape(ITEMS, ITEMS)).astype(np.uint8)
-    return np.array([of[k if k < CLUSTERED else ending(w)] for k, w in enumerate(words.words)], np.uint8), of[CLUSTERED:]
+    share = learned.sparkSession.sparkContext.broadcast
+    got = saved(learned.mapInArrow(gather_pass(share((common, bins))), GATHERED), "gathered")
+    joint = summed(got.where(F.col("block") == JOINT), parts)
+    frozen = share(weights(joint))
+    lists = got.where("block = -2").groupBy("w").agg(F.collect_list("counts").alias("counts"))
+    rare = saved(lists.mapInArrow(move_rare(frozen), "w binary, c long, k int"), "classes")
+    moved = np.zeros(-(-len(common) // BLOCK) * BLOCK, np.uint8)
+    blocks = added(got.where("block >= 0").select("part", "block", "counts"), parts, BLOCK * 2 * CLASSES)
+    for r in blocks.mapInArrow(move_common(frozen), "block int, k binary").collect():
+        moved[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["k"], np.uint8)
+    discard(got)
+    return moved[: len(common)], rare, likelihood(joint)
 
 
 def fit(docs: DataFrame, train) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the table of all counts (w, c), and the placed texts."""
     import numpy as np
 
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select("doc_id", "text", train.alias("train"))
     counts = saved(texts.where("train").select("text").mapInArrow(count_words, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "w").limit(COMMON).toArrow()
     words = Words([bytes(x) for x in top["w"].to_pylist()], top["c"].to_pylist())
-    share = spark.sparkContext.broadcast
     shared = share(words)
     coded = saved(texts.mapInArrow(code_pass(shared), CODED), "coded")
     learned = coded.where("train").select("uid", "ids", "rare")
-    common, bins = start_classes(learned, shared, words)
-    rare, best, kept = None, None, None
-    for _ in range(ROUNDS):
-        got = saved(found(learned, rare).mapInArrow(gather_pass(share((common, bins))), GATHERED), "gathered")
-        joint = summed(got.where("block = -1"))
-        if best is not None and likelihood(joint) <= best:
-            common, rare = kept
-            break
-        best, kept = likelihood(joint), (common, rare)
-        frozen = share(weights(joint))
-        lists = got.where("block = -2").groupBy("w").agg(F.collect_list("counts").alias("counts"))
-        rare = saved(lists.mapInArrow(move_rare(frozen), "w binary, c long, k int"), "classes")
-        moved = np.zeros(-(-len(common) // BLOCK) * BLOCK, np.uint8)
-        for r in got.where("block >= 0").select("block", "counts").groupBy("block").applyInArrow(move_common(frozen), "block int, k binary").collect():
-            moved[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["k"], np.uint8)
-        common = moved[: len(common)]
+    parts = learned.rdd.getNumPartitions()
+    start, bins = start_classes(learned, parts, shared, words)
+    common, rare, before = sweep(learned, parts, start, bins)
 
     def placed(common, rare):
         out = saved(found(coded, rare).mapInArrow(place_pass(share((words, common, bins))), PLACED), "placed")
-        joint = summed(out.where("train").select("classes").mapInArrow(joint_pass, "counts binary"))
+        joint = summed(out.where("train").select("classes").mapInArrow(joint_pass, BLOCKS), out.rdd.getNumPartitions())
         distinct = np.bincount(common, minlength=CLASSES)
         for r in rare.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():
             distinct[r["k"]] += r["n"]
         return Model(words, np.r_[common, bins], joint, distinct, n, v), out, likelihood(joint)
 
-    if rare is None:  # the first sweep was undone: the words outside the list keep their endings' classes
-        rare = by_ending(words, counts, bins)
-    model, out, last = placed(common, rare)
-    if best is not None and last < best:
-        common, rare = kept
-        model, out, _ = placed(common, by_ending(words, counts, bins) if rare is None else rare)
+    model, out, after = placed(common, rare)
+    if after < before:
+        discard(out)
+        model, out, _ = placed(start, by_ending(words, counts, bins))
+    discard(coded)
     return model, counts, out
 
 
