@@ -96,11 +96,19 @@ def test_shingle_join_blocks_and_large_cells(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in shingle_join.groups(d, 3, 90).collect()} == want
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("buckets", [1, 3, 1024])
+def test_suffix_arrays_over_any_alphabet(monkeypatch, buckets):
+    monkeypatch.setattr(suffix_array, "BUCKETS", buckets)
     rng = random.Random(1)
-    for _ in range(400):
-        s = np.array([rng.randrange(rng.randrange(1, 5)) for _ in range(rng.randrange(1, 80))])
-        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    for most in (2, 5, 4000):
+        for _ in range(150):
+            s = np.array([rng.randrange(rng.randrange(1, most)) for _ in range(rng.randrange(1, 120))])
+            assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    s = np.array([k % 37 * 50 + k % 3 for k in range(3000)])
+    assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_permuted_prefixes():
     text = np.frombuffer(b"abcdefghij" * 20, np.uint8)
     sa = suffix_array.suffix_array(text)
     valid = np.arange(200) <= 150
@@ -136,7 +144,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     whole = substring_dedup.all_segments([text])
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
     parts = substring_dedup.all_segments([text])
-    for rows, where, windows, _, _ in (whole, parts):
+    for rows, where, windows, *_ in (whole, parts):
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(where, windows, strict=True)])
         assert at.tolist() == list(range(9000 - 49))
     assert set(whole[3].tolist()) == set(parts[3].tolist())
@@ -168,20 +176,38 @@ def test_pipeline_against_plain_stages(spark, sf):
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in want.items()}
 
 
-def test_suffix_dedup_holds_equal_content_hashes_against_the_anchor(spark, monkeypatch):
-    """Segments whose content hashes agree in the bits that are kept, under different anchors."""
+@pytest.mark.parametrize("agree", ["content", "check"])
+def test_suffix_dedup_needs_both_content_hashes(agree, monkeypatch):
+    """Segments of one anchor that agree in one of their two content hashes are two strings."""
     import pyarrow as pa
 
     def clash(texts, found=substring_dedup.all_segments):
-        rows, where, windows, key, content = found(texts)
-        return rows, where, windows, key, content & ~np.uint64(substring_dedup.LOW)
+        rows, where, windows, key, content, check = found(texts)
+        content, check = (content * np.uint64(0), check) if agree == "content" else (content, check * np.uint64(0))
+        return rows, where, windows, key * np.uint64(0), content, check
 
     rng = random.Random(11)
     texts = ["".join(rng.choice("abcdefghij klm") for _ in range(400)) for _ in range(3)]
     monkeypatch.setattr(substring_dedup, "all_segments", clash)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
-    blobs = [x for b in substring_dedup.lost_pass(1)([batch]) for x in b.column(1).to_pylist()]
-    assert not substring_dedup.judge_bucket(blobs)[2].any()
+    blobs = [x for b in substring_dedup.lost_pass(3)([batch]) for x in b.column(1).to_pylist()]
+    assert len(blobs) == 1 and not substring_dedup.judge_bucket(blobs)[2].any()
+
+
+def test_second_content_hash_depends_on_all_bytes():
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abcdef ") for _ in range(300))
+    _, where, windows, _, content, check = substring_dedup.all_segments([text])
+    again = substring_dedup.all_segments([b"xx" * 40 + text])
+    assert set(zip(content.tolist(), check.tolist(), strict=True)) - set(zip(again[4].tolist(), again[5].tolist(), strict=True)) <= {(int(content[0]), int(check[0]))}
+    assert len(set(check.tolist())) == len(check) == len(set(content.tolist()))
+
+
+def test_partitions_are_read_in_chunks(docs, rows, monkeypatch):
+    """Small chunks, so that marks and texts of a document fall into different ones."""
+    monkeypatch.setattr(substring_dedup, "PIECE", 600)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.report(docs).collect()}
+    assert got == brute.substring_report(rows)
 
 
 def test_quality_cascade_is_short(docs, rows, monkeypatch):
