@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CacheConfig, ConfigError, shard_count, split
 from tidemark.functions import hashing, http
 from tidemark.operators import state
-from tidemark.plans import catalog, registry
+from tidemark.plans import catalog, http_cache, registry
 from tidemark.sources.traces import OPS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -157,3 +157,83 @@ def test_http_rules(spark):
     assert {p: norm.where(http.invalidates(p, F.col("n"))).count() for p in want} == want
     kept = spark.range(1).select(http.kept_headers(F.create_map(F.lit("date"), F.lit("x"), F.lit("X-Cache-Age"), F.lit("1"), F.lit("Via"), F.lit("y"))).alias("h")).first()["h"]
     assert kept == {"Via": "y"}
+
+
+def test_expires_is_read_in_gmt(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            d = spark.createDataFrame([("Mon, 01 Jan 2024 00:01:00 GMT",)], "e string")
+            now = F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")
+            ttl = http.default_policy(F.lit("GET"), F.lit(200), F.lit(""), F.col("e"), F.lit(5), now)
+            assert d.select(ttl.alias("t")).first()["t"] == 60 * 10**9
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize(
+    ("field", "value"),
+    [("max_size", -1), ("shard_count", -1), ("cleanup_interval_ns", -1), ("default_ttl_ns", -2), ("policy", "arc"), ("probation_ratio", 101), ("ghost_ratio", -1), ("max_body", -1)],
+)
+def test_invalid_http_configs(field, value):
+    with pytest.raises(ConfigError) as e:
+        http_cache.HttpConfig(**{field: value}).resolved()
+    assert e.value.field == field
+
+
+def test_http_config_defaults_and_switches():
+    c = http_cache.HttpConfig().resolved()
+    assert (c.max_size, c.shard_count, c.default_ttl_ns, c.methods, c.max_body) == (100_000, 16, 300 * 10**9, ("GET", "HEAD"), 10 << 20)
+    off = http_cache.HttpConfig(no_cleanup=True, no_size_limit=True, no_body_limit=True, methods=(), statuses=(418,), policy="default").resolved()
+    assert (off.cleanup_interval_ns, off.max_size, off.max_body, off.methods, off.statuses, off.policy) == (0, 0, 0, (), (418,), "sieve")
+    assert http_cache.HttpConfig(no_stats=True).cache().stats_enabled is False
+
+
+REQUEST = "seq long, ts long, method string, url string, path string, headers map<string,string>, status int, cache_control string, expires string, body_len long, streamed boolean"
+
+
+def test_http_cache_end_to_end(spark):
+    """Hits, misses, what is stored, ages, hooks, headers, the index after removals, and invalidation."""
+    s = 10**9
+    rows = [
+        (1, 0, "GET", "/a/b?x", "/a/b", {}, 200, "max-age=10", "", 5, False), (2, 5 * s, "GET", "/a/b?x", "/a/b", {}, 200, "", "", 5, False),
+        (3, 11 * s, "GET", "/a/b?x", "/a/b", {}, 200, "max-age=60", "", 5, False), (4, 12 * s, "POST", "/a/b?x", "/a/b", {}, 200, "", "", 5, False),
+        (5, 13 * s, "GET", "/a/c", "/a/c", {}, 200, "", "", 50, False), (6, 14 * s, "GET", "/s", "/s", {}, 200, "", "", 5, True),
+        (7, 15 * s, "GET", "/t", "/t", {}, 418, "", "", 5, False), (8, 16 * s, "GET", "/d", "/d", {}, 101, "", "", 0, False),
+        (9, 17 * s, "GET", "/e", "/e", {}, 200, "no-store", "", 5, False), (10, 20 * s, "GET", "/a/b?x", "/a/b", {}, 200, "", "", 5, False),
+    ]
+    d = spark.createDataFrame(rows, REQUEST)
+    config = http_cache.HttpConfig(max_body=20, statuses=(200, 418), hit_header="X-Hit", miss_header="X-Miss")
+    requests = http_cache.decided(d, config, http_cache.path_key)
+    log = http_cache.log_of(requests, config)
+    out = http_cache.served(requests, log, config)
+    got = {r["seq"]: r for r in out.collect()}
+    assert {k: (r["hit"], r["stored"], r["version"], r["age"]) for k, r in got.items()} == {
+        1: (False, True, None, None), 2: (True, False, 1, 5), 3: (False, True, None, None), 5: (False, False, None, None), 6: (False, False, None, None),
+        7: (False, True, None, None), 8: (False, False, None, None), 9: (False, False, None, None), 10: (True, False, 3, 9),
+    }
+    assert got[10]["cache_headers"] == {"X-Hit": "HIT", "X-Cache-Date": "1970-01-01T00:00:11Z", "X-Cache-Age": "9s"} and got[1]["cache_headers"] == {"X-Miss": "MISS"}
+    assert [r["seq"] for r in http_cache.on_hit(out).orderBy("seq").collect()] == [2, 10]
+    assert {r["seq"]: r["ttl_ns"] for r in http_cache.on_set(out).collect()} == {1: 10 * s, 3: 60 * s, 7: 300 * s}
+    assert http_cache.on_miss(out).count() == 7
+    idx = http_cache.index(requests, log)
+    assert {(r["key"], r["version"], r["norm"]) for r in idx.collect()} == {("GET:/a/b", 3, "a/b"), ("GET:/t", 7, "t")}
+    assert [r["key"] for r in http_cache.invalidated(idx, "/a/*").collect()] == ["GET:/a/b"]
+    small = http_cache.HttpConfig(max_size=1, shard_count=1, policy="fifo", max_body=20, statuses=(200, 418))
+    assert [r["key"] for r in http_cache.index(requests, http_cache.log_of(requests, small)).collect()] == ["GET:/t"]
+
+
+def test_epochs_in_small_blocks(spark, monkeypatch):
+    """Many clears, and blocks of a few operations; nothing is gathered or broadcast by the plan itself."""
+    monkeypatch.setattr(state, "SPAN", 8)
+    rng = random.Random(9)
+    rows = [(k, k // 2, rng.choice("ab"), 1, rng.choice(["get", "set", "clear"]), 0.0, -1, 1) for k in range(400)]
+    ops = spark.createDataFrame(rows, OPS)
+    clears = {c: [r[0] for r in rows if r[4] == "clear" and r[2] == c] for c in "ab"}
+    out = state.with_epoch(ops)
+    assert all(r["epoch"] == sum(x <= r["seq"] for x in clears[r["cache"]]) for r in out.collect())
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    times = {c: [r[1] for r in rows if r[4] == "clear" and r[2] == c] for c in "ab"}
+    by_time = state.with_epoch_by_time(ops, ops.where("op = 'set'"))
+    assert all(r["epoch"] == sum(x < r["ts"] for x in times[r["cache"]]) for r in by_time.collect())

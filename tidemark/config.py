@@ -18,7 +18,7 @@ class CacheError(Exception):
 
     def __init__(self, op: str, key, cause: Exception):
         super().__init__(f"{op} {key!r}: {cause}")
-        self.op, self.key, self.cause = op, key, cause
+        self.op, self.key, self.__cause__ = op, key, cause
 
 
 class ConfigError(ValueError):

@@ -66,5 +66,6 @@ def key_hash(key: Column, kind: str = "bigint") -> Column:
     return avalanche(key) if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
 
 
-def shard(h: Column, shards: int) -> Column:
-    return h.bitwiseAND(F.lit(shards - 1).cast("long")).cast("int")
+def shard(h: Column, shards: int | Column) -> Column:
+    shards = F.lit(shards) if isinstance(shards, int) else shards
+    return h.bitwiseAND((shards - 1).cast("long")).cast("int")

@@ -15,7 +15,6 @@ FORBIDDING = ("no-cache", "no-store", "private")
 MAX_BODY = 10 * 1024 * 1024
 DEFAULT_TTL_NS = 300 * 1_000_000_000
 MAX_SIZE, SHARDS, HIT_HEADER = 100_000, 16, "X-Cache"
-RFC1123 = "EEE, dd MMM yyyy HH:mm:ss"
 
 
 def _header(headers: Column, name: str) -> Column:
@@ -75,16 +74,33 @@ def max_age_seconds(cache_control: Column) -> Column:
     return F.coalesce(F.get(F.filter(numbers, lambda n: n > 0), F.lit(0)), F.lit(0).cast("long"))
 
 
-def default_policy(method: Column, status: Column, cache_control: Column, expires: Column, body_len: Column, now: Column, ttl_ns: int = DEFAULT_TTL_NS) -> Column:
+def expires_at(expires: Column) -> Column:
+    """The time of an Expires header, which is in GMT whatever the session's zone; null if it is unreadable."""
+    found = F.regexp_extract(F.coalesce(expires, F.lit("")), r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) (?:GMT|UTC)$", 1)
+    return F.try_to_timestamp(F.concat(found, F.lit(" +00:00")), F.lit("dd MMM yyyy HH:mm:ss XXX"))
+
+
+def default_policy(
+    method: Column, status: Column, cache_control: Column, expires: Column, body_len: Column, now: Column,
+    ttl_ns: int = DEFAULT_TTL_NS, methods=METHODS, statuses=STATUSES, max_body: int = MAX_BODY,
+) -> Column:
     """TTL in nanoseconds, null where the response isn't cached. max-age=0, a past or an unreadable Expires all fall
-    through to the default TTL; s-maxage is ignored."""
-    allowed = method.isin(*METHODS) & status.isin(*STATUSES) & (body_len <= MAX_BODY) & ~has_directive(cache_control)
+    through to the default TTL; s-maxage is ignored; a body limit of 0 means none."""
+    allowed = method.isin(*methods) & status.isin(*statuses) & ~has_directive(cache_control)
+    if max_body > 0:
+        allowed = allowed & (body_len <= max_body)
     age = max_age_seconds(cache_control)
-    at = F.try_to_timestamp(F.regexp_replace(F.coalesce(expires, F.lit("")), r"^[A-Za-z]{3}, | [A-Z]{3}$", ""), F.lit(RFC1123.split(", ")[1]))
-    left = F.unix_micros(at) - F.unix_micros(now)
+    left = F.unix_micros(expires_at(expires)) - F.unix_micros(now)
     return F.when(allowed, F.when(age > 0, age * 1_000_000_000).when(left > 0, left * 1000).otherwise(F.lit(ttl_ns).cast("long")))
 
 
+def captured(status: Column, body_len: Column, streamed: Column, max_body: int = MAX_BODY) -> Column:
+    """Whether a response's body was captured whole: not flushed or hijacked while it was written, no switch of protocols,
+    no interim response, and within the body limit (0: none)."""
+    fits = (body_len <= max_body) if max_body > 0 else F.lit(True)
+    return ~F.coalesce(streamed, F.lit(False)) & (status >= 200) & fits
+
+
 def _success(status: Column) -> Column:
     return (status >= 200) & (status < 300)
 
@@ -109,10 +125,10 @@ def by_size(status: Column, body_len: Column, low: int, high: int, ttl_ns: int)
     return F.when(_success(status) & body_len.between(low, high), F.lit(ttl_ns).cast("long"))
 
 
-def kept_headers(headers: Column) -> Column:
+def kept_headers(headers: Column, ignored=IGNORED, own=(HIT_HEADER,)) -> Column:
     """Without the ignored and the cache's own headers."""
-    dropped = [h.lower() for h in IGNORED]
-    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*dropped) & ~F.lower(k).startswith("x-cache"))
+    dropped = [h.lower() for h in (*ignored, *own, "X-Cache", "X-Cache-Date", "X-Cache-Age") if h]
+    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*dropped))
 
 
 def segments(path: Column) -> Column:

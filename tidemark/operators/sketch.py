@@ -1,9 +1,12 @@
 """Approximate frequency kept by the admission policy: aging counters in blocks, a two-probe first-touch filter, and
-sets of recently evicted fingerprints. Plain numpy and dict state for use inside one shard's replay."""
+sets of recently evicted fingerprints. Plain numpy and dict state for use inside one shard's replay; the first-touch filter
+also as a table of the bits' first settings, without any order of processing."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 LEAST_COUNTERS, BLOCK, MOST, AGING = 1024, 128, 15, 10
@@ -104,3 +107,17 @@ class Ghosts:
     def clear(self) -> None:
         self.slot.clear()
         self.ring, self.at = [None] * self.n, 0
+
+
+def first_touches(trace: DataFrame, av: Column, bits: int) -> DataFrame:
+    """trace (shard, seq, ...) plus ``known``: whether the filter of its shard had both bits of the avalanched hash ``av``
+    when the row came. A bit is set from its first row on, so a row knows its key if both of its bits were set before."""
+    size = F.lit(power_of_two(max(bits, 64)) - 1).cast("long")
+    rows = trace.withColumns({"_i": av.bitwiseAND(size), "_j": F.shiftrightunsigned(av, 32).bitwiseAND(size)})
+    rows = rows.withColumn("_places", F.array("_i", "_j"))
+    since = rows.select("shard", "seq", F.explode("_places").alias("_bit")).groupBy("shard", "_bit").agg(F.min("seq").alias("_since"))
+    for name in ("_i", "_j"):
+        own = since.select("shard", F.col("_bit").alias(name), F.col("_since").alias(f"{name}_since"))
+        rows = rows.join(own, ["shard", name])
+    known = (F.col("_i_since") < F.col("seq")) & (F.col("_j_since") < F.col("seq"))
+    return rows.withColumn("known", known).drop("_i", "_j", "_places", "_i_since", "_j_since")

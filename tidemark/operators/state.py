@@ -3,8 +3,9 @@
 An entry lives in an *epoch*: the span between clears of its cache. Within (cache, key, epoch) one pass in seq order
 finds, for each operation, the entry that the last set left behind, unless a delete came after it or an earlier read
 saw it expired (reads remove what they see expired; nothing else does, and an expired entry that nobody read is still
-resident). Clears are control records, few by nature: they are gathered as one sorted array a cache and broadcast, so
-that no cache's whole trace passes through one task.
+resident). Epochs are counted in two steps, so that no cache's trace passes through one task and nothing is gathered or
+broadcast: the clears before a block of the trace from sums of the blocks, and those inside it by a running sum. What is
+resident at the end needs no epochs, only the last clear of each cache.
 """
 
 from __future__ import annotations
@@ -24,11 +25,23 @@ def expired(at: Column, now: Column) -> Column:
     return (at > 0) & (now > at)
 
 
+SPAN = 1 << 16  # values of seq in a block
+
+
+def epochs(rows: DataFrame, at: str, block: Column) -> DataFrame:
+    """rows plus ``epoch``: how many of their cache's clears come before, or are at, their ``at``. block grows with ``at``."""
+    rows = rows.withColumn("_block", block)
+    sums = rows.groupBy("cache", "_block").agg(F.count_if(F.col("op") == "clear").alias("_n"))  # one row a block
+    before = Window.partitionBy("cache").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("cache", "_block", F.sum("_n").over(before).alias("_upto"))
+    own = Window.partitionBy("cache", "_block").orderBy(at, F.col("op") != "clear").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.sum(F.when(F.col("op") == "clear", 1).otherwise(0)).over(own)
+    out = rows.withColumn("_inside", inside).join(base, ["cache", "_block"])
+    return out.withColumn("epoch", (F.col("_inside") + F.coalesce("_upto", F.lit(0))).cast("int")).drop("_block", "_inside", "_upto")
+
+
 def with_epoch(ops: DataFrame) -> DataFrame:
-    clears = ops.where("op = 'clear'").groupBy("cache").agg(F.sort_array(F.collect_list("seq")).alias("_clears"))
-    out = ops.join(F.broadcast(clears), "cache", "left")
-    n = F.size(F.filter(F.coalesce("_clears", F.array().cast("array<bigint>")), lambda s: s <= F.col("seq")))
-    return out.withColumn("epoch", n.cast("int")).drop("_clears")
+    return epochs(ops, "seq", F.floor(F.col("seq") / SPAN))
 
 
 def resolved(ops: DataFrame, default_ns: int) -> DataFrame:
@@ -66,9 +79,8 @@ def gets(ops: DataFrame, default_ns: int) -> DataFrame:
 def physical(ops: DataFrame, default_ns: int) -> DataFrame:
     """The entries resident at the end of the trace: cache, key, set_seq, value, deadline, cost. One aggregation a key:
     sums and maxima combine before the shuffle."""
-    rows = with_epoch(ops)
-    last = rows.groupBy("cache").agg(F.max("epoch").alias("_now"))
-    rows = rows.where("op <> 'clear'").join(F.broadcast(last), "cache").where("epoch = _now")
+    cleared = ops.where("op = 'clear'").groupBy("cache").agg(F.max("seq").alias("_cleared"))
+    rows = ops.where("op <> 'clear'").join(cleared, "cache", "left").where("_cleared IS NULL OR seq > _cleared")
     entry = F.struct("seq", "op", "value", deadline(F.col("ts"), F.col("ttl_ns"), default_ns).alias("deadline"), "cost")
     reads = F.struct(F.when(F.col("op") == "get", F.col("seq")).alias("seq"), "ts")
     out = rows.groupBy("cache", "key").agg(
@@ -121,11 +133,13 @@ def callbacks(ops: DataFrame, default_ns: int) -> DataFrame:
 
 
 def with_epoch_by_time(ops: DataFrame, probes: DataFrame) -> DataFrame:
-    """Operations and timed probes with the epoch that their time falls in."""
-    clears = ops.where("op = 'clear'").groupBy("cache").agg(F.sort_array(F.collect_list("ts")).alias("_clears"))
-    both = ops.where("op <> 'clear'").unionByName(probes).join(F.broadcast(clears), "cache", "left")
-    n = F.size(F.filter(F.coalesce("_clears", F.array().cast("array<bigint>")), lambda t: t < F.col("ts")))
-    return both.withColumn("epoch", n.cast("int")).drop("_clears")
+    """Operations and timed probes with the epoch that their time falls in: how many clears have an earlier time. Blocks
+    are equal spans of time, as many as SPAN operations fill on average."""
+    whole = ops.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, width = whole["low"] or 0, max(1, ((whole["high"] or 0) - (whole["low"] or 0) + 1) * SPAN // max(1, whole["n"]))
+    both = ops.unionByName(probes).withColumn("_at", F.col("ts") + F.when(F.col("op") == "clear", 1).otherwise(0))
+    block = F.floor((F.col("_at") - F.lit(low)) / F.lit(width))
+    return epochs(both, "_at", block).where("op <> 'clear'").drop("_at")
 
 
 def stats(ops: DataFrame, default_ns: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import CacheConfig, shard_count, split
 from tidemark.functions import hashing, http
-from tidemark.operators import lru, replay, state
+from tidemark.operators import lru, replay, sketch, state
+from tidemark.plans import http_cache
 from tidemark.sources import traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,22 +210,65 @@ def lru_hit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lru.hit_curve(trace, CAPACITIES)
 
 
-def _replay(spark: SparkSession, sf_dir: str, policy: str, **more) -> DataFrame:
-    config = CacheConfig(policy=policy, shard_count=SHARDS, max_size=more.pop("max_size", 64), **more)
-    return replay.replay(traces.event_accesses(spark, sf_dir), config)
+def chained(expression: str, names: str, table: str, extra: str = "") -> str:
+    """CTEs of the finalizer over an unsigned column: ``names``0 to ``names``2, each with the columns of table and h."""
+    parts, before = [f"{names} AS (SELECT *, {expression} AS h FROM {table})"], names
+    for k, (shift, factor) in enumerate(zip(hashing.SHIFTS, (*hashing.MULTIPLIERS, 1), strict=True)):
+        parts.append(f"{names}{k} AS (SELECT * EXCLUDE h, ((xor(h, h >> {shift}))::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM {before})")
+        before = f"{names}{k}"
+    return ", ".join(parts)
 
 
-@query()
+LIMIT, BUDGET = 64, 200
+ENTRY = "STRUCT(u BIGINT, b BIGINT, k BIGINT, c BIGINT, d BIGINT)[]"  # uses, birth or 0, key, cost, deadline
+FOUND_ENTRY = "list_filter(held, lambda x: x.k = o.k)"
+OTHERS = "list_filter(held, lambda x: x.k <> o.k)"
+
+
+def evicted(limit: int, budget: int, of: str = "held") -> str:
+    """How many entries go from the front before one of cost o.c fits."""
+    fits = [f"len({of}) - j + 1 <= {limit}"] if limit else []
+    fits += [f"coalesce(list_sum(list_transform({of}[j + 1:], lambda x: x.c)), 0) + o.c <= {budget}"] if budget else []
+    return f"list_min(list_filter(range(0, len({of}) + 1), lambda j: {' AND '.join(fits)}))"
+
+
+def read_through_sql(on_hit: str, new: str, limit: int, budget: int = 0) -> str:
+    """A read-through replay, operation by operation: the entries of each shard as a list in the order in which they go."""
+    out = evicted(limit, budget)
+    return f"""WITH RECURSIVE keys AS (SELECT DISTINCT user_id AS k FROM events), {chained("k::UBIGINT", "a", "keys")}, o AS (
+  SELECT (h % {SHARDS})::INTEGER AS shard, k, 1 + event_id % 7 AS c, row_number() OVER (PARTITION BY h % {SHARDS} ORDER BY event_id) AS n
+  FROM events JOIN a2 ON user_id = k
+), sim AS (
+  SELECT DISTINCT shard, 0::BIGINT AS n, []::{ENTRY} AS held, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS evictions FROM o
+  UNION ALL
+  SELECT shard, n, CASE WHEN hit THEN {on_hit} ELSE {new} END, hits + hit::BIGINT, misses + (NOT hit)::BIGINT, evictions + CASE WHEN hit THEN 0 ELSE j END
+  FROM (SELECT s.shard, o.n, held, hits, misses, evictions, len({FOUND_ENTRY}) > 0 AS hit, {out} AS j, o FROM sim s JOIN o ON o.shard = s.shard AND o.n = s.n + 1)
+), fin AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY shard ORDER BY n DESC) = 1)
+SELECT 'all' AS cache, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(evictions)::BIGINT AS evictions, 0::BIGINT AS expirations,
+  sum(len(held))::BIGINT AS size, sum(list_sum(list_transform(held, lambda x: x.c)))::BIGINT AS cost, sum(hits) / sum(hits + misses)::DOUBLE AS hit_ratio FROM fin"""
+
+
+FRESH = "[struct_pack(u := 1::BIGINT, b := o.n, k := o.k, c := o.c, d := 0::BIGINT)]"
+LRU_HIT, LAST = f"list_concat({OTHERS}, {FOUND_ENTRY})", f"list_concat(held[j + 1:], {FRESH})"
+LFU_HIT = "list_sort(list_transform(held, lambda x: struct_pack(u := x.u + (x.k = o.k)::BIGINT, b := x.b, k := x.k, c := x.c, d := x.d)))"
+
+
+def _replay(spark: SparkSession, sf_dir: str, policy: str, detail: bool = False, **more) -> DataFrame:
+    config = CacheConfig(policy=policy, shard_count=SHARDS, max_size=more.pop("max_size", LIMIT), **more)
+    return replay.replay(traces.event_accesses(spark, sf_dir), config, detail)
+
+
+@query(read_through_sql(LRU_HIT, LAST, LIMIT // SHARDS))
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.summary(_replay(spark, sf_dir, "lru"))
 
 
-@query()
+@query(read_through_sql("held", LAST, LIMIT // SHARDS))
 def fifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.summary(_replay(spark, sf_dir, "fifo"))
 
 
-@query()
+@query(read_through_sql(LFU_HIT, f"list_sort({LAST})", LIMIT // SHARDS))
 def lfu_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.summary(_replay(spark, sf_dir, "lfu"))
 
@@ -237,26 +281,65 @@ def sieve_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sieve_cost_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sieve with a cost budget and density admission."""
-    return replay.summary(_replay(spark, sf_dir, "sieve", max_cost=200, cost_admission="density"))
+    return replay.summary(_replay(spark, sf_dir, "sieve", max_cost=BUDGET, cost_admission="density"))
 
 
-@query()
+@query(read_through_sql(LRU_HIT, LAST, 0, BUDGET // SHARDS))
 def weighted_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.summary(_replay(spark, sf_dir, "lru", max_size=0, max_cost=200))
+    return replay.summary(_replay(spark, sf_dir, "lru", max_size=0, max_cost=BUDGET))
+
+
+OPS_SHARDS, OPS_LIMIT, SWEEP_NS = 2, 20, 6 * 3600 * 10**9
+# Every operation of the event trace under LRU with TTL: a shard is swept as of the interval's start that an operation is in.
+OPS_SIM = OPS.replace("WITH ops AS", "WITH RECURSIVE ops AS") + f""", keys AS (SELECT DISTINCT key AS k FROM ops), {chained("k::UBIGINT", "a", "keys")}, dealt AS (
+  SELECT seq, ts, cache, op, key AS k, cost AS c, CASE WHEN ttl_ns = 0 THEN ts + {TTL} WHEN ttl_ns > 0 THEN ts + ttl_ns ELSE 0 END AS d, (h % {OPS_SHARDS})::INTEGER AS shard
+  FROM ops JOIN a2 ON key = k WHERE op <> 'clear'
+  UNION ALL SELECT seq, ts, cache, op, key, cost, 0, unnest(range({OPS_SHARDS}))::INTEGER FROM ops WHERE op = 'clear'
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY cache, shard ORDER BY seq) AS n, coalesce(lag(ts) OVER (PARTITION BY cache, shard ORDER BY seq), 0) // {SWEEP_NS} < ts // {SWEEP_NS} AS sweep,
+    ts // {SWEEP_NS} * {SWEEP_NS} AS tick FROM dealt
+), sim AS (
+  SELECT DISTINCT cache, shard, 0::BIGINT AS n, []::{ENTRY} AS held, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS capacity, 0::BIGINT AS expired, 0::BIGINT AS deleted FROM o
+  UNION ALL
+  SELECT cache, shard, n,
+    CASE WHEN o.op = 'clear' THEN []::{ENTRY} WHEN o.op = 'delete' OR (o.op = 'get' AND dead) THEN {OTHERS} WHEN o.op = 'get' THEN {LRU_HIT}
+      WHEN here THEN list_concat({OTHERS}, {FRESH.replace("0::BIGINT", "o.d")}) ELSE list_concat(held[j + 1:], {FRESH.replace("0::BIGINT", "o.d")}) END,
+    hits + (o.op = 'get' AND here AND NOT dead)::BIGINT, misses + (o.op = 'get' AND (NOT here OR dead))::BIGINT, capacity + CASE WHEN o.op = 'set' AND NOT here THEN j ELSE 0 END,
+    expired + swept + (o.op = 'get' AND dead)::BIGINT, deleted + (o.op = 'delete' AND here)::BIGINT
+  FROM (
+    SELECT *, len({FOUND_ENTRY}) > 0 AS here, len(list_filter(held, lambda x: x.k = o.k AND x.d > 0 AND x.d < o.ts)) > 0 AS dead, {evicted(OPS_LIMIT // OPS_SHARDS, 0)} AS j
+    FROM (SELECT s.cache, s.shard, o.n, CASE WHEN o.sweep THEN list_filter(s.held, lambda x: NOT (x.d > 0 AND x.d < o.tick)) ELSE s.held END AS held,
+            CASE WHEN o.sweep THEN len(list_filter(s.held, lambda x: x.d > 0 AND x.d < o.tick)) ELSE 0 END AS swept, hits, misses, capacity, expired, deleted, o
+          FROM sim s JOIN o ON o.cache = s.cache AND o.shard = s.shard AND o.n = s.n + 1))
+), fin_ops AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY cache, shard ORDER BY n DESC) = 1)
+"""
 
 
-@query()
+def _ops_replay(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    config = CacheConfig(policy=policy, shard_count=OPS_SHARDS, max_size=OPS_LIMIT, default_ttl_ns=TTL, cleanup_interval_ns=SWEEP_NS)
+    return replay.replay(traces.events(spark, sf_dir), config)
+
+
+@query(OPS_SIM + """SELECT cache, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(capacity)::BIGINT AS evictions, sum(expired)::BIGINT AS expirations,
+  sum(len(held))::BIGINT AS size, coalesce(sum(list_sum(list_transform(held, lambda x: x.c))), 0)::BIGINT AS cost,
+  CASE WHEN sum(hits + misses) > 0 THEN sum(hits) / sum(hits + misses)::DOUBLE ELSE 0 END AS hit_ratio FROM fin_ops GROUP BY cache""")
 def ops_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All operations (get, set, delete, clear) with TTL under LRU, by cache."""
-    config = CacheConfig(policy="lru", shard_count=2, max_size=20, default_ttl_ns=TTL)
-    return replay.summary(replay.replay(traces.events(spark, sf_dir), config))
+    """All operations (get, set, delete, clear) with TTL and periodic sweeps under LRU, by cache."""
+    return replay.summary(_ops_replay(spark, sf_dir, "lru"))
+
+
+@query(OPS_SIM + """SELECT cache, reason, sum(n)::BIGINT AS n FROM (SELECT cache, unnest(['capacity', 'expired', 'deleted']) AS reason,
+  unnest([capacity, expired, deleted]) AS n FROM fin_ops) GROUP BY cache, reason HAVING sum(n) > 0""")
+def lru_removals_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OnRemove / OnEvict under LRU: removals counted by reason."""
+    out = replay.removals(_ops_replay(spark, sf_dir, "lru"))
+    return out.groupBy("cache", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def removals_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OnRemove / OnEvict: removals counted by reason."""
-    config = CacheConfig(policy="sieve", shard_count=2, max_size=20, default_ttl_ns=TTL)
-    out = replay.removals(replay.replay(traces.events(spark, sf_dir), config))
+    """OnRemove / OnEvict under the sieve: removals counted by reason."""
+    out = replay.removals(_ops_replay(spark, sf_dir, "sieve"))
     return out.groupBy("cache", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -267,7 +350,7 @@ def policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cycle_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.cycles(traces.event_accesses(spark, sf_dir), CacheConfig(policy="sieve", shard_count=SHARDS, max_size=64))
+    return replay.cycles(traces.event_accesses(spark, sf_dir), CacheConfig(policy="sieve", shard_count=SHARDS, max_size=LIMIT))
 
 
 @query("""SELECT event_id, least((event_id % 16)::HUGEINT * (1 + user_id % 100), 18446744073709551615::HUGEINT)::VARCHAR AS density,
@@ -286,42 +369,100 @@ def cost_admission_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", product(frequency, cost).alias("density"), product(frequency, root).alias("balanced"))
 
 
-@query()
+COUNTERS = 4096
+# Keys, their hashes, the hashes avalanched once more, and of each access whether the first-touch filter knew its key.
+TOUCHED = f"""WITH RECURSIVE keys AS (SELECT DISTINCT user_id AS k FROM events), {chained("k::UBIGINT", "a", "keys")}, named AS (SELECT k, (h % {SHARDS})::INTEGER AS shard, h AS av FROM a2),
+{chained("av", "b", "named")}, t AS (
+  SELECT event_id AS seq, k, shard, h, (h % {COUNTERS})::INTEGER AS i, ((h >> 32) % {COUNTERS})::INTEGER AS j FROM events JOIN b2 ON user_id = k
+), since AS (SELECT shard, p, min(seq) AS s FROM (SELECT shard, seq, unnest([i, j]) AS p FROM t) GROUP BY shard, p),
+touched AS (
+  SELECT t.*, x.s < t.seq AND y.s < t.seq AS known FROM t JOIN since x ON x.shard = t.shard AND x.p = i JOIN since y ON y.shard = t.shard AND y.p = j
+)
+"""
+PLACES = "[" + ", ".join(f"((h % {COUNTERS // sketch.BLOCK}) * {sketch.BLOCK} + (h >> {p}) % {sketch.BLOCK})::INTEGER" for p in sketch.PROBES) + "]"
+
+
+@query(TOUCHED + f""", adds AS (
+  SELECT shard, {PLACES} AS spots, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n FROM touched WHERE known
+), sim AS (
+  SELECT DISTINCT shard, 0::BIGINT AS n, list_transform(range({COUNTERS}), lambda x: 0::UTINYINT) AS cells FROM touched
+  UNION ALL
+  SELECT s.shard, a.n, CASE WHEN list_min([cells[p + 1] FOR p IN spots]) < {sketch.MOST}
+    THEN list_transform(cells, lambda x, i: least({sketch.MOST}, x + len(list_filter(spots, lambda p: p = i - 1)))::UTINYINT) ELSE cells END
+  FROM sim s JOIN adds a ON a.shard = s.shard AND a.n = s.n + 1
+), fin AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY shard ORDER BY n DESC) = 1)
+SELECT DISTINCT shard, k AS key, least({sketch.MOST}, list_min([cells[p + 1] FOR p IN {PLACES}]) + 1)::INTEGER AS estimate FROM touched JOIN fin USING (shard)""")
 def sketch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aging count-min estimates (with the first-touch bit) of every key after the whole trace, by shard."""
-    return _sketched(spark, sf_dir)
+    class Shard:
+        def __init__(self):
+            self.sketch, self.door, self.keys = sketch.Sketch(COUNTERS), sketch.Doorkeeper(COUNTERS), {}
 
+        def see(self, row) -> None:
+            _, key, h = row
+            self.keys[key] = av = hashing.avalanche_int(h)
+            if self.door.add(av):
+                self.sketch.add(av)
+            self.sketch.samples += 1
+            if self.sketch.samples >= self.sketch.reset_at:
+                self.sketch.age()
+                self.door.clear()
 
-@query("SELECT event_id AS seq, user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS first_touch FROM events")
-def doorkeeper_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact form of the doorkeeper's question: whether an access is its key's first."""
-    w = Window.partitionBy("key").orderBy("seq")
-    t = traces.event_accesses(spark, sf_dir).select("seq", "key")
-    return t.select("seq", "key", (F.row_number().over(w) == 1).alias("first_touch"))
+        def estimates(self) -> list[tuple]:
+            return [(key, min(sketch.MOST, self.sketch.estimate(av) + (av in self.door))) for key, av in self.keys.items()]
 
+    rows = replay.sharded(traces.event_accesses(spark, sf_dir), SHARDS).select("cache", "shard", "seq", "key", "hash")
+    out = replay.in_order(rows, "cache string, shard int, key long, estimate int", lambda *_: Shard(), Shard.see, lambda _: [], Shard.estimates)
+    return out.select("shard", "key", "estimate")
 
-def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(key, pdf):
-        import pandas as pd
 
-        from tidemark.operators.sketch import Doorkeeper, Sketch
+@query(TOUCHED + "SELECT seq, k AS key, shard, known FROM touched")
+def doorkeeper_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first-touch filter of an access's shard knew its key."""
+    t = replay.sharded(traces.event_accesses(spark, sf_dir), SHARDS).select("shard", "seq", "key", "hash")
+    return sketch.first_touches(t, hashing.avalanche(F.col("hash")), COUNTERS).select("seq", "key", "shard", "known")
 
-        sketch, door = Sketch(4096), Doorkeeper(4096)
-        pdf = pdf.sort_values("seq")
-        for h in pdf["hash"]:
-            av = hashing.avalanche_int(h)
-            if door.add(av):
-                sketch.add(av)
-            sketch.samples += 1
-            if sketch.samples >= sketch.reset_at:
-                sketch.age()
-                door.clear()
-        own = pdf.drop_duplicates("key")
-        n = [min(15, sketch.estimate(av) + (av in door)) for av in map(hashing.avalanche_int, own["hash"])]
-        return pd.DataFrame({"shard": key[0], "key": own["key"], "estimate": n})
 
-    rows = replay.sharded(traces.event_accesses(spark, sf_dir), SHARDS).select("shard", "seq", "key", "hash")
-    return rows.groupBy("shard").applyInPandas(run, "shard int, key long, estimate int")
+GHOSTS = 8
+
+
+@query(f"""WITH RECURSIVE o AS (
+  SELECT event_id AS seq, user_id AS k, CASE WHEN event_type IN ('purchase', 'signup') THEN 'add' WHEN event_type = 'error' THEN 'remove' ELSE 'ask' END AS op,
+    'c' || (user_id % 3) AS cache, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events
+), sim AS (
+  SELECT DISTINCT cache, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS key, false AS found, list_transform(range({GHOSTS}), lambda x: NULL::BIGINT) AS ring, 0 AS spot FROM o
+  UNION ALL
+  SELECT s.cache, o.n, o.seq, o.k, list_contains(ring, o.k),
+    CASE WHEN o.op = 'remove' THEN list_transform(ring, lambda x: CASE WHEN x = o.k THEN NULL ELSE x END)
+      WHEN o.op = 'add' AND NOT list_contains(ring, o.k) THEN list_transform(ring, lambda x, i: CASE WHEN i = spot + 1 THEN o.k ELSE x END) ELSE ring END,
+    CASE WHEN o.op = 'add' AND NOT list_contains(ring, o.k) THEN (spot + 1) % {GHOSTS} ELSE spot END
+  FROM sim s JOIN o ON o.cache = s.cache AND o.n = s.n + 1
+)
+SELECT cache, seq, key, found, len(list_filter(ring, lambda x: x IS NOT NULL))::BIGINT AS held FROM sim WHERE n > 0""")
+def ghost_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ghost queue of each cache: stores add their key, deletions remove it; whether it was in before, and how many are
+    after."""
+    class Queue:
+        def __init__(self):
+            self.ghosts, self.out = sketch.Ghosts(GHOSTS), []
+
+        def take(self, row) -> None:
+            seq, key, kind = row
+            found = key in self.ghosts
+            if kind in ("purchase", "signup"):
+                self.ghosts.add(key)
+            elif kind == "error":
+                self.ghosts.remove(key)
+            self.out.append((seq, key, found, len(self.ghosts)))
+
+        def drain(self) -> list[tuple]:
+            out, self.out = self.out, []
+            return out
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("cache"), F.lit(0).alias("shard"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), "event_type")
+    out = replay.in_order(rows, "cache string, shard int, seq long, key long, found boolean, held long", lambda *_: Queue(), Queue.take, Queue.drain, lambda _: [])
+    return out.drop("shard")
 
 
 # HTTP: pages are requests; method, headers and statuses are derived from the page id.
@@ -340,8 +481,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CONTROLS = ["", "max-age=300", "public, max-age=600", "no-cache, max-age=300", "max-age=invalid", "No-Store", "private", "max-age=0", "s-maxage=9", "Max-Age = 60"]
-STATUSES = [200, 301, 404, 500, 204]
+CONTROLS, STATUSES = traces.CONTROLS, traces.STATUSES
+EXPIRES = ["", "Mon, 01 Jan 2024 00:02:00 GMT", "Sun, 31 Dec 2023 23:00:00 GMT", "soon"]  # against 2024-01-01 00:00:00 UTC
 REQ = f"""
 WITH req AS (
   SELECT page_id, url, coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, length(html) AS body_len,
@@ -385,7 +526,7 @@ def http_key_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BY_HEADERS = f"""CASE WHEN method IN ('GET', 'HEAD') AND status IN (200, 201, 300, 301, 302, 304, 404, 410)
   AND cache_control NOT IN ('no-cache, max-age=300', 'No-Store', 'private') THEN CASE WHEN {TTLS} > 0 THEN {TTLS} * 1000000000::BIGINT
-  ELSE 300000000000 END END"""
+  WHEN page_id % {len(EXPIRES)} = 1 THEN 120000000000 ELSE 300000000000 END END"""
 BY_TYPE = """CASE WHEN status BETWEEN 200 AND 299 THEN CASE WHEN starts_with(content_type, 'application/json') THEN 600
   WHEN starts_with(content_type, 'text/html') THEN 300 ELSE 60 END END * 1000000000::BIGINT"""
 BY_SIZE = "CASE WHEN status BETWEEN 200 AND 299 AND body_len BETWEEN 500 AND 3000 THEN 60000000000::BIGINT END"
@@ -394,7 +535,8 @@ BY_SIZE = "CASE WHEN status BETWEEN 200 AND 299 AND body_len BETWEEN 500 AND 300
 @query(REQ + f"SELECT page_id, {decision_sql(BY_HEADERS)} FROM req")
 def http_cache_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir)
-    ttl = http.default_policy(F.col("method"), F.col("status"), F.col("cache_control"), F.lit(""), F.col("body_len"), F.lit("2024-01-01").cast("timestamp"))
+    expires = F.get(F.array(*[F.lit(e) for e in EXPIRES]), (F.col("page_id") % len(EXPIRES)).cast("int"))
+    ttl = http.default_policy(F.col("method"), F.col("status"), F.col("cache_control"), expires, F.col("body_len"), F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))
     return r.select("page_id", *decision(ttl))
 
 
@@ -442,17 +584,51 @@ def invalidate_by_func(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.pages(spark, sf_dir).where("body_len > 2000").select("page_id")
 
 
-@query()
+ROUNDS = 4
+# The request log in SQL, with what the default policy makes of each answer. Times are nanoseconds from the epoch on.
+HTTP_LOG = f"""WITH RECURSIVE log AS (
+  SELECT r * 1000000000 + page_id AS seq, r * {traces.ROUND_NS} + page_id * {traces.STEP_NS} AS ts, page_id, length(html) AS body_len,
+    coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, page_id % 11 = 0 AS streamed,
+    CASE WHEN page_id % 10 = 0 THEN 'POST' WHEN page_id % 3 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
+    ({traces.STATUSES})[1 + page_id % {len(traces.STATUSES)}] AS status, ({traces.CONTROLS})[1 + page_id % {len(traces.CONTROLS)}] AS cache_control,
+    ({traces.EXPIRES})[1 + page_id % {len(traces.EXPIRES)}] AS expires
+  FROM pages, (SELECT unnest(range({ROUNDS})) AS r) t
+), o AS (
+  SELECT seq, ts, method || ':' || path AS key, row_number() OVER (PARTITION BY method, path ORDER BY seq) AS n,
+    CASE WHEN NOT streamed AND status IN (200, 201, 300, 301, 302, 304, 404, 410) AND cache_control NOT IN ('no-cache, max-age=300', 'No-Store', 'private')
+      THEN CASE WHEN {TTLS} > 0 THEN {TTLS} * 1000000000::BIGINT WHEN expires LIKE '%GMT' AND ts // 1000 < 600000000 THEN (600000000 - ts // 1000) * 1000
+      ELSE 300000000000 END END AS ttl_ns
+  FROM log WHERE method <> 'POST'
+), sim AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS seq, false AS hit, false AS stored, -1::BIGINT AS until, NULL::BIGINT AS version, NULL::BIGINT AS since, 0::BIGINT AS ts FROM o
+  UNION ALL
+  SELECT key, n, seq, hit, NOT hit AND ttl_ns IS NOT NULL, CASE WHEN hit THEN until WHEN ttl_ns IS NOT NULL THEN ts + ttl_ns ELSE -1 END,
+    CASE WHEN hit THEN version ELSE seq END, CASE WHEN hit THEN since ELSE ts END, ts
+  FROM (SELECT s.key, o.n, o.seq, o.ts <= s.until AS hit, s.until, s.version, s.since, o.ts, o.ttl_ns FROM sim s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+)
+"""
+
+
+def _http(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, http_cache.HttpConfig]:
+    config = http_cache.HttpConfig()
+    log = http_cache.decided(traces.requests(spark, sf_dir, ROUNDS), config, http_cache.path_key)
+    return log, http_cache.log_of(log, config), config
+
+
+@query(HTTP_LOG + """SELECT seq, key, hit, stored, CASE WHEN hit THEN version END AS version, CASE WHEN hit THEN (ts - since) // 1000000000 END AS age FROM sim WHERE n > 0""")
 def http_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrap: cacheable requests become read-through accesses by path, with the policy's TTL, and are replayed."""
-    r = requests(spark, sf_dir)
-    ttl = http.default_policy(F.col("method"), F.col("status"), F.col("cache_control"), F.lit(""), F.col("body_len"), F.lit("2024-01-01").cast("timestamp"))
-    ops = r.withColumn("ttl_ns", ttl).where(F.col("ttl_ns").isNotNull()).select(
-        F.col("page_id").alias("seq"), (F.col("page_id") * 1_000_000_000).alias("ts"), F.lit("http").alias("cache"),
-        F.xxhash64(F.get(http.segments(F.col("path")), F.lit(0)), F.col("page_id") % 50).alias("key"), F.lit("access").alias("op"),
-        F.lit(None).cast("double").alias("value"), "ttl_ns", F.lit(1).cast("long").alias("cost"),
-    )
-    return replay.summary(replay.replay(ops, CacheConfig(policy="sieve", max_size=http.MAX_SIZE, shard_count=http.SHARDS)))
+    """Wrap: every request of a cacheable method is looked up by method and path; a miss runs the handler, and its answer is
+    stored as the policy decides."""
+    return http_cache.served(*_http(spark, sf_dir)).select("seq", "key", "hit", "stored", "version", "age")
+
+
+@query(HTTP_LOG + """SELECT event, count(*) AS n FROM (SELECT unnest(['hit', 'miss', 'set']) AS event, unnest([hit, NOT hit, stored]) AS seen FROM sim WHERE n > 0) WHERE seen GROUP BY event""")
+def http_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OnHit, OnMiss and OnSet: how often each is called."""
+    out = http_cache.served(*_http(spark, sf_dir))
+    calls = {"hit": http_cache.on_hit, "miss": http_cache.on_miss, "set": http_cache.on_set}
+    rows = [hook(out).select(F.lit(name).alias("event")) for name, hook in calls.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Query]:
@@ -461,4 +637,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-

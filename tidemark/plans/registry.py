@@ -44,13 +44,9 @@ class Registry:
 
     def stats(self, ops: DataFrame) -> DataFrame:
         """Statistics of every live cache over its part of a trace."""
-        parts = [replay.summary(replay.replay(ops.where(ops["cache"] == name), config)) for name, config in sorted(self.live.items())]
-        if not parts:
+        if not self.live:
             raise CacheNotRegistered("no live cache")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return replay.summary(replay.replay(ops, dict(self.live), detail=False))
 
 
 default = Registry()

@@ -60,13 +60,33 @@ def event_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_through(e, F.col("event_id"), F.col("user_id"), cost=F.lit(1) + F.col("event_id") % 7)
 
 
-def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem accesses by part: ordered within a part by ship date and the order key, which is all that grouped
-    counts need."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select("l_partkey", "l_orderkey", "l_quantity", "l_shipdate")
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", "url", F.expr("parse_url(url, 'PATH')").alias("path"), F.length("html").cast("long").alias("body_len"))
+
+
+ROUND_NS, STEP_NS = 200 * 10**9, 10**6
+
+
+def requests(spark: SparkSession, sf_dir: str, rounds: int = 4) -> DataFrame:
+    """A request log over the pages: every page is asked for in ``rounds`` rounds that begin 200 seconds apart, one page each
+    millisecond in the order of their ids; method, headers and answers follow from the page id."""
+    k = F.col("page_id")
+    p = pages(spark, sf_dir).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
+    headers = F.create_map(F.lit("Accept"), F.when(k % 2 == 0, "text/html").otherwise(""), F.lit("X-User"), (k % 7).cast("string"))
+
+    def pick(values) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+
+    return p.select(
+        (F.col("round") * 10**9 + k).alias("seq"), (F.col("round") * F.lit(ROUND_NS) + k * F.lit(STEP_NS)).alias("ts"),
+        "page_id", "url", "path", "body_len", headers.alias("headers"), (k % 11 == 0).alias("streamed"),
+        F.when(k % 10 == 0, "POST").when(k % 3 == 0, "HEAD").otherwise("GET").alias("method"),
+        pick(STATUSES).alias("status"), pick(CONTROLS).alias("cache_control"), pick(EXPIRES).alias("expires"), pick(TYPES).alias("content_type"),
+    )
+
+
+STATUSES = [200, 301, 404, 500, 204]
+CONTROLS = ["", "max-age=300", "public, max-age=600", "no-cache, max-age=300", "max-age=invalid", "No-Store", "private", "max-age=0", "s-maxage=9", "Max-Age = 60"]
+EXPIRES = ["", "Thu, 01 Jan 1970 00:10:00 GMT", "soon"]
+TYPES = ["application/json; charset=utf-8", "text/html", "text/plain"]
