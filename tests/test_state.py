@@ -221,7 +221,7 @@ def test_http_cache_end_to_end(spark):
     assert {(r["key"], r["version"], r["norm"]) for r in idx.collect()} == {("GET:/a/b", 3, "a/b"), ("GET:/t", 7, "t")}
     assert [r["key"] for r in http_cache.invalidated(idx, "/a/*").collect()] == ["GET:/a/b"]
     small = http_cache.HttpConfig(max_size=1, shard_count=1, policy="fifo", max_body=20, statuses=(200, 418))
-    assert [r["key"] for r in http_cache.index(requests, http_cache.log_of(requests, small)).collect()] == ["GET:/t"]
+    assert [(r["key"], r["version"]) for r in http_cache.index(requests, http_cache.log_of(requests, small)).collect()] == [("GET:/a/b", 10)]
 
 
 def test_epochs_in_small_blocks(spark, monkeypatch):
