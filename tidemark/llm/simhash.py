@@ -90,48 +90,52 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - distance(a, b) * 2.0 / BITS)
 
 
-def bits_of() -> Column:
-    return F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
-
-
-def block_keys(radius: int) -> list[Column]:
-    """One key for each table: two of radius + 2 blocks of the bits, and which."""
+def blocks(side: str, radius: int) -> list[Column]:
+    """The radius + 2 blocks of the bits of a fingerprint in the columns hi and lo after ``side``."""
     m = radius + 2
     size = -(-BITS // m)
-    blocks = [F.substring(F.col("bits"), 1 + k * size, size) for k in range(m)]
-    return [F.xxhash64(F.lit(t), blocks[i], blocks[j]) for t, (i, j) in enumerate(combinations(range(m), 2))]
+    bits = F.concat(F.lpad(F.bin(f"{side}hi"), 64, "0"), F.lpad(F.bin(f"{side}lo"), 64, "0"))
+    return [F.substring(bits, 1 + k * size, size) for k in range(m)]
+
+
+def block_keys(side: str, radius: int) -> Column:
+    """A key for each table: two of the blocks, and which."""
+    own = blocks(side, radius)
+    return F.array(*[F.xxhash64(F.lit(t), own[i], own[j]) for t, (i, j) in enumerate(combinations(range(radius + 2), 2))])
 
 
-def rest_keys(radius: int) -> list[list[Column]]:
-    """For each table radius + 1 keys: its key with one block of the bits outside it."""
+def rest_keys(side: str, radius: int) -> Column:
+    """For each table radius + 1 keys: equal parts of the bits outside its two blocks."""
     m = radius + 2
-    size = -(-BITS // m)
-    blocks = [F.substring(F.col("bits"), 1 + k * size, size) for k in range(m)]
+    own, size = blocks(side, radius), -(-BITS // m)
+    part = -(-size * (m - 2) // (radius + 1))
     out = []
-    for i, j in combinations(range(m), 2):
-        other = F.concat(*[blocks[k] for k in range(m) if k not in (i, j)])
-        part = -(-size * (m - 2) // (radius + 1))
-        out.append([F.xxhash64(F.lit(k), F.substring(other, 1 + k * part, part)) for k in range(radius + 1)])
-    return out
+    for pair in combinations(range(m), 2):
+        other = F.concat(*[own[k] for k in range(m) if k not in pair])
+        out.append(F.array(*[F.xxhash64(F.lit(k), F.substring(other, 1 + k * part, part)) for k in range(radius + 1)]))
+    return F.array(*out)
 
 
 def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints (a_hi, a_lo) < (b_hi, b_lo) within the radius, and their distance."""
-    keyed = prints.select("hi", "lo").distinct().withColumn("bits", bits_of())
-    keyed = keyed.withColumns({"keys": F.array(*block_keys(radius)), "rest": F.array(*[F.array(*r) for r in rest_keys(radius)])})
-    rows = keyed.select("hi", "lo", "keys", F.posexplode("keys").alias("t", "key"), "rest")
-    rows = rows.select("hi", "lo", "keys", "t", "key", F.get("rest", F.col("t")).alias("rest"))
-    crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).select("t", "key", F.lit(True).alias("crowded"))
-    rows = rows.join(crowded, ["t", "key"], "left")
-    again = F.when(F.col("crowded"), F.col("rest")).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.select("hi", "lo", "keys", "rest", "t", "key", F.posexplode(again).alias("u", "sub"))
-    a, b = (rows.select("t", "key", "u", "sub", *[F.col(c).alias(f"{s}_{c}") for c in ("hi", "lo", "keys", "rest")]) for s in "ab")
+    rows = prints.select("hi", "lo").distinct().select("hi", "lo", F.posexplode(block_keys("", radius)).alias("t", "key"))
+    crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD)
+    crowded = saved(crowded.select("t", "key", F.lit(True).alias("crowded")), "crowded")
+    many = crowded.count()
+    rows = rows.join(F.broadcast(crowded) if many <= HINT_CELLS else crowded, ["t", "key"], "left")
+    again = F.when(F.col("crowded"), F.get(rest_keys("", radius), F.col("t"))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.select("hi", "lo", "t", "key", F.posexplode(again).alias("u", "sub"))
+    a, b = (rows.select("t", "key", "u", "sub", F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo")) for s in "ab")
     met = a.join(b, ["t", "key", "u", "sub"]).where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo"))
-    equal = lambda x, y: x == y
-    first = F.array_position(F.zip_with("a_keys", "b_keys", equal), F.lit(True)) == F.col("t") + 1
-    first = first & ((F.col("sub") == 0) | (F.array_position(F.zip_with("a_rest", "b_rest", equal), F.lit(True)) == F.col("u") + 1))
     d = distance((F.col("a_hi"), F.col("a_lo")), (F.col("b_hi"), F.col("b_lo")))
-    return met.where(first).select("a_hi", "a_lo", "b_hi", "b_lo", d.alias("distance")).where(F.col("distance") <= radius)
+    met = met.withColumn("distance", d).where(F.col("distance") <= radius)
+
+    def met_first(x: Column, y: Column, at: str) -> Column:
+        return F.array_position(F.zip_with(x, y, lambda p, q: p == q), F.lit(True)) == F.col(at) + 1
+
+    rest = [F.get(rest_keys(side, radius), F.col("t")) for side in ("a_", "b_")]
+    first = met_first(block_keys("a_", radius), block_keys("b_", radius), "t") & ((F.col("sub") == 0) | met_first(*rest, "u"))
+    return met.where(first).select("a_hi", "a_lo", "b_hi", "b_lo", "distance")
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -176,8 +180,8 @@ def in_cells(rows: DataFrame) -> DataFrame:
         ids_differ = full.where("lo < hi")
         rows = rows.join(full, "cell", "left")
         if ids_differ.isEmpty():
-            turned = (F.lit(1 << 63).cast("decimal(20,0)") - F.col("h").cast("decimal(20,0)")) * F.ceil(F.col("n") / CELL).cast("decimal(10,0)")
-            more = F.floor(turned / F.lit(1 << 64).cast("decimal(20,0)")).cast("long")
+            turned = (F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("h").cast("decimal(20,0)")) * F.ceil(F.col("n") / CELL).cast("decimal(10,0)")
+            more = F.floor(turned / F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("long")
             return rows.withColumn("cell", F.when(F.col("n").isNotNull(), F.concat("cell", F.array(more))).otherwise(F.col("cell"))).drop("lo", "hi", "n")
         more = F.floor(place(F.col("lo"), F.col("hi"), F.col("n"))).cast("long")
         rows = rows.withColumn("cell", F.when(F.col("lo") < F.col("hi"), F.concat("cell", F.array(more))).otherwise(F.col("cell"))).drop("lo", "hi", "n")
