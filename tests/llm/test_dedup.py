@@ -283,3 +283,14 @@ def test_pipeline_on_odd_tables(spark, docs, sf):
             assert out.columns == table.columns, name
         pieces = corpus_pipeline.STAGES[-1][1](spark, out, sf)
         assert (pieces.count() > 0) == (table is odd)
+
+
+def test_quality_rules_on_repeated_rows_and_null_ids(docs, rows):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    odd = docs.unionByName(docs.limit(7)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    want = Counter((r["doc_id"], *brute.quality(r["text"])) for r in odd.collect())
+    assert Counter(tuple(r) for r in quality_rules.report(odd).collect()) == want
+    assert {name for name, _ in quality_rules.ordered(odd, odd.count())} == {*quality_rules.rules(), quality_rules.BASE}

@@ -342,3 +342,44 @@ def test_simhash_near_docs(docs, rows, spark, monkeypatch, crowd):
     for r in simhash.near_counts(d).collect():
         x = (r["hi"] << 64) | r["lo"]
         assert r["near"] == sum(bin(x ^ y).count("1") <= 3 for y in own) - 1
+
+
+@pytest.mark.parametrize("common", [150_000, 5])
+def test_class_lm_scores_against_plain(docs, spark, common, monkeypatch):
+    """Every score from class counts taken word by word; null and repeated ids, repeated rows, clashing names."""
+    monkeypatch.setattr(class_lm, "COMMON", common)
+    odd = docs.unionByName(docs.limit(9)).unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({c: F.lit("clash") for c in ("uid", "w", "k", "c", "ids", "train", "score")})
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    learns = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+    model, counts, placed = class_lm.fit(odd, class_lm.crc32_mod(F.col("doc_id"), 7) != 2)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append([*(t or "").encode().lower().split(), b"\n"])
+    of, c = {}, Counter()
+    for r in placed.collect():
+        words = next(ws for ws in texts[r["doc_id"]] if len(ws) + 1 == len(r["classes"]))
+        if sum(len(ws) == len(words) for ws in texts[r["doc_id"]]) == 1 or len({tuple(x) for x in texts[r["doc_id"]]}) == 1:
+            for w, k in zip([b"\n", *words], r["classes"], strict=True):
+                assert of.setdefault(w, k) == k
+    c.update(w for i, ws in texts.items() if learns(i) for x in ws for w in x)
+    n, v, size = sum(c.values()), len(c), class_lm.CLASSES
+    joint, kinds = np.zeros((size, size)), np.zeros(size)
+    for i, many in texts.items():
+        for ws in many if learns(i) else []:
+            for a, b in zip([b"\n", *ws], ws, strict=False):
+                joint[of[a], of[b]] += 1
+    for w in c:
+        kinds[of[w]] += 1
+    tokens = joint.sum(0)
+    prior = (tokens + 1) / (n + size)
+    step = (joint + class_lm.BACKOFF * prior) / (joint.sum(1, keepdims=True) + class_lm.BACKOFF)
+    want, got = Counter(), Counter()
+    for i, many in texts.items():
+        for ws in many:
+            score = sum(math.log10(step[of[a], of[b]] * (c[b] + 1) / (tokens[of[b]] + kinds[of[b]] + 1)) for a, b in zip([b"\n", *ws], ws, strict=False))
+            want[i, len(ws), round(score, 6)] += 1
+    for r in class_lm.score(placed, model).collect():
+        assert (r["train_tokens"], r["held_out"]) == (n, not learns(r["doc_id"]))
+        got[r["doc_id"], r["n_tokens"], round(r["score"], 6)] += 1
+    assert got == want and v == counts.count()

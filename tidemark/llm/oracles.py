@@ -1,20 +1,21 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 LINE_DEDUP = r"""
-WITH lines AS (
-  SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
-  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos)
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), lines AS (
+  SELECT r, doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
+  FROM docs, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos)
 ), keyed AS (
-  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  SELECT r, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
 ), hot AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
 ), judged AS (
-  SELECT doc_id, pos, line, k IN (SELECT k FROM hot) AS gone FROM keyed
+  SELECT r, doc_id, pos, line, k IN (SELECT k FROM hot) AS gone FROM keyed
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY r, doc_id
 """
 
 QUALITY_RULES = r"""
