@@ -2,9 +2,10 @@
 
 Every language has counts of bytes after contexts of up to ORDER bytes. The code length of a byte is that of its
 longest seen context, with escape probability distinct / (total + distinct) to the next shorter one (method C), down to
-the uniform byte. The statistics are frozen, so the lengths of all bytes are read from two dense tables a language:
-context of three bytes -> longest seen node, and (node, byte) -> bits. A text's code length is the exact sum over all
-its bytes; the language with the shortest code wins and its posterior is the score.
+the uniform byte. The statistics are frozen, so the lengths of all bytes are read from tables of each language: context
+of DENSE bytes -> longest seen node, (node, next older byte) -> the node one longer for each order beyond, and (node,
+byte) -> bits. A text's code length is the exact sum over all its bytes; the language with the shortest code wins and
+its posterior is the score.
 
 Learned from at most SAMPLE_DOCS texts a language, chosen by a hash of id and text, and from the first SAMPLE_TEXT
 bytes of each; scoring takes whole texts, PIECE bytes at a time.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, label_counts, sample_texts, text_bytes
 
-ORDER = 3
+ORDER, DENSE = 4, 3  # bytes of the longest contexts, and of those that have a table of all contexts
 SAMPLE_DOCS = 300  # learning texts a language at most
 SAMPLE_TEXT = 20_000  # bytes that one of them adds at most
 PIECE = 1 << 20  # bytes scored at once
@@ -43,11 +44,7 @@ class Trees:
         self.size = a_size = int(present.sum()) + 1  # the last symbol stands for all bytes that were never seen
         self.symbol = np.full(256, a_size - 1, np.int32)
         self.symbol[present] = np.arange(a_size - 1)
-        self.node, self.bits = [], []
-        for lang in self.langs:
-            node, bits = self._tables(self.symbol[joined[lang]].astype(np.int64))
-            self.node.append(node)
-            self.bits.append(bits)
+        self.tables = [self._tables(self.symbol[joined[lang]].astype(np.int64)) for lang in self.langs]
 
     def _tables(self, s):
         import numpy as np
@@ -75,12 +72,35 @@ class Trees:
             base[order] = (ctx, first)
             first += len(ctx)
             below = (ctx, p)
-        node = np.zeros(n**ORDER, np.int32)
-        for order in range(ORDER + 1):
+        node = np.zeros(n**DENSE, np.int32)
+        for order in range(DENSE + 1):
             ctx, at = base[order]
             view = node.reshape(-1, n**order)  # all longer contexts that end in one of these
             view[:, ctx] = at + np.arange(len(ctx), dtype=np.int32)
-        return node, (-np.log2(np.concatenate(rows))).astype(np.float32).ravel()
+        longer = []
+        for order in range(DENSE + 1, ORDER + 1):
+            ctx, at = base[order]
+            parents, first = base[order - 1]
+            own = np.zeros((max(1, len(parents)), n), np.int32)
+            own[np.searchsorted(parents, ctx % n ** (order - 1)), ctx // n ** (order - 1)] = at + np.arange(len(ctx), dtype=np.int32)
+            longer.append((first, own.ravel()))
+        return node, longer, (-np.log2(np.concatenate(rows))).astype(np.float32).ravel()
+
+    def nodes(self, table, s):
+        """The longest seen context's node before each symbol from the ORDER-th on."""
+        import numpy as np
+
+        node, longer, _ = table
+        n, m = self.size, len(s) - ORDER
+        code = np.zeros(m, np.int64)
+        for k in range(DENSE, 0, -1):
+            code = code * n + s[ORDER - k : ORDER - k + m]
+        at = node[code]
+        for k, (first, more) in enumerate(longer, DENSE + 1):
+            own = at - first  # shorter nodes come before
+            found = more[np.maximum(own, 0) * n + s[ORDER - k : ORDER - k + m]]
+            at = np.where((own >= 0) & (found > 0), found, at)
+        return at
 
     def lengths(self, texts: list[bytes]):
         """Bits of each text under each language."""
@@ -93,9 +113,8 @@ class Trees:
             row = np.array([k for k, _ in group])
             size = np.array([len(part) - ORDER for _, part in group])
             start = np.cumsum(size + ORDER) - size - ORDER
-            ctx = (s[:-3] * n + s[1:-2]) * n + s[2:-1]
-            for j in range(len(self.langs)):
-                bits = self.bits[j][self.node[j][ctx] * n + s[3:]]
+            for j, table in enumerate(self.tables):
+                bits = table[2][self.nodes(table, s).astype(np.int64) * n + s[ORDER:]]
                 total = np.r_[0.0, np.cumsum(bits, dtype=np.float64)]
                 np.add.at(out[:, j], row, total[start + size] - total[start])
         return out
