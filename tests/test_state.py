@@ -237,3 +237,23 @@ def test_epochs_in_small_blocks(spark, monkeypatch):
     times = {c: [r[1] for r in rows if r[4] == "clear" and r[2] == c] for c in "ab"}
     by_time = state.with_epoch_by_time(ops, ops.where("op = 'set'"))
     assert all(r["epoch"] == sum(x < r["ts"] for x in times[r["cache"]]) for r in by_time.collect())
+
+
+def test_registry_stats_in_one_pass(spark, sf):
+    """Every live cache under its own configuration; events are counted where statistics are on."""
+    from tidemark.operators import replay
+    from tidemark.sources import traces
+
+    r = registry.Registry()
+    with pytest.raises(registry.CacheNotRegistered):
+        r.stats(traces.events(spark, sf))
+    configs = {"c0": CacheConfig(policy="lru", shard_count=2, max_size=6, stats_enabled=True), "c1": CacheConfig(policy="lfu", shard_count=1, max_size=5)}
+    for name, c in configs.items():
+        r.get_with(name, c)
+    r.register("c2", CacheConfig(max_size=9))  # never used, so not live
+    got = {x["cache"]: x.asDict() for x in r.stats(traces.events(spark, sf)).collect()}
+    assert set(got) == {"c0", "c1"}
+    ops = traces.events(spark, sf)
+    assert got["c0"] == replay.summary(replay.replay(ops.where("cache = 'c0'"), configs["c0"])).first().asDict()
+    assert [got["c1"][k] for k in ("hits", "misses", "evictions", "expirations", "hit_ratio")] == [0, 0, 0, 0, 0.0]
+    assert got["c1"]["size"] == replay.summary(replay.replay(ops.where("cache = 'c1'"), configs["c1"])).first()["size"]

@@ -195,6 +195,18 @@ def summary(log: DataFrame) -> DataFrame:
     return out.withColumn("hit_ratio", F.when(looked > 0, F.col("hits") / looked).otherwise(F.lit(0.0)))
 
 
+def stats(log: DataFrame, config: Configs) -> DataFrame:
+    """The summary as a cache reports it: events are counted only where its configuration asks for statistics; size and
+    cost always are."""
+    out = summary(log)
+    if not isinstance(config, dict):
+        on = F.lit(config.stats_enabled)
+    else:
+        on = F.col("cache").isin(*[name for name, c in config.items() if c.stats_enabled])
+    events = ("hits", "misses", "evictions", "expirations", "hit_ratio")
+    return out.withColumns({c: F.when(on, F.col(c)).otherwise(F.lit(0).cast(out.schema[c].dataType)) for c in events})
+
+
 def removals(log: DataFrame) -> DataFrame:
     return log.where(F.col("event").isin(*REMOVED)).select("seq", "cache", "key", F.col("event").alias("reason"))
 

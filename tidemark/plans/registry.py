@@ -43,10 +43,10 @@ class Registry:
         self.live.clear()
 
     def stats(self, ops: DataFrame) -> DataFrame:
-        """Statistics of every live cache over its part of a trace."""
+        """Statistics of every live cache over its part of a trace, in one pass."""
         if not self.live:
             raise CacheNotRegistered("no live cache")
-        return replay.summary(replay.replay(ops, dict(self.live), detail=False))
+        return replay.stats(replay.replay(ops, dict(self.live), detail=False), self.live)
 
 
 default = Registry()
