@@ -9,7 +9,9 @@
 3. The distinct strings of all other anchors are sent on, and the shards that they form get suffix arrays by induced
    sorting and permuted common prefixes. Neighbours in the array that agree in SIZE bytes are equal windows; the
    smallest document among them keeps its window, and the others lose theirs.
-4. Segments of a content that a smaller document holds lose all windows. The lost ranges are united for each
+4. An anchor with more than CROWD distinct strings would be a shard of any size. Its strings are cut into windows, which
+   are dealt by their own hash; a window comes once from a chunk of texts, its smallest document first.
+5. Segments of a content that a smaller document holds lose all windows. The lost ranges are united for each
    document and cut from the text as it was read.
 
 Texts are moved twice, compressed; what moves besides is a few bytes for each anchor. A batch sends a content once,
@@ -34,7 +36,8 @@ from .common import saved, text_bytes
 SIZE = 50
 ANCHOR = 22
 PIECE = 1 << 20  # bytes of text read at once
-SHARD = 1 << 20  # bytes of strings that share a suffix array (one anchor's strings always do)
+SHARD = 1 << 20  # bytes of strings that share a suffix array (an anchor's strings always do)
+CROWD = 4096  # distinct strings of an anchor that share a suffix array at most
 SPREAD = 2  # buckets for each shuffle partition
 ODD = 0xD1342543DE82EF95  # multiplier of the second content hash
 
@@ -193,8 +196,11 @@ def _numbers(raw, at: int, n: int, size: int = 8):
     return out.view(np.uint64).ravel()
 
 
-def judge_bucket(blobs: list[bytes]):
-    """(document, content, whole): segments that are lost as a whole, and strings to compare (whole is false)."""
+WHOLE, STRING, WINDOWS = -1, -2, -3  # what is to be done with a segment: it is lost, compared, or compared by windows
+
+
+def judge_bucket(blobs: list[bytes], crowd: int = CROWD):
+    """(document, content, what)."""
     import numpy as np
 
     keys, contents, checks, docs, more_c, more_d = [], [], [], [], [], []
@@ -217,12 +223,14 @@ def judge_bucket(blobs: list[bytes]):
     d, c = doc[new], content[new]
     at = np.flatnonzero(new_key[new])
     low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-    ask = (low != high)[np.cumsum(new_key[new]) - 1]
-    out_d = np.concatenate([doc[lost], d[ask], *more_d])
-    out_c = np.concatenate([content[lost].view(np.int64), c[ask].view(np.int64), *more_c])
-    whole = np.ones(len(out_d), bool)
-    whole[lost.sum() : lost.sum() + ask.sum()] = False
-    return out_d, out_c, whole
+    of = np.cumsum(new_key[new]) - 1
+    ask = (low != high)[of]
+    crowded = (np.diff(np.r_[at, len(d)]) > crowd)[of]
+    out_d = np.concatenate([doc[lost], *more_d, d[ask]])
+    out_c = np.concatenate([content[lost].view(np.int64), *more_c, c[ask].view(np.int64)])
+    what = np.full(len(out_d), WHOLE, np.int32)
+    what[len(out_d) - ask.sum() :] = np.where(crowded, WINDOWS, STRING)[ask]
+    return out_d, out_c, what
 
 
 def grouped(batches, width: int):
@@ -236,12 +244,15 @@ def grouped(batches, width: int):
     return groupby(rows(), key=lambda r: r[:width])
 
 
-def judge_pass(batches):
-    import pyarrow as pa
+def judge_pass(crowd: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for _, own in grouped(batches, 1):
-        d, c, whole = judge_bucket([blob for _, blob in own])
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c), pa.array(whole)], ["doc_id", "content", "whole"])
+        for _, own in grouped(batches, 1):
+            cols = judge_bucket([blob for _, blob in own], crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "content", "what"])
+
+    return run
 
 
 def packed(batches):
@@ -268,8 +279,8 @@ def mark_code(content, text):
     return _mix(content.view(np.uint64) ^ _mix(text.astype(np.uint64) + np.uint64(1)))
 
 
-def partition(batches):
-    """Chunks of about PIECE bytes of a partition's texts, each with the marks of its documents: ids, texts, and for each
+def partition(batches, piece: int = PIECE):
+    """Chunks of about ``piece`` bytes of a partition's texts, each with the marks of its documents: ids, texts, and for each
     mark its text's number, a code of text and content, its first and its last window; sorted by code. A partition holds
     all rows of its documents, in their order, marks first."""
     import numpy as np
@@ -298,7 +309,7 @@ def partition(batches):
             ids.append(i)
             raws.append(unpack(z))
             size += len(raws[-1])
-            if size >= PIECE:
+            if size >= piece:
                 yield chunk()
                 keep = slice(0 if i is None else int(np.searchsorted(marks[0], i)), None)  # more texts of this document may follow
                 marks = [x[keep] for x in marks]
@@ -317,24 +328,39 @@ def coded(raws: list[bytes], marks):
     return text, where, windows, key, content.view(np.int64), mark_code(content, text)
 
 
+STRINGS = "crowded boolean, key long, doc_id long, content long, window int, string binary"
+
+
 def string_pass(batches):
-    """The strings that are asked for: rows (key, doc_id, content, string)."""
+    """The strings that are asked for: with their anchor and window -1, or of crowded anchors each window with its own hash
+    and number. A window that a smaller document of the chunk holds too is lost, and comes without its bytes."""
     import numpy as np
     import pyarrow as pa
+    import xxhash
 
     for ids, raws, marks in partition(batches):
         text, where, windows, key, content, code = coded(raws, marks)
         hit = np.flatnonzero(np.isin(code, marks[1]))
         _, once = np.unique(code[hit], return_index=True)
-        hit = hit[once]
-        if len(hit):
-            spans = zip(text[hit].tolist(), where[hit].tolist(), (where + windows)[hit].tolist(), strict=True)
-            strings = [raws[t][a : b + SIZE - 1] for t, a, b in spans]
-            cols = [
-                pa.array(key[hit].view(np.int64)), pa.array([ids[t] for t in text[hit].tolist()], pa.int64()),
-                pa.array(content[hit]), pa.array(strings, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "content", "string"])
+        hit = np.sort(hit[once])  # in the order of documents
+        by_windows = marks[2][np.searchsorted(marks[1], code[hit])] == WINDOWS
+        rows, holder = [], {}
+        for x, crowded in zip(hit.tolist(), by_windows.tolist(), strict=True):
+            t, a, n = int(text[x]), int(where[x]), int(windows[x])
+            k, i, c = int(key[x].view(np.int64)), ids[t], int(content[x])
+            if not crowded:
+                rows.append((False, k, i, c, -1, raws[t][a : a + n + SIZE - 1]))
+                continue
+            for w in range(n):
+                own = raws[t][a + w : a + w + SIZE]
+                if holder.setdefault(own, i) == i:
+                    rows.append((True, xxhash.xxh3_64_intdigest(own) - (1 << 63), i, c, w, own))
+                else:
+                    rows.append((True, c, i, c, w, None))
+        if rows:
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            cols = [pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in STRINGS.split(", ")])
 
 
 def cuts(raws: list[bytes], marks) -> list:
@@ -360,16 +386,29 @@ def cuts(raws: list[bytes], marks) -> list:
 
 
 def shard_pass(batches):
-    """Lost windows of the strings of one partition, which come sorted by anchor: (doc_id, content, first, last)."""
+    """Lost windows of the strings of one partition, which come sorted by anchor, and of single windows, which come sorted
+    by hash and document: (doc_id, content, first, last)."""
+    from itertools import chain
+
     import pyarrow as pa
 
     def out(found):
         d, c, a, b = found
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "content", "first", "last"])
 
-    shard, size = [], 0
-    for _, own in grouped(batches, 1):
-        own = list(own)
+    shard, size, lost = [], 0, []
+    for (crowded, _), rows in grouped(batches, 2):
+        if crowded:
+            holder: dict[bytes, int] = {}
+            for _, _, doc, content, window, string in rows:
+                if string is None or holder.setdefault(string, doc) < doc:
+                    lost.append((doc, content, window, window))
+                if len(lost) >= 10_000:
+                    yield out(zip(*lost, strict=True))
+                    lost = []
+            continue
+        head = next(rows)
+        own = [(k, d, c, s) for _, k, d, c, _, s in chain([head], rows)]
         if size and size + sum(len(r[3]) for r in own) > SHARD:
             yield out(shard_lost(shard))
             shard, size = [], 0
@@ -377,6 +416,8 @@ def shard_pass(batches):
         size += sum(len(r[3]) for r in own)
     if shard:
         yield out(shard_lost(shard))
+    if lost:
+        yield out(zip(*lost, strict=True))
 
 
 def shard_lost(rows):
@@ -422,19 +463,19 @@ def _dealt(texts: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     return both.sortWithinPartitions("doc_id", F.col("z").isNotNull())
 
 
-def lost_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, content, first, last: which windows of which segments are lost (first is -1: all)."""
+def lost_windows(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, content, first, last: which windows of which segments are lost (first is WHOLE: all)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("doc_id", "text").mapInArrow(lost_pass(parts * SPREAD), "bucket int, blob binary")
     found = found.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    judged = saved(found.mapInArrow(judge_pass, "doc_id long, content long, whole boolean"), "judged")
-    marks = judged.select("doc_id", "content", F.lit(-1).alias("first"), F.lit(-1).alias("last"), "whole")
+    judged = saved(found.mapInArrow(judge_pass(crowd), "doc_id long, content long, what int"), "judged")
+    marks = judged.select("doc_id", "content", F.col("what").alias("first"), F.col("what").alias("last"))
     texts = docs.select("doc_id", "text").mapInArrow(packed, "doc_id long, z binary")
-    strings = _dealt(texts, marks.where("NOT whole"), parts).mapInArrow(string_pass, "key long, doc_id long, content long, string binary")
-    strings = strings.repartition(parts, "key").sortWithinPartitions("key")
+    strings = _dealt(texts, marks.where(F.col("first") != WHOLE), parts).mapInArrow(string_pass, STRINGS)
+    strings = strings.repartition(parts, "crowded", "key").sortWithinPartitions("crowded", "key", "doc_id")
     some = strings.mapInArrow(shard_pass, "doc_id long, content long, first int, last int")
-    return marks.where("whole").drop("whole").unionByName(some)
+    return marks.where(F.col("first") == WHOLE).unionByName(some)
 
 
 def report_pass(batches):
@@ -453,11 +494,11 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 REPORT_NAMES = [x.split()[0] for x in REPORT.split(", ")]
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.mapInArrow(packed, "doc_id long, z binary")
-    return _dealt(texts, lost_windows(docs), parts).mapInArrow(report_pass, REPORT)
+    return _dealt(texts, lost_windows(docs, crowd), parts).mapInArrow(report_pass, REPORT)
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
