@@ -191,7 +191,8 @@ def test_suffix_dedup_needs_both_content_hashes(agree, monkeypatch):
     monkeypatch.setattr(substring_dedup, "all_segments", clash)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
     blobs = [x for b in substring_dedup.lost_pass(3)([batch]) for x in b.column(1).to_pylist()]
-    assert len(blobs) == 1 and not substring_dedup.judge_bucket(blobs)[2].any()
+    assert len(blobs) == 1 and (substring_dedup.judge_bucket(blobs)[2] == substring_dedup.STRING).all()
+    assert (substring_dedup.judge_bucket(blobs, 3)[2] == substring_dedup.WINDOWS).all()
 
 
 def test_second_content_hash_depends_on_all_bytes():
@@ -203,13 +204,43 @@ def test_second_content_hash_depends_on_all_bytes():
     assert len(set(check.tolist())) == len(check) == len(set(content.tolist()))
 
 
-def test_partitions_are_read_in_chunks(docs, rows, monkeypatch):
-    """Small chunks, so that marks and texts of a document fall into different ones."""
-    monkeypatch.setattr(substring_dedup, "PIECE", 600)
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.report(docs).collect()}
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_substring_dedup_of_crowded_anchors(docs, rows, crowd):
+    """All strings, or those of anchors with more than two, are compared window by window."""
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.report(docs, crowd).collect()}
     assert got == brute.substring_report(rows)
 
 
+def test_partitions_are_read_in_chunks():
+    """Marks and texts of a document fall into different batches and chunks, and each text has all of its own."""
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(3)
+    z = zstandard.ZstdCompressor().compress
+    table, want = [(None, z(b"no id"), None, None, None)], [(None, [])]
+    for doc in range(1, 40):
+        own = sorted(rng.sample(range(10**6), rng.randrange(5)))
+        table += [(doc, None, c, -1, -1) for c in own]
+        for _ in range(rng.randrange(3)):
+            table.append((doc, z(b"x" * rng.randrange(300)), None, None, None))
+            want.append((doc, own))
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["doc_id", "z", "content", "first", "last"]
+    for rows_at_once in (1, 7, 1000):
+        parts = [table[k : k + rows_at_once] for k in range(0, len(table), rows_at_once)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*p, strict=True), kinds, strict=True)], names) for p in parts]
+        got = []
+        for ids, raws, marks in substring_dedup.partition(iter(batches), 500):
+            assert len(ids) == len(raws)
+            for t, i in enumerate(ids):
+                codes = sorted(marks[1][marks[0] == t].tolist())
+                own = next(w for d, w in want if d == i)
+                assert codes == sorted(substring_dedup.mark_code(np.array(own, np.int64), np.full(len(own), t)).tolist())
+                got.append((i, own))
+        assert got == want
+
+
 def test_quality_cascade_is_short(docs, rows, monkeypatch):
     """The base rule is ordered among the others, and no windows are looked at in what cheaper rules reject."""
     names = [name for name, _ in quality_rules.ordered(docs, docs.count())]
