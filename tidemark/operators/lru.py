@@ -4,7 +4,8 @@ since the last access to its key. One pass gives the hit ratio at every capacity
 Let an access have position t among its shard's, and its key's last access position p. The distinct keys between are the
 accesses before t whose own last access is at p or earlier, without the p accesses up to p. These pairs (position, last
 position) are counted in squares: whole squares by sums over a matrix of blocks, and the two strips that an access's own
-blocks leave, of SPAN positions each, by merging counts inside them. So no task holds a shard's trace, however long.
+blocks leave, of SPAN positions each, by merging counts inside them. So no task holds a shard's trace, however long; where
+no shard has more than SPAN accesses, its one block is all there is to count.
 """
 
 from __future__ import annotations
@@ -66,10 +67,27 @@ def strip(rows: DataFrame, by: str, place: str, name: str) -> DataFrame:
     return rows.select("cache", "shard", by, "t", "p", *({place} - {"t"})).groupBy("cache", "shard", by).applyInPandas(run, f"cache string, shard int, t long, {name} long")
 
 
+def in_one_block(trace: DataFrame) -> DataFrame:
+    """Distances where every shard is one block."""
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        t = np.arange(1, len(pdf) + 1)
+        p = pdf.assign(t=t).groupby("key")["t"].shift(fill_value=0).to_numpy()
+        return pdf.assign(distance=np.where(p > 0, smaller_before(t, p, p) - p, -1))
+
+    return trace.select("cache", "shard", "seq", "key").groupBy("cache", "shard").applyInPandas(run, "cache string, shard int, seq long, key long, distance long")
+
+
 def stack_distance(trace: DataFrame, span: int = SPAN) -> DataFrame:
     """trace: cache, shard, seq, key -> cache, shard, seq, key, distance (-1 on a first access)."""
+    longest = trace.groupBy("cache", "shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (longest or 0) <= span:
+        return in_one_block(trace)
     block = lambda c: F.when(F.col(c) > 0, F.floor((F.col(c) - 1) / span)).otherwise(F.lit(-1)).cast("long")
-    rows = positions(trace, span).withColumns({"tb": block("t"), "pb": block("p")})
+    rows = positions(trace, span).withColumns({"tb": block("t"), "pb": block("p")}).persist()  # read by five branches
     # All first accesses lie below every block of last positions, so they are in the matrix and in the blocks of t alone.
     by_t = strip(rows, "tb", "t", "same_t")
     by_p = strip(rows.where("pb >= 0"), "pb", "tb", "same_p")

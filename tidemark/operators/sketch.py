@@ -110,14 +110,15 @@ class Ghosts:
 
 
 def first_touches(trace: DataFrame, av: Column, bits: int) -> DataFrame:
-    """trace (shard, seq, ...) plus ``known``: whether the filter of its shard had both bits of the avalanched hash ``av``
-    when the row came. A bit is set from its first row on, so a row knows its key if both of its bits were set before."""
+    """trace (shard, seq, key, ...) plus ``known``: whether the filter of its shard had both bits of the key when the row
+    came. av: the avalanched hash, the same for all rows of a key. A bit is set from the first row of any of its keys on,
+    so a row knows its key if both of its bits were set before; that is found out once for each key."""
     size = F.lit(power_of_two(max(bits, 64)) - 1).cast("long")
-    rows = trace.withColumns({"_i": av.bitwiseAND(size), "_j": F.shiftrightunsigned(av, 32).bitwiseAND(size)})
-    rows = rows.withColumn("_places", F.array("_i", "_j"))
-    since = rows.select("shard", "seq", F.explode("_places").alias("_bit")).groupBy("shard", "_bit").agg(F.min("seq").alias("_since"))
+    keys = trace.groupBy("shard", "key").agg(F.min("seq").alias("_first"), F.first("hash").alias("hash"))
+    keys = keys.withColumn("_av", av).withColumns({"_i": F.col("_av").bitwiseAND(size), "_j": F.shiftrightunsigned("_av", 32).bitwiseAND(size)})
+    since = keys.select("shard", "_first", F.explode(F.array("_i", "_j")).alias("_bit")).groupBy("shard", "_bit").agg(F.min("_first").alias("_since"))
     for name in ("_i", "_j"):
         own = since.select("shard", F.col("_bit").alias(name), F.col("_since").alias(f"{name}_since"))
-        rows = rows.join(own, ["shard", name])
-    known = (F.col("_i_since") < F.col("seq")) & (F.col("_j_since") < F.col("seq"))
-    return rows.withColumn("known", known).drop("_i", "_j", "_places", "_i_since", "_j_since")
+        keys = keys.join(own, ["shard", name])
+    keys = keys.select("shard", "key", F.greatest("_i_since", "_j_since").alias("_from"))
+    return trace.join(keys, ["shard", "key"]).withColumn("known", F.col("_from") < F.col("seq")).drop("_from")
