@@ -8,8 +8,8 @@ one row, so the sums are complete before anything is shuffled.
 ``near_pairs`` finds all pairs of distinct fingerprints within a Hamming radius r: the bits are cut into r + 2 blocks,
 of which a pair within the radius shares at least two; for each choice of two blocks there is one table keyed by them
 (the fingerprint permuted to have them in front), and a pair is verified in the first table it meets in. A key that more
-than CROWD distinct fingerprints share is crowded: its members are dealt anew by each of r + 1 blocks of their other
-bits, one of which a pair within the radius shares as well, so no key gathers what merely shares two blocks. Equal
+than CROWD distinct fingerprints share is crowded: its members are dealt anew by each of r + 1 combs of bits, one of which a
+pair within the radius shares as well, so no key gathers what merely shares two blocks. Equal
 fingerprints are one row with a count from the start. The report gives each document the number of documents within
 the radius.
 
@@ -90,51 +90,57 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - distance(a, b) * 2.0 / BITS)
 
 
-def blocks(side: str, radius: int) -> list[Column]:
-    """The radius + 2 blocks of the bits of a fingerprint in the columns hi and lo after ``side``."""
-    m = radius + 2
-    size = -(-BITS // m)
-    bits = F.concat(F.lpad(F.bin(f"{side}hi"), 64, "0"), F.lpad(F.bin(f"{side}lo"), 64, "0"))
-    return [F.substring(bits, 1 + k * size, size) for k in range(m)]
+def block(hi: Column, lo: Column, k: int, radius: int) -> Column:
+    """The k-th of radius + 2 blocks of the bits, from the highest on, as a number."""
+    size = -(-BITS // (radius + 2))
+    high, low = BITS - k * size, max(0, BITS - (k + 1) * size)  # bits from low up to high, counted from the lowest
+    mask = F.lit((1 << (high - low)) - 1).cast("long")
+    if low >= 64:
+        return F.shiftrightunsigned(hi, low - 64).bitwiseAND(mask)
+    own = F.shiftrightunsigned(lo, low)
+    return (own if high <= 64 else own.bitwiseOR(F.shiftleft(hi, 64 - low))).bitwiseAND(mask)
 
 
-def block_keys(side: str, radius: int) -> Column:
+def block_keys(radius: int) -> Column:
     """A key for each table: two of the blocks, and which."""
-    own = blocks(side, radius)
+    own = [block(F.col("hi"), F.col("lo"), k, radius) for k in range(radius + 2)]
     return F.array(*[F.xxhash64(F.lit(t), own[i], own[j]) for t, (i, j) in enumerate(combinations(range(radius + 2), 2))])
 
 
-def rest_keys(side: str, radius: int) -> Column:
-    """For each table radius + 1 keys: equal parts of the bits outside its two blocks."""
-    m = radius + 2
-    own, size = blocks(side, radius), -(-BITS // m)
-    part = -(-size * (m - 2) // (radius + 1))
-    out = []
-    for pair in combinations(range(m), 2):
-        other = F.concat(*[own[k] for k in range(m) if k not in pair])
-        out.append(F.array(*[F.xxhash64(F.lit(k), F.substring(other, 1 + k * part, part)) for k in range(radius + 1)]))
-    return F.array(*out)
+def comb(u: int, radius: int) -> Column:
+    """Every (radius + 1)-th bit of a long from the u-th on."""
+    mask = sum(1 << j for j in range(u, 64, radius + 1))
+    return F.lit(mask - (1 << 64 if mask >> 63 else 0)).cast("long")
 
 
 def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints (a_hi, a_lo) < (b_hi, b_lo) within the radius, and their distance."""
-    rows = prints.select("hi", "lo").distinct().select("hi", "lo", F.posexplode(block_keys("", radius)).alias("t", "key"))
+    hi, lo = F.col("hi"), F.col("lo")
+    rows = prints.select("hi", "lo").distinct().select("hi", "lo", F.posexplode(block_keys(radius)).alias("t", "key"))
     crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD)
     crowded = saved(crowded.select("t", "key", F.lit(True).alias("crowded")), "crowded")
     many = crowded.count()
-    rows = rows.join(F.broadcast(crowded) if many <= HINT_CELLS else crowded, ["t", "key"], "left")
-    again = F.when(F.col("crowded"), F.get(rest_keys("", radius), F.col("t"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.select("hi", "lo", "t", "key", F.posexplode(again).alias("u", "sub"))
-    a, b = (rows.select("t", "key", "u", "sub", F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo")) for s in "ab")
+    if many:
+        rows = rows.join(F.broadcast(crowded) if many <= HINT_CELLS else crowded, ["t", "key"], "left")
+        parts = [F.xxhash64(F.lit(u), hi.bitwiseAND(comb(u, radius)), lo.bitwiseAND(comb(u, radius))) for u in range(radius + 1)]
+        again = F.when(F.col("crowded"), F.array(*parts)).otherwise(F.array(F.lit(0).cast("long")))
+        rows = rows.select("hi", "lo", "t", "key", F.col("crowded").isNotNull().alias("crowded"), F.posexplode(again).alias("u", "sub"))
+    else:
+        rows = rows.select("hi", "lo", "t", "key", F.lit(False).alias("crowded"), F.lit(0).alias("u"), F.lit(0).cast("long").alias("sub"))
+    a = rows.select("t", "key", "u", "sub", "crowded", hi.alias("a_hi"), lo.alias("a_lo"))
+    b = rows.select("t", "key", "u", "sub", hi.alias("b_hi"), lo.alias("b_lo"))
     met = a.join(b, ["t", "key", "u", "sub"]).where(F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo"))
     d = distance((F.col("a_hi"), F.col("a_lo")), (F.col("b_hi"), F.col("b_lo")))
     met = met.withColumn("distance", d).where(F.col("distance") <= radius)
-
-    def met_first(x: Column, y: Column, at: str) -> Column:
-        return F.array_position(F.zip_with(x, y, lambda p, q: p == q), F.lit(True)) == F.col(at) + 1
-
-    rest = [F.get(rest_keys(side, radius), F.col("t")) for side in ("a_", "b_")]
-    first = met_first(block_keys("a_", radius), block_keys("b_", radius), "t") & ((F.col("sub") == 0) | met_first(*rest, "u"))
+    # A pair counts in the first table, and the first part of a crowded key, that it meets in.
+    x, y = F.col("a_hi").bitwiseXOR(F.col("b_hi")), F.col("a_lo").bitwiseXOR(F.col("b_lo"))
+    same = [block(x, y, k, radius) == 0 for k in range(radius + 2)]
+    table, part = F, F
+    for t, (i, j) in enumerate(combinations(range(radius + 2), 2)):
+        table = table.when(same[i] & same[j], t)
+    for u in range(radius + 1):
+        part = part.when((x.bitwiseAND(comb(u, radius)) == 0) & (y.bitwiseAND(comb(u, radius)) == 0), u)
+    first = (table == F.col("t")) & (~F.col("crowded") | (part == F.col("u")))
     return met.where(first).select("a_hi", "a_lo", "b_hi", "b_lo", "distance")
 
 
