@@ -37,6 +37,7 @@ CLASSES = 48
 BLOCK = 64  # words of the list in a row of counts
 ROWS = 16  # items in a row of the starting items' counts
 FAN = 64  # rows of counts that are added up at once
+SLICE = 1 << 21  # bytes of coded texts (four a token) that are looked at once
 NONE = CLASSES  # no neighbour on this side
 BACKOFF = 50.0  # pseudo-counts of the class frequencies in a transition
 COMMON = 150_000  # words whose counts travel with the code; the rest is joined
@@ -110,7 +111,7 @@ def code_pass(words):
         from pyspark import TaskContext
 
         place, uid = words.value.ready().place, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "text", 4 * SLICE)):
             ids, rare = [], []
             for text in text_bytes(batch):
                 own: dict[bytes, int] = {}
@@ -128,6 +129,19 @@ def code_pass(words):
     return run
 
 
+def slices(batch, column: str, size: int = SLICE):
+    """Runs of a batch's rows with about ``size`` bytes of a column, so that what is made of them stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)).astype(np.int64)
+    run = (np.cumsum(n) - n) // size
+    at = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+    for a, b in zip(at, at[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 class Tokens:
     """The tokens of a batch of coded texts, in one row: ids, leading tokens, other words and where they are."""
 
@@ -346,7 +360,7 @@ def gather_pass(shared):
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "ids")):
             t = Tokens(batch)
             c, _ = t.classes(batch, common, bins)
             joint += joint_of(c, t.lead)
@@ -437,7 +451,7 @@ def place_pass(shared):
 
         words, common, bins = shared.value
         logs = np.log10(words.counts + 1.0)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "ids")):
             t = Tokens(batch)
             c, n = t.classes(batch, common, bins)
             plus = t.filled(logs, np.log10(n + 1.0), float)
@@ -472,7 +486,7 @@ def joint_pass(batches):
     from pyspark import TaskContext
 
     total = np.zeros(CLASSES * CLASSES, np.int64)
-    for batch in batches:
+    for batch in (x for b in batches for x in slices(b, "classes", SLICE // 4)):
         c, _, lead = class_tokens(batch)
         total += joint_of(c, lead)
     cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([JOINT], pa.int32()), pa.array([sparse(total)], pa.binary())]
@@ -495,7 +509,7 @@ def pair_counts(words):
 
         item = np.array([k if k < CLUSTERED else ending(w) for k, w in enumerate(words.value.words)], np.int64)
         total = np.zeros(ITEMS * ITEMS, np.int64)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "ids")):
             t = Tokens(batch)
             own = t.filled(item, np.array([ending(w) for w in t.rare], np.int64), np.int64)
             y = np.flatnonzero(~t.lead)
@@ -593,7 +607,7 @@ def score_pass(shared):
         import pyarrow as pa
 
         step, total = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "classes", SLICE // 4)):
             c, start, lead = class_tokens(batch)
             own = np.zeros(len(c))
             y = np.flatnonzero(~lead)
