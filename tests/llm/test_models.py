@@ -45,6 +45,17 @@ def test_class_probabilities_sum_to_one(docs):
     assert np.allclose(total / 10**model.total, 1)
 
 
+def test_slices_are_all_rows_once():
+    import pyarrow as pa
+
+    sizes = [5, 0, 90, 3, 3, 3, 200, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in sizes], pa.binary())], ["ids"])
+    for size in (1, 7, 100, 10**6):
+        parts = [p.column(0).to_pylist() for p in class_lm.slices(batch, "ids", size)]
+        assert [len(x) for p in parts for x in p] == sizes and all(sum(map(len, p[:-1])) <= size for p in parts)
+    assert list(class_lm.slices(batch.slice(0, 0), "ids")) == []
+
+
 def test_exchange_finds_blocks():
     rng = np.random.default_rng(0)
     pairs = np.zeros((40, 40))
