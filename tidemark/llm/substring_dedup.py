@@ -14,9 +14,10 @@
 5. Segments of a content that a smaller document holds lose all windows. The lost ranges are united for each
    document and cut from the text as it was read.
 
-Texts are moved twice, compressed; what moves besides is a few bytes for each anchor. A batch sends a content once,
-from its smallest document. Long texts are read in pieces that overlap, and partitions are read in the order of their
-documents, marks before texts, so memory follows PIECE and the longest text.
+Texts are moved twice, compressed; what moves besides is a few bytes for each anchor. Batches are looked at in slices
+of SLICE bytes of text, and a slice sends a content once, from its smallest document. Long texts are read in pieces that
+overlap, and partitions are read in the order of their documents, marks before texts, so memory follows PIECE, SLICE and
+the longest text.
 
 Defined cases: a null or empty text has no bytes and stays as it is; texts shorter than SIZE lose nothing; rows of equal
 id are one document to each other (nothing is cut between them), and equal rows lose the same bytes; a null id neither
@@ -36,6 +37,7 @@ from .common import saved, text_bytes
 SIZE = 50
 ANCHOR = 22
 PIECE = 1 << 20  # bytes of text read at once
+SLICE = 4 << 20  # bytes of text whose anchors are sent together (a text's always are)
 SHARD = 1 << 20  # bytes of strings that share a suffix array (an anchor's strings always do)
 CROWD = 4096  # distinct strings of an anchor that share a suffix array at most
 SPREAD = 2  # buckets for each shuffle partition
@@ -84,17 +86,21 @@ def segments(group):
     size = np.array([len(p) for _, _, p in group])
     start = np.cumsum(size) - size
     n = len(raw)
-    by = {1: _mix(raw.astype(np.uint64) + np.uint64(0x51ED27))}
+    one = _mix(raw.astype(np.uint64) + np.uint64(0x51ED27))
     # Sums of the bytes' values times powers of an odd number: a difference, divided by the first one, is a hash of any
     # substring.
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(by[1] ^ np.uint64(0x2545F4914F6CDD1D)) * _powers(ODD, n), out=sums[1:])
-    for k in (1, 2, 4, 8, 16):  # hashes of all substrings of 2, 4, ... 32 bytes
-        x = by[k]
+    np.cumsum(_mix(one ^ np.uint64(0x2545F4914F6CDD1D)) * _powers(ODD, n), out=sums[1:])
+    by, x = {}, one
+    for k in (1, 2, 4, 8, 16):  # hashes of all substrings of 2, 4, ... 32 bytes; the two longest are kept
         y = np.zeros(n, np.uint64)
         y[: n - k] = x[: n - k] * np.uint64(0x9E3779B97F4A7C15)
         y[: n - k] = (y[: n - k] ^ (y[: n - k] >> np.uint64(29))) + x[k:]
-        by[2 * k] = y * np.uint64(0xD6E8FEB86659FD93)
+        y *= np.uint64(0xD6E8FEB86659FD93)
+        x = y
+        if k >= 8:
+            by[2 * k] = y
+    del one, x, y
 
     def cover(at, length):
         """Hash of the substrings of a length of 17 to 64 bytes from two or three overlapping ones."""
@@ -157,16 +163,33 @@ def _bytes(x, size: int = 8) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
+def slices(batch, column: int = 1):
+    """Slices of a batch that hold SLICE bytes of text, or one longer text, at most."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0)).astype(np.int64)
+    first, total = 0, 0
+    for at, n in enumerate(size.tolist()):
+        if at > first and total + n > SLICE:
+            yield batch.slice(first, at - first)
+            first, total = at, 0
+        total += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def lost_pass(buckets: int):
-    """Anchors of a batch, a row for each bucket: sorted anchor, content and document, and the documents whose segment
-    another one of the batch already holds. Buckets are equal ranges of the anchors' hashes."""
+    """Anchors of a slice, a row for each bucket: sorted anchor, content and document, and the documents whose segment
+    another one of the slice already holds. Buckets are equal ranges of the anchors' hashes."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0)
             texts = [t if i is not None else b"" for t, i in zip(text_bytes(batch), ids.to_pylist(), strict=True)]
             rows, _, _, key, content, check = all_segments(texts)
