@@ -96,6 +96,28 @@ def test_shingle_join_blocks_and_large_cells(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in shingle_join.groups(d, 3, 90).collect()} == want
 
 
+def test_shingle_join_sends_cells_once_however_many_partitions():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(300)]
+    batch = pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    few, many = (sum(len(x) for out in shingle_join.cell_pass(5, 80, n)(iter([batch])) for x in out.column(out.num_columns - 1).to_pylist()) for n in (8, 640))
+    assert many < 1.2 * few
+
+
+def test_shingle_join_keeps_large_unlike_sets_apart(spark, monkeypatch):
+    rng = random.Random(13)
+    common = [f"c{k}" for k in range(400)]
+    data = [(k, " ".join([f"w{rng.randrange(100_000)}" for _ in range(3600)] + common)) for k in range(40)]
+    data += [(100 + k, t.replace(" c7 ", " other ")) for k, t in data[:5]]
+    found, whole = [], shingle_join.components
+    monkeypatch.setattr(shingle_join, "components", lambda edges: found.append(edges.distinct().count()) or whole(edges))
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: k % 100 for k, _ in data}
+    assert found == [5, 5]  # candidates, links
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 1024])
 def test_suffix_arrays_over_any_alphabet(monkeypatch, buckets):
     monkeypatch.setattr(suffix_array, "BUCKETS", buckets)

@@ -7,10 +7,19 @@ everything below it. Pairs whose bound reaches the overlap that the similarity a
 
 The tree is sharded so that no link is lost and nothing is compared that can't be linked. Two sets of total size s with
 Jaccard t differ in at most s * (1 - t) / (1 + t) tokens. For each band of sizes the tokens are hashed into more groups
-than that; linked sets then agree in a whole group, so each set is sent to a cell for each of its groups' contents.
-Sets that meet in a cell and whose points reach the bound are candidates (cells of many members search a tree of their
-own), the connected parts of that graph are shards, and each shard has one R-tree (a shard larger than SHARD_BYTES is cut into blocks, and each pair of blocks has a tree of its own). Within a shard
-pairs already connected are not verified again: components need no more links than that.
+than that; linked sets then agree in many whole groups, and a group's content is a cell. That takes three passes:
+
+1. Cells alone, eight bytes each, are dealt by their keys; those that no other set has go.
+2. Back at its batch, a set whose remaining cells are fewer than a linked pair shares leaves the band, and likewise a
+   home (an eighth of the band's groups) where the pair's share, dealt over the homes, can't be reached.
+3. What is left is dealt by homes, with the sets' points. Sets that meet in a cell and whose points reach the bound are
+   candidates (cells of many members search a tree of their own).
+
+Points have about eight tokens a coordinate, whatever the size of a set: with fewer coordinates, chance alone gives large
+sets the minima of near ones, and with them the whole corpus becomes one shard. The connected parts of the candidates'
+graph are shards, and each shard has one R-tree (a shard larger than SHARD_BYTES is cut into blocks, and each pair of
+blocks has a tree of its own). Within a shard pairs already connected are not verified again: components need no more
+links than that.
 
 Equal sets are one node from the start; nodes have numbers of their own, so that texts which share an id stay apart.
 
@@ -29,12 +38,12 @@ from pyspark.sql import functions as F
 from .common import saved, text_bytes
 from .components import components
 
-GROUPS = 64  # dimensions of a point
-SPAN = 32  # groups of a band whose cells share a home
+HOMES = 8  # of a band: the cells of a home's groups go together, so a set's point has to go to few places
+SPREAD = 512  # partitions from which on a home is dealt over several
 SMALL = 48  # members up to which a cell's pairs are all held against the bound at once
 FANOUT = 16
 SHARD_BYTES = 16_000_000
-BATCH = 3000  # documents whose cells are dealt together
+BATCH = 3000  # documents whose cells are dealt together; HOMES * 2 * BATCH is below 2**16
 WORDS, PERCENT = 5, 80
 
 
@@ -97,13 +106,13 @@ def bands(percent: int, most: int) -> list[int]:
 
 
 def cells(s, percent: int, edges: list[int]):
-    """Keys of the cells of a set, none where only equal sets can be linked; and the home of each, which SPAN groups of
-    a band share, so that a set's point has to go to few places."""
+    """Of a set's band and the next one: band, keys of the cells, their homes, and how many of these cells a linked set of
+    that band shares at least. A band where only equal sets can be linked has none."""
     import bisect
 
     import numpy as np
 
-    keys, homes = [], []
+    out = []
     k = bisect.bisect_right(edges, len(s)) - 1
     for band in (k, k + 1):
         high = edges[band + 1] - 1
@@ -117,22 +126,51 @@ def cells(s, percent: int, edges: list[int]):
         total = np.add.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
         tag = np.uint64((band + 1) * 1_000_003)
         group = group[start]
-        keys.append(mix(total ^ mix(group + tag)))
-        homes.append(mix(group // np.uint64(SPAN) + tag))
-        if m - len(start) > spare:  # its empty groups count as contents too, or agreement might lie in them alone
+        key = mix(total ^ mix(group + tag))
+        none = m - len(start)
+        need = 1 + spare - none  # 1 + spare groups agree, and no more of them are empty than this set has
+        if none > spare:  # its empty groups count as contents too, or agreement might lie in them alone
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), group)
-            keys.append(mix(mix(empty + tag) + np.uint64(1)))
-            homes.append(mix(empty // np.uint64(SPAN) + tag))
-    return (np.concatenate(keys), np.concatenate(homes)) if keys else (np.zeros(0, np.uint64),) * 2
+            key = np.r_[key, mix(mix(empty + tag) + np.uint64(1))]
+            group, need = np.r_[group, empty], 1
+        out.append((band, key, group * np.uint64(HOMES) // np.uint64(m), need))
+    return out
 
 
-def point(s, groups: int = GROUPS):
+def point(s, groups: int):
     """The counts of a set's tokens by group."""
     import numpy as np
 
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def depth(size: int) -> int:
+    """Of a set's point: 2**depth coordinates, about eight tokens each."""
+    return min(12, max(6, (int(size) // 8).bit_length()))
+
+
+class Points:
+    """Points of different depths. The deeper of two is folded before they are compared."""
+
+    def __init__(self, depths, flat):
+        """flat: all points one after the other."""
+        import numpy as np
+
+        self.depths, self.flat = depths, flat
+        self.start = np.cumsum(1 << depths) - (1 << depths)
+
+    def fold(self, at, to: int):
+        """The points at some places as rows of 2**to coordinates."""
+        import numpy as np
+
+        out = np.empty((len(at), 1 << to), np.uint32)
+        for d in np.unique(self.depths[at]).tolist():
+            own = np.flatnonzero(self.depths[at] == d)
+            whole = self.flat[self.start[at[own]][:, None] + np.arange(1 << d)]
+            out[own] = whole.reshape(len(own), -1, 1 << to).sum(1, dtype=np.uint32)
+        return out
+
+
 def digest(s) -> tuple[int, int]:
     import numpy as np
     import xxhash
@@ -177,15 +215,18 @@ def digest_pass(words: int):
     return run
 
 
-def bound_reached(sizes, points, a, b, percent: int):
+def bound_reached(sizes, points: Points, a, b, percent: int):
     """Whether the summed minima of the pairs' points reach the overlap that a link needs."""
     import numpy as np
 
     out = np.zeros(len(a), bool)
-    for k in range(0, len(a), 100_000):
-        i, j = a[k : k + 100_000], b[k : k + 100_000]
-        bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
-        out[k : k + 100_000] = bound * (100 + percent) >= percent * (sizes[i] + sizes[j])
+    depths = np.minimum(points.depths[a], points.depths[b])
+    for d in np.unique(depths).tolist():
+        some, step = np.flatnonzero(depths == d), max(1, 2_000_000 >> d)
+        for k in range(0, len(some), step):
+            at = some[k : k + step]
+            bound = np.minimum(points.fold(a[at], d), points.fold(b[at], d)).sum(1, dtype=np.int64)
+            out[at] = bound * (100 + percent) >= percent * (sizes[a[at]] + sizes[b[at]])
     return out
 
 
@@ -232,13 +273,14 @@ def cell_links(key, node, sizes, points, percent: int):
         if what in seen or len({find(x) for x in own.tolist()}) == 1:
             continue
         seen.add(what)
-        tree, left = RTree(sizes[own], points[own]), np.ones(len(own), bool)
+        dots = points.fold(own, int(points.depths[own].min()))
+        tree, left = RTree(sizes[own], dots), np.ones(len(own), bool)
         for first in range(len(own)):  # from one to all that it reaches; a search leaves little for the next
             queue = [first] if left[first] else []
             left[first] = False
             while queue and left.any():
                 x = queue.pop()
-                near = tree.search(int(sizes[own[x]]), points[own[x]], percent)
+                near = tree.search(int(sizes[own[x]]), dots[x], percent)
                 near = near[left[near]]
                 left[near] = False
                 for y in near.tolist():
@@ -247,10 +289,23 @@ def cell_links(key, node, sizes, points, percent: int):
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _six(key) -> bytes:
+    """The low six bytes of each key."""
+    return key.view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw, n: int, at: int):
+    import numpy as np
+
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def cell_pass(words: int, percent: int, buckets: int):
-    """A row for each bucket of cells and batch: the batch's cells there with one member each, and the links that the
-    batch has found itself. Packed: six bytes of the key and two of the member's place in a list of members, which come
-    with their sizes and points."""
+    """The cells of each batch, a row for each bucket (equal ranges of the keys): six bytes of the key and two of the
+    member's number, band and home. A last row, the batch's head, is marked and has the members' names, sizes and points,
+    what their bands need, and the number of the batch's other rows."""
 
     def parts(batches):
         for batch in batches:
@@ -260,37 +315,127 @@ def cell_pass(words: int, percent: int, buckets: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        cache, edges, fine = Words(), bands(percent, 1 << 40), max(1, buckets // 64)
+        cache, limits = Words(), bands(percent, 1 << 40)
+        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
         for part in parts(batches):
-            found, size, dots, home = {}, [], [], []
+            found, size, dots, keys, codes = {}, [], [], [], []
+            band, need = np.zeros(2 * part.num_rows, np.int64), np.zeros(2 * part.num_rows, np.int64)
             for texts in some_texts(part):
                 for s in shingles(texts, words, cache):
                     if len(s) and (d := digest(s)[0]) not in found:
-                        found[d], h = cells(s, percent, edges)
-                        home.append(h)
+                        found[d] = node = len(found)
+                        for which, (b, key, home, least) in enumerate(cells(s, percent, limits)):
+                            band[2 * node + which], need[2 * node + which] = b, least
+                            keys.append(key)
+                            codes.append((home + np.uint64(HOMES * (2 * node + which))).astype(np.uint16))
                         size.append(len(s))
-                        dots.append(point(s).astype(np.uint16 if len(s) < 65536 else np.uint32))
-            if not found:
+                        x = point(s, 1 << depth(len(s)))
+                        dots.append(x.astype(np.uint8 if x.max() < 256 else np.uint32))
+            if not keys:
+                continue
+            key, code = np.concatenate(keys), np.concatenate(codes)
+            order = np.argsort(key)
+            key, code = key[order], code[order]
+            cut = np.r_[np.searchsorted(key, edges), len(key)].tolist()
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            blobs = [code[cut[b] : cut[b + 1]].tobytes() + _six(key[cut[b] : cut[b + 1]]) for b in some]
+            name, n = np.fromiter(found, np.int64, len(found)), len(found)
+            dots = np.concatenate(dots)
+            head = np.r_[n, len(some), dots.itemsize, name, size, band[: 2 * n], need[: 2 * n]].astype(np.int64).tobytes()
+            head += dots.tobytes()
+            batch = xxhash.xxh3_64_intdigest(head) - (1 << 63)
+            rows = [[*some, batch % buckets], [batch] * (len(some) + 1), [False] * len(some) + [True], [*blobs, head]]
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)], ["bucket", "batch", "head", "blob"])
+
+    return run
+
+
+def _grouped(batches):
+    """Lists of rows that are equal in their first column; the rows come sorted."""
+    from itertools import groupby
+
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, key=lambda r: r[0])
+
+
+def meet_pass(batches):
+    """The cells that more than one row of a bucket has, a row for each that came in; heads go along."""
+    import numpy as np
+    import pyarrow as pa
+
+    def out(rows):
+        cols = zip(*rows, strict=True)
+        kinds = (pa.int64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], ["batch", "head", "blob"])
+
+    for _, own in _grouped(batches):
+        names, codes, keys = [], [], []
+        for _, batch, head, blob in own:
+            if head:
+                yield out([(batch, True, blob)])
                 continue
-            key, home = np.concatenate(list(found.values())), np.concatenate(home)
-            node = np.repeat(np.arange(len(found)), [len(x) for x in found.values()])
-            name, size, dots = np.fromiter(found, np.int64, len(found)), np.array(size), np.stack(dots).astype(np.uint32)
-            pairs = name[cell_links(key, node, size, dots, percent)]
+            n = len(blob) // 8
+            names.append(batch)
+            codes.append(np.frombuffer(blob, np.uint16, n))
+            keys.append(_from_six(blob, n, 2 * n))
+        if not names:
+            continue
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        again = np.zeros(len(key), bool)
+        again[order] = np.r_[False, same] | np.r_[same, False]
+        del key, order, same
+        at, rows = 0, []
+        for batch, code, key in zip(names, codes, keys, strict=True):
+            some = again[at : at + len(code)]
+            at += len(code)
+            rows.append((batch, False, code[some].tobytes() + _six(key[some])))
+        yield out(rows)
+
+
+def peel_pass(buckets: int):
+    """Of each batch, whose rows come together: the cells of the members, bands and homes that can have a link, a row for
+    each bucket with the members' names, sizes and points."""
+    fine = max(1, buckets // SPREAD)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, rows in _grouped(batches):
+            heads, blobs = [], []
+            for _, is_head, blob in rows:
+                (heads if is_head else blobs).append(blob)
+            n, sent, wide = np.frombuffer(heads[0], np.int64, 3).tolist() if heads else (0, 0, 1)
+            if not heads or len(blobs) != sent * len(heads):  # equal batches have equal names
+                raise RuntimeError("a batch of documents was read in another order when it was read again")
+            name, size, band, need = np.split(np.frombuffer(heads[0], np.int64, 6 * n, 24), [n, 2 * n, 4 * n])
+            depths = np.array([depth(x) for x in size.tolist()], np.int64)
+            points = Points(depths, np.frombuffer(heads[0], np.uint8 if wide == 1 else np.uint32, -1, 24 + 48 * n))
+            code = np.concatenate([np.frombuffer(x, np.uint16, len(x) // 8) for x in blobs]).astype(np.int64)
+            key = np.concatenate([_from_six(x, len(x) // 8, len(x) // 8 * 2) for x in blobs])
+            unit = code // HOMES
+            keep = np.bincount(unit, minlength=2 * n)[unit] >= need[unit]
+            keep &= np.bincount(code, minlength=2 * n * HOMES)[code] >= -(-need[unit] // HOMES)
+            key, code, unit = key[keep], code[keep], unit[keep]
+            if not len(key):
+                continue
+            home = mix((band[unit] * HOMES + code % HOMES).astype(np.uint64))
             bucket = ((home + key % np.uint64(fine)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((node, key, bucket))
-            key, node, bucket = key[order], node[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            order = np.lexsort((key, bucket))
+            key, node, bucket = key[order], unit[order] // 2, bucket[order]
+            some, first = np.unique(bucket, return_index=True)
             out = []
-            for b in range(buckets):
-                k, (members, place) = key[cut[b] : cut[b + 1]], np.unique(node[cut[b] : cut[b + 1]], return_inverse=True)
-                links = pairs if b == 0 else pairs[:0]
-                wide = int(dots[members].max(initial=0) > 65535)
-                head = np.array([len(k), len(members), len(links), wide], np.int64)
-                six = k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                of = dots[members].astype(np.uint32 if wide else np.uint16)
-                out.append(b"".join([head.tobytes(), name[members].tobytes(), links.tobytes(), size[members].astype(np.int64).tobytes(), of.tobytes(), place.astype(np.uint16).tobytes(), six]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                members, place = np.unique(node[a:b], return_inverse=True)
+                dots = np.concatenate([points.flat[points.start[x] : points.start[x] + (1 << depths[x])] for x in members.tolist()])
+                top = np.array([b - a, len(members), wide], np.int64)
+                out.append(b"".join([top.tobytes(), name[members].tobytes(), size[members].tobytes(), place.astype(np.uint16).tobytes(), _six(key[a:b]), dots.tobytes()]))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -299,45 +444,46 @@ def bucket_links(blobs: list[bytes], percent: int):
     """Links in the cells of one bucket."""
     import numpy as np
 
-    keys, nodes, links, names, sizes, dots = [], [], [], [], [], []
+    keys, nodes, names, sizes, dots = [], [], [], [], []
     total = 0
     for x in blobs:
-        n, m, p, wide = np.frombuffer(x, np.int64, 4).tolist()
-        at = 32
-        names.append(np.frombuffer(x, np.int64, m, at))
-        links.append(np.frombuffer(x, np.int64, 2 * p, at + 8 * m).reshape(-1, 2))
-        at += 8 * m + 16 * p
-        sizes.append(np.frombuffer(x, np.int64, m, at))
-        at += 8 * m
-        dots.append(np.frombuffer(x, np.uint32 if wide else np.uint16, GROUPS * m, at).reshape(-1, GROUPS))
-        at += GROUPS * m * (4 if wide else 2)
+        n, m, wide = np.frombuffer(x, np.int64, 3).tolist()
+        names.append(np.frombuffer(x, np.int64, m, 24))
+        sizes.append(np.frombuffer(x, np.int64, m, 24 + 8 * m))
+        at = 24 + 16 * m
         nodes.append(np.frombuffer(x, np.uint16, n, at).astype(np.int64) + total)
-        six = np.zeros((n, 8), np.uint8)
-        six[:, :6] = np.frombuffer(x, np.uint8, 6 * n, at + 2 * n).reshape(-1, 6)
-        keys.append(six.view(np.uint64).ravel())
+        keys.append(_from_six(x, n, at + 2 * n))
+        dots.append(np.frombuffer(x[at + 8 * n :], np.uint8 if wide == 1 else np.uint32))
         total += m
+    size = np.concatenate(sizes)
     name, first, inverse = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-    size, points = np.concatenate(sizes)[first], np.concatenate(dots)[first]
-    found = cell_links(np.concatenate(keys), inverse[np.concatenate(nodes)], size, points, percent)
-    return np.concatenate([name[found], *links])
+    points = Points(np.array([depth(x) for x in size.tolist()], np.int64), np.concatenate(dots))
+    points.depths, points.start = points.depths[first], points.start[first]
+    found = cell_links(np.concatenate(keys), inverse[np.concatenate(nodes)], size[first], points, percent)
+    return name[found]
 
 
 def link_cells(percent: int):
     """Links of the buckets of one partition, which come sorted by bucket."""
 
     def run(batches):
-        from itertools import groupby
-
         import pyarrow as pa
 
-        rows = ((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for _, own in groupby(rows, key=lambda r: r[0]):
+        for _, own in _grouped(batches):
             pairs = bucket_links([x for _, x in own], percent)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
+def candidates(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """Pairs of names of sets (a, b) that connect all that may be linked."""
+    cells = docs.mapInArrow(cell_pass(words, percent, parts), "bucket int, batch long, head boolean, blob binary")
+    met = cells.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_pass, "batch long, head boolean, blob binary")
+    left = met.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(peel_pass(parts), "bucket int, blob binary")
+    return left.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(link_cells(percent), "a long, b long")
+
+
 class RTree:
     """Packed R-tree over count vectors, sorted by set size and then by the coordinates' halves."""
 
@@ -404,8 +550,7 @@ def shard_links(ids: list[int], sets: list, side: list[int], percent: int) -> li
     import numpy as np
 
     sizes = np.array([len(s) for s in sets], np.int64)
-    # Counts of about eight a group: with fewer groups, chance alone gives large sets the minima of near ones.
-    groups = 1 << min(12, max(6, (int(sizes.mean()) // 8).bit_length()))
+    groups = 1 << depth(sizes.mean())
     points = np.stack([point(s, groups) for s in sets]).astype(np.uint16 if sizes.max() < 65536 else np.uint32)
     tree, across, sides = RTree(sizes, points), len(set(side)) > 1, np.array(side)
     part = np.arange(len(ids))  # the connected part of each
@@ -477,9 +622,7 @@ def rows_of_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"))
     digests = saved(docs.mapInArrow(digest_pass(words), DIGESTS), "digests")
     docs = docs.select("doc_id", "text")
-    found = docs.mapInArrow(cell_pass(words, percent, parts), "bucket int, blob binary")
-    links = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(link_cells(percent), "a long, b long")
-    shards = components(links)
+    shards = components(candidates(docs, words, percent, parts))
     reps = digests.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     reps = saved(reps.withColumn("number", F.monotonically_increasing_id()), "reps")
     chosen = reps.join(shards, reps["d1"] == shards["node"]).select("rep", "number", "d1", "d2", "root", "n")
