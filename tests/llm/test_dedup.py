@@ -130,6 +130,51 @@ def test_suffix_arrays_over_any_alphabet(monkeypatch, buckets):
     assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+@pytest.mark.parametrize("run", [0, 3, 64])
+def test_runs_and_places_give_one_suffix_array(monkeypatch, run):
+    monkeypatch.setattr(suffix_array, "BUCKETS", 3)
+    monkeypatch.setattr(suffix_array, "RUN", run, raising=False)
+    rng = random.Random(6)
+    long = [*np.repeat(range(300), 7).tolist(), *np.repeat(range(300), 5)[::-1].tolist(), *[4, 4, 9] * 40]
+    for s in [long, *([rng.randrange(rng.randrange(1, 5000)) for _ in range(rng.randrange(1, 150))] for _ in range(100))]:
+        assert suffix_array.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_many_symbols_are_not_induced_one_by_one():
+    """Lines of Python that run while a string over many symbols, all of them frequent, is sorted."""
+    import sys
+
+    s, lines = np.random.default_rng(1).integers(0, 3000, 60_000), 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = suffix_array.suffix_array(s)
+    finally:
+        sys.settrace(before)
+    assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i : i + 20].tolist())
+    assert lines < len(s)  # place by place: more than ten lines for each
+
+
+def test_order_of_anchors_and_codes_that_are_found():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        key, content, check = (rng.integers(0, k, n).astype(np.uint64) for k in (150, 3, 2))
+        doc = rng.integers(-9, 9, n)
+        order, first = substring_dedup.firsts(key, content, check * np.uint64(0), doc)
+        rows = list(zip(key.tolist(), content.tolist(), doc.tolist(), strict=True))
+        assert [rows[x] for x in order.tolist()] == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert first.tolist() == [x == 0 or r[:2] != sorted(rows)[x - 1][:2] for x, r in enumerate(sorted(rows))]
+        codes = np.sort(key)
+        hit, low, high = substring_dedup.matches(codes, np.arange(200, dtype=np.uint64))
+        assert [(h, b - a) for h, a, b in zip(hit.tolist(), low.tolist(), high.tolist(), strict=True)] == [(k, int((key == k).sum())) for k in range(200) if (key == k).any()]
+
+
 def test_permuted_prefixes():
     text = np.frombuffer(b"abcdefghij" * 20, np.uint8)
     sa = suffix_array.suffix_array(text)

@@ -36,7 +36,8 @@ from .common import saved, text_bytes
 
 SIZE = 50
 ANCHOR = 22
-PIECE = 1 << 20  # bytes of text read at once
+PIECE = 1 << 20  # bytes of a text read at once
+GROUP = 1 << 18  # bytes from which on shorter texts are not read together, so that their arrays stay near the processor
 SLICE = 4 << 20  # bytes of text whose anchors are sent together (a text's always are)
 SHARD = 1 << 20  # bytes of strings that share a suffix array (an anchor's strings always do)
 CROWD = 4096  # distinct strings of an anchor that share a suffix array at most
@@ -53,7 +54,7 @@ def _mix(x):
 
 
 def pieces(texts: list[bytes]):
-    """Groups of (row, offset, bytes) of about PIECE bytes; consecutive pieces of a text overlap in SIZE - 1 bytes."""
+    """Groups of (row, offset, bytes) of about GROUP bytes, or one piece; consecutive pieces of a text overlap in SIZE - 1 bytes."""
     group, total = [], 0
     for row, t in enumerate(texts):
         for off in range(0, max(1, len(t) - SIZE + 1), PIECE):
@@ -61,20 +62,35 @@ def pieces(texts: list[bytes]):
             if len(part) >= SIZE:
                 group.append((row, off, part))
                 total += len(part)
-                if total >= PIECE:
+                if total >= min(PIECE, GROUP):
                     yield group
                     group, total = [], 0
     if group:
         yield group
 
 
+_known: dict = {}  # the longest row of powers of each number so far, and hashes of bytes
+
+
 def _powers(x: int, n: int):
     """1, x, x * x, ..., modulo 2**64."""
     import numpy as np
 
-    out = np.full(n, x, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    if len(_known.get(x, ())) < n:
+        out = np.full(n, x, np.uint64)
+        out[:1] = 1
+        _known[x] = np.multiply.accumulate(out)
+    return _known[x][:n]
+
+
+def _byte_hashes():
+    """Two hashes of each byte."""
+    import numpy as np
+
+    if "bytes" not in _known:
+        one = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED27))
+        _known["bytes"] = one, _mix(one ^ np.uint64(0x2545F4914F6CDD1D))
+    return _known["bytes"]
 
 
 def segments(group):
@@ -86,11 +102,11 @@ def segments(group):
     size = np.array([len(p) for _, _, p in group])
     start = np.cumsum(size) - size
     n = len(raw)
-    one = _mix(raw.astype(np.uint64) + np.uint64(0x51ED27))
+    one, two = (hashes[raw] for hashes in _byte_hashes())
     # Sums of the bytes' values times powers of an odd number: a difference, divided by the first one, is a hash of any
     # substring.
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(one ^ np.uint64(0x2545F4914F6CDD1D)) * _powers(ODD, n), out=sums[1:])
+    np.cumsum(two * _powers(ODD, n), out=sums[1:])
     by, x = {}, one
     for k in (1, 2, 4, 8, 16):  # hashes of all substrings of 2, 4, ... 32 bytes; the two longest are kept
         y = np.zeros(n, np.uint64)
@@ -100,7 +116,7 @@ def segments(group):
         x = y
         if k >= 8:
             by[2 * k] = y
-    del one, x, y
+    del one, two, x, y
 
     def cover(at, length):
         """Hash of the substrings of a length of 17 to 64 bytes from two or three overlapping ones."""
@@ -144,14 +160,25 @@ def all_segments(texts: list[bytes]):
     parts = [segments(g) for g in pieces(texts)]
     if not parts:
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+    cols = list(zip(*parts, strict=True))
+    del parts  # a column's parts go as soon as it is put together
+    return [np.concatenate(cols.pop(0)) for _ in range(6)]
 
 
 def firsts(key, content, check, doc):
     """Of rows in any order: an order by anchor, content and document, and which of it begin a content of an anchor."""
     import numpy as np
 
-    order = np.lexsort((doc, content, key))
+    order = np.argsort(key)
+    k = key[order]
+    new = np.r_[True, k[1:] != k[:-1], True] if len(k) else np.ones(1, bool)
+    tied = np.flatnonzero(~(new[:-1] & new[1:]))  # rows of an anchor with more than one
+    del k, new
+    if 2 * len(tied) < len(key):
+        some = order[tied]
+        order[tied] = some[np.lexsort((doc[some], content[some], key[some]))]
+    else:
+        order = np.lexsort((doc, content, key))
     k, c, x = key[order], content[order], check[order]
     return order, np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (x[1:] != x[:-1])] if len(k) else np.zeros(0, bool)
 
@@ -341,6 +368,15 @@ def partition(batches, piece: int = PIECE):
         yield chunk()
 
 
+def matches(codes, code):
+    """Which of some codes are in a sorted list, and where they begin and end there."""
+    import numpy as np
+
+    low = np.searchsorted(codes, code)
+    hit = np.flatnonzero(codes[np.minimum(low, len(codes) - 1)] == code) if len(codes) else np.zeros(0, np.int64)
+    return hit, low[hit], np.searchsorted(codes, code[hit], "right")
+
+
 def coded(raws: list[bytes], marks):
     """Segments of the texts that have marks, with the codes of ``partition``."""
     import numpy as np
@@ -363,14 +399,14 @@ def string_pass(batches):
 
     for ids, raws, marks in partition(batches):
         text, where, windows, key, content, code = coded(raws, marks)
-        hit = np.flatnonzero(np.isin(code, marks[1]))
+        hit, low, _ = matches(marks[1], code)
         _, once = np.unique(code[hit], return_index=True)
-        hit = np.sort(hit[once])  # in the order of documents
-        by_windows = marks[2][np.searchsorted(marks[1], code[hit])] == WINDOWS
+        once = np.sort(once)  # in the order of documents
+        hit, by_windows = hit[once], marks[2][low[once]] == WINDOWS
         rows, holder = [], {}
-        for x, crowded in zip(hit.tolist(), by_windows.tolist(), strict=True):
-            t, a, n = int(text[x]), int(where[x]), int(windows[x])
-            k, i, c = int(key[x].view(np.int64)), ids[t], int(content[x])
+        cols = (x[hit].tolist() for x in (text, where, windows, key.view(np.int64), content))
+        for crowded, t, a, n, k, c in zip(by_windows.tolist(), *cols, strict=True):
+            i = ids[t]
             if not crowded:
                 rows.append((False, k, i, c, -1, raws[t][a : a + n + SIZE - 1]))
                 continue
@@ -391,9 +427,9 @@ def cuts(raws: list[bytes], marks) -> list:
     import numpy as np
 
     text, where, windows, _, _, code = coded(raws, marks)
-    low, high = np.searchsorted(marks[1], code), np.searchsorted(marks[1], code, "right")
+    hit, low, high = matches(marks[1], code)
     n = high - low
-    seg = np.repeat(np.arange(len(code)), n)
+    seg = np.repeat(hit, n)
     mark = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
     first, last = marks[2][mark], marks[3][mark]
     size = np.array([len(r) + 1 for r in raws])  # a byte between texts keeps their ranges apart

@@ -2,7 +2,8 @@
 
 Suffixes are classified, the substrings between leftmost smaller suffixes are sorted and named, the names are sorted by
 the same procedure at any depth and over any alphabet, and all suffixes are induced from them. A string over few symbols
-is induced bucket by bucket in numpy, one over many symbols place by place; both are linear.
+is induced bucket by bucket in numpy. One over many symbols is induced run by run, or place by place if it has long runs of
+larger or smaller suffixes.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 BUCKETS = 1024  # symbols up to which a bucket is worth a numpy call of its own
+RUN = 64  # suffixes of one type in a row up to which runs are induced symbol by symbol
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -91,7 +93,43 @@ def _names_by_symbols(s: np.ndarray, k: int, small: np.ndarray, lms: np.ndarray)
 
 def _induce(s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the lms suffixes in order."""
-    return (_by_buckets if k <= BUCKETS else _by_places)(s, k, lms)
+    if k <= BUCKETS:
+        return _by_buckets(s, k, lms)
+    small = _types(s)
+    edge = np.flatnonzero(np.r_[True, small[1:] != small[:-1], True])
+    return _by_runs(s, small, lms) if np.diff(edge).max() <= RUN else _by_places(s, k, lms)
+
+
+def _by_runs(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The larger suffixes from the lms suffixes, then the smaller ones from the larger ones. A suffix goes by the symbols
+    of its run and by the rank of the suffix that ends the run, which is known and unlike all others."""
+    both = s.astype(np.int64) * 2 + small
+
+    def induced(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+        value = both * (len(known) + 1)
+        value[known] += np.arange(1, len(known) + 1)
+        return _in_order(at, value)
+
+    larger = induced(lms, np.flatnonzero(~small))
+    smaller = induced(larger, np.flatnonzero(small[:-1]))
+    order = np.r_[len(s) - 1, larger, smaller]
+    return order[np.argsort(both[order], kind="stable")]
+
+
+def _in_order(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places by their values, those that are still alike by the next values, and so on."""
+    left, group, step = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    out = at.copy()
+    while len(left):
+        v = value[out[left] + step]
+        order = np.lexsort((v, group)) if step else np.argsort(v)
+        out[left], v = out[left[order]], v[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (v[1:] != v[:-1])]
+        group = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        tied = ~(new & np.r_[new[1:], True])
+        left, group = left[tied], group[tied]
+        step += 1
+    return out
 
 
 def _by_places(s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
