@@ -191,6 +191,25 @@ def test_chunks_give_the_texts_ids(rows):
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_plain_words_are_spelled_once_by_the_model(monkeypatch):
+    """Whatever their case and the marks around them; the whole tokenizer isn't needed for them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    enc, rng = packing.ChunkEncoder(PATH), random.Random(12)
+    enc.tokenizer = None
+    words = ["".join(rng.choice("abcdeéßüñÿ") for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    texts = [" ".join(rng.choice(["", '"', "(", "--"]) + rng.choice([w, w.title(), w.upper()]) + rng.choice(["", ".", ",%%%", "|&)"]) for w in rng.choices(words, k=50)) for _ in range(100)]
+    texts += ["... -- | ![]", "É", "Ÿ ẞ Å", ""]
+    for most in (10, 400_000):
+        monkeypatch.setattr(packing, "CACHE", most)
+        for text in texts:
+            assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    words = ["don't", "1st", "<b>", "e\u0301", "ÀΣ", "x²"]
+    enc = packing.ChunkEncoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([w.encode() for w in words])] == [t.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 

@@ -7,8 +7,8 @@ open are merged: the leftovers of GROUP partitions (a bounded number of tokens)
 last rest into sequences whose lengths are powers of two, so no position is padded.
 
 Ids come from a cache by white-space-delimited chunk. The tokenizer removes white space, and none of its rules looks
-across it, so the chunks' ids in a row are the text's ids; the tests compare them. Chunks not in the cache are encoded
-together.
+across it, so the chunks' ids in a row are the text's ids; the tests compare them. Chunks not in the cache are given to
+the tokenizer's model as words if they are plain letters and marks; the others are encoded together.
 
 Defined cases: a null or empty text is the end id alone; equal texts and repeated rows are packed one by one; an empty
 table gives no piece; further columns are ignored.
@@ -17,6 +17,7 @@ table gives no piece; further columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,50 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 ROW = f"{PIECE}, part int, ids binary"
 
 
+class Chunks(dict):
+    """Ids of chunks. One of plain letters with ASCII marks around them is looked up in parts and by its lower case, since
+    the tokenizer lower-cases and divides letters from marks; a part is one word to its model. Other chunks that are not
+    known give None and wait."""
+
+    PLAIN = re.compile("([!-&(-/:;=-@[-`{-~]*+)([a-zß-öø-ÿ]*+)([!-&(-/:;=-@[-`{-~]*+)")  # without ' and <: 's, <|endoftext|>
+
+    def __init__(self, model, ids: list[bytes], old: dict[bytes, bytes]):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.ids, self.old, self.waiting = model, ids, old, {}
+        to = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: to.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        ids = self.old.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
+        if chunk.isalpha() and chunk.islower():
+            word = chunk.decode()
+        else:
+            found = self.PLAIN.fullmatch(chunk.decode().lower())
+            if not found:
+                self.waiting[chunk] = None
+                return None
+            before, word, after = found.groups()
+            own = (word or before).encode()
+            if own != chunk:
+                known = own in self
+                ids = self[own]
+                if word and before:
+                    ids = self[before.encode()] + ids
+                if word and after:
+                    ids += self[after.encode()]
+                if known:  # rare spellings of rare words aren't worth a place
+                    self[chunk] = ids
+                return ids
+            word = word.translate(self.letters) or before
+        of = self.ids
+        ids = self[chunk] = b"".join([of[x.id] for x in self.model.tokenize(word)])
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian uint32 bytes."""
 
@@ -49,14 +94,14 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.marks = {m[0]: self._encode(m.decode()).tobytes() for m in (b".", b",")}
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.ids = [k.to_bytes(4, "little") for k in range(len(self.last))]
+        self.model = self.tokenizer.model
+        self.chunks = Chunks(self.model, self.ids, {})
 
     def _encode(self, text: str):
         import numpy as np
 
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, chunks: list[bytes]) -> None:
         """A chunk of letters is one word to the tokenizer, which marks the last id of a word; such chunks are encoded
@@ -66,7 +111,7 @@ class ChunkEncoder:
         letters, others = [], []
         for c in chunks:
             if b"<|" in c:
-                self.new[c] = self._encode(c.decode()).tobytes()
+                self.chunks[c] = self._encode(c.decode()).tobytes()
             else:
                 (letters if c.decode().isalpha() else others).append(c)
         for k in range(0, len(letters), 20_000):
@@ -85,53 +130,27 @@ class ChunkEncoder:
 
     def _store(self, chunks: list[bytes], ids, start, end) -> None:
         raw = ids.tobytes()
-        self.new.update((c, raw[a:b]) for c, a, b in zip(chunks, (4 * start).tolist(), (4 * end).tolist(), strict=True))
-
-    def _spell(self, chunks: set[bytes]) -> None:
-        """Ids of new chunks by way of their lower case without a last full stop or comma after a letter: the tokenizer
-        lower-cases, and divides letters from marks."""
-        new, old, marks = self.new, self.old, self.marks
-        waiting, need = [], set()
-        for c in chunks:
-            w, mark = c, b""
-            if b"<|" not in c:
-                w = c.lower()
-                if w[-1] in marks and w[-2:-1].isalpha():
-                    w, mark = w[:-1], marks[w[-1]]
-            ids = new.get(w)
-            if ids is None:
-                ids = old.get(w)
-            if ids is None:
-                need.add(w)
-                waiting.append((c, w, mark))
-            else:
-                new[c] = ids + mark
-        self._learn(list(need))
-        for c, w, mark in waiting:
-            new[c] = new[w] + mark
+        self.chunks.update((c, raw[a:b]) for c, a, b in zip(chunks, (4 * start).tolist(), (4 * end).tolist(), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 500):
-            split = [t.split() for t in texts[at : at + 500]]
-            found = [list(map(self.new.get, words)) for words in split]
-            gaps = []
-            for n, ids in enumerate(found):
-                k = -1
-                for _ in range(ids.count(None)):
-                    k = ids.index(None, k + 1)
-                    gaps.append((n, k))
-            need = {split[n][k] for n, k in gaps}
-            again = [c for c in need if c in self.old]
-            self.new.update((c, self.old[c]) for c in again)
-            need.difference_update(again)
-            if need:
-                self._spell(need)
-            for n, k in gaps:
-                found[n][k] = self.new[split[n][k]]
-            out += map(b"".join, found)
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
+            ids_of, late = self.chunks.__getitem__, []
+            for t in texts[at : at + 500]:
+                words = t.split()
+                ids = list(map(ids_of, words))
+                if None in ids:
+                    late.append((len(out), words))
+                    ids = []
+                out.append(b"".join(ids))
+            if late:
+                self._learn(list(self.chunks.waiting))
+                self.chunks.waiting.clear()
+                for k, words in late:
+                    out[k] = b"".join(map(ids_of, words))
+            if len(self.chunks) > CACHE:
+                self.chunks.old = {}
+                self.chunks = Chunks(self.model, self.ids, self.chunks)
         return out
 
 
